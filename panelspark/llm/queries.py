@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, url_filter, warc
+from . import chat_format, decontaminate, url_filter, warc
 from .common import scratch, table
 
 
@@ -64,6 +64,23 @@ select conv_id, count(*)::bigint as n_turns,
 from e group by conv_id
 """
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP5_SQL = r"""
+with d as (select doc_id, row_number() over () as r, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+b as (select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+i as (select distinct item_id, least(len(w), 13) as n, array_to_string(w[k : k + least(len(w), 13) - 1], ' ') as t from b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as u(k) where len(w) > 0),
+h as (select d.r, k, i.n, i.item_id from d, (select distinct n from i) as l, unnest(range(1, len(d.w) - l.n + 2)) as u(k), i where i.n = l.n and i.t = array_to_string(d.w[k : k + l.n - 1], ' ')),
+c as (select r, count(distinct p) as n_hit from h, unnest(range(k, k + n)) as u(p) group by r),
+g as (select r, count(distinct item_id) as n_items, array_to_string(list_sort(list_distinct(list(item_id::varchar))), ',') as items from h group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join c using (r) left join g using (r)
+"""
+
 #: Fixed values of the rule list: host, path, verdict.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -88,6 +105,7 @@ from v
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op4_chat_format": op4_chat_format,
+    "op5_decontaminate": op5_decontaminate,
     "op7_url_filter": op7_url_filter,
 }
-SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op4_chat_format": OP4_SQL, "op7_url_filter": _op7_sql()}
+SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op4_chat_format": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_url_filter": _op7_sql()}
