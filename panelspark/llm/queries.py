@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, simhash, url_filter, warc
+from . import chat_format, decontaminate, packing, quality, simhash, url_filter, warc
 from .common import scratch, table
 
 
@@ -107,11 +107,31 @@ from v
 """
 
 
+def tokenizer_path() -> str:
+    """Where the public vocabulary lies on this machine; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
     "op5_decontaminate": op5_decontaminate,
     "op7_url_filter": op7_url_filter,
+    "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op4_chat_format": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_url_filter": _op7_sql()}
