@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, quality, simhash, url_filter, warc
+from . import chat_format, decontaminate, packing, quality, simhash, substring, url_filter, warc
 from .common import scratch, table
 
 
@@ -107,6 +107,10 @@ from v
 """
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def tokenizer_path() -> str:
     """Where the public vocabulary lies on this machine; the operators take the path as a parameter."""
     import public_tokenizers
@@ -131,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_decontaminate": op5_decontaminate,
     "op7_url_filter": op7_url_filter,
+    "op8_substring": op8_substring,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
