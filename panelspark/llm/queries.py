@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, quality, simhash, substring, url_filter, warc
+from . import chat_format, decontaminate, nn_descent, packing, quality, simhash, substring, url_filter, warc
 from .common import scratch, table
 
 
@@ -37,6 +37,10 @@ from p left join f on p.digest = f.digest
 """
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -131,6 +135,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_nn_descent": op2_nn_descent,
     "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
     "op5_decontaminate": op5_decontaminate,
