@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, nn_descent, packing, quality, simhash, substring, url_filter, warc
+from . import chat_format, decontaminate, nn_descent, packing, quality, shards, simhash, substring, url_filter, warc
 from .common import scratch, table
 
 
@@ -90,6 +90,13 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from d left join c using (r) left join g using (r)
 """
 
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shards.ingest(shards.ShardTable(spark, scratch(spark, "shards")), table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+OP6_SQL = "select doc_id, lang, source, n_chars, sha256(text) as text_sha256 from documents"
+
 #: Fixed values of the rule list: host, path, verdict.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -139,9 +146,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_chat_format": op4_chat_format,
     "op5_decontaminate": op5_decontaminate,
+    "op6_shards": op6_shards,
     "op7_url_filter": op7_url_filter,
     "op8_substring": op8_substring,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
-SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op4_chat_format": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_url_filter": _op7_sql()}
+SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op4_chat_format": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_shards": OP6_SQL, "op7_url_filter": _op7_sql()}
