@@ -103,17 +103,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     return Model(good, bad, _fit_weights(np.repeat(x, times, 0), np.repeat(y, times)))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs (column text) and score, from 0 to 1, higher for better text; a null text counts as empty."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns of docs (column text) and the score, from 0 to 1, higher for better text; a null text counts as empty.
+
+    A column that has the score's name already gives way to it.
+    """
+    docs = docs.drop(name)
     names = docs.columns
     at = names.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizer, w = Sizer(model.good, model.bad), np.array(model.weights)
         for b in batches:
             f = np.array([sizer.features((t.as_py() or "").encode()) for t in b.column(at)], float).reshape(-1, len(w))
             p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*names, name])
 
     return docs.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
-from math import prod
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from .common import materialize
 from .components import connected_components
 
 BITS = 64
+#: What comparing a pair costs, a probe being 1.
+PAIR = 0.002
 _xxh64 = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -24,25 +26,28 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Words are runs without ASCII white space, A-Z lower-cased; a bit is 1 if set in over half the shingles' hashes."""
+def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False) -> int:
+    """Words are runs without ASCII white space, A-Z lower-cased; a bit is 1 if set in over half the shingles' hashes.
+
+    distinct: each shingle counts once, however often it is repeated.
+    """
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    shingles = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) > shingle else [words]
-    h = np.fromiter(map(_xxh64, map(b" ".join, shingles)), np.uint64)
+    shingles = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) > shingle else [tuple(words)]
+    h = np.fromiter(map(_xxh64, map(b" ".join, set(shingles) if distinct else shingles)), np.uint64)
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, distinct: bool = False) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long. Null text or no words: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [_signed(fingerprint(t.as_py(), shingle)) for t in b.column(1)]
+            fps = [_signed(fingerprint(t.as_py(), shingle, distinct)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -106,33 +111,44 @@ def _mask(bits: list[int]) -> int:
     return _signed(sum(1 << b for b in bits))
 
 
-def plan_parts(classes: DataFrame, distance: int, parts: int) -> tuple[list[list[int]], list[int]]:
-    """Bit groups and their thresholds. Costs: pairs that share a group's value (counted), times how many more a model of independent bits lets in at each threshold."""
+def plan_parts(classes: DataFrame, distance: int, choices: tuple[int, ...]) -> tuple[list[list[int]], list[int]]:
+    """Bit groups and their thresholds, for the number of groups (of choices) that costs least.
+
+    Costs: probes, and candidate pairs at PAIR of a probe: pairs that share a group's value (counted over all rows),
+    times how many more a model of independent bits lets in at each threshold.
+    """
     n, both = bit_counts(classes)
-    groups = group_bits(n, both, parts)
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(_mask(g)).alias("key")) for i, g in enumerate(groups)])).alias("k")
-    same = classes.select(keys).groupBy("k.part", "k.key").agg(F.count(F.lit(1)).alias("c")).groupBy("part").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("s"))
-    equal = {r["part"]: r["s"] for r in same.collect()}
     p = np.diag(both) / max(n, 1)
     differ = np.clip(2 * p * (1 - p), 1e-6, 1)
-    costs = []
-    for i, g in enumerate(groups):
-        dist = np.array([1.0])
-        for b in g:
-            dist = np.convolve(dist, [1 - differ[b], differ[b]])
-        within = np.cumsum(dist)
-        costs.append([0.0] + [equal.get(i, 0.0) * within[min(t, len(g))] / max(within[0], 1e-300) + n * prod(range(len(g), len(g) - t, -1)) for t in range(distance + 1)])
-    return groups, allocate(costs, distance)
-
-
-def linked_pairs(classes: DataFrame, distance: int, parts: int = 3) -> DataFrame:
+    options = {m: group_bits(n, both, m) for m in choices}
+    keys = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(i).alias("part"), F.col("fp").bitwiseAND(_mask(g)).alias("key")) for m, groups in options.items() for i, g in enumerate(groups)])).alias("k")
+    same = classes.select(keys).groupBy("k.m", "k.part", "k.key").agg(F.count(F.lit(1)).alias("c")).groupBy("m", "part").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("s"))
+    equal = {(r["m"], r["part"]): r["s"] for r in same.collect()}
+    best = None
+    for m, groups in options.items():
+        costs = []
+        for i, g in enumerate(groups):
+            dist = np.array([1.0])
+            for b in g:
+                dist = np.convolve(dist, [1 - differ[b], differ[b]])
+            within = np.cumsum(dist)
+            top = min(distance, len(g))
+            costs.append([0.0] + [PAIR * equal.get((m, i), 0.0) * within[t] / max(within[0], 1e-300) + n * sum(comb(len(g), d) for d in range(t + 1)) for t in range(top + 1)])
+        chosen = allocate(costs, distance)
+        total = sum(c[t + 1] for c, t in zip(costs, chosen, strict=True))
+        if best is None or total < best[0]:
+            best = (total, groups, chosen)
+    return best[1], best[2]
+
+
+def linked_pairs(classes: DataFrame, distance: int, choices: tuple[int, ...] = (3,)) -> DataFrame:
     """(u, v) of classes (fp, rep), rep of the first less than of the second, whose fingerprints differ in distance bits at most.
 
     A pair must agree within the threshold on some group of bits and fully on one of distance + 1 cuts of the others:
     both are part of the join key, so a group that many share does not pair them all. The bits are counted in the
     join, which gives linked pairs alone; adaptive execution may split any key.
     """
-    groups, thresholds = plan_parts(classes, distance, parts)
+    groups, thresholds = plan_parts(classes, distance, choices)
     left, right = [], []
     for i, (g, t) in enumerate(zip(groups, thresholds, strict=True)):
         if t < 0:
@@ -150,16 +166,85 @@ def linked_pairs(classes: DataFrame, distance: int, parts: int = 3) -> DataFrame
     return pairs.where((F.col("u") < F.col("v")) & near).select("u", "v") if max(thresholds) <= 0 else pairs.where((F.col("u") != F.col("v")) & near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, parts: int = 3) -> DataFrame:
+def _run_links(fp: np.ndarray, rep: np.ndarray, probe: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the pairs of a run (index rows against probes) connect: each row with its least rep."""
+    a, b = np.flatnonzero(~probe), np.flatnonzero(probe)
+    label = rep.copy()
+    rows = max(1, (1 << 22) // max(1, len(b)))
+    while True:
+        old = label.copy()
+        for lo in range(0, len(a), rows):
+            part = a[lo : lo + rows]
+            near = np.bitwise_count(fp[part][:, None] ^ fp[b][None, :]) <= distance
+            if not near.any():
+                continue
+            label[part] = np.minimum(label[part], np.where(near, label[b][None, :], np.iinfo(np.int64).max).min(1))
+            label[b] = np.minimum(label[b], np.where(near, label[part][:, None], np.iinfo(np.int64).max).min(0))
+        if (label == old).all():
+            break
+    moved = label != rep
+    return label[moved], rep[moved]
+
+
+def linking_forest(classes: DataFrame, distance: int, choices: tuple[int, ...] = (3, 4, 5, 6)) -> DataFrame:
+    """(u, v) links that connect classes (fp, rep) as all pairs within distance do, without listing all pairs.
+
+    For distances whose thresholds are above zero: each fingerprint is indexed under its value of each group of bits,
+    and probes the values within the group's threshold. Rows of one value meet in one task, sorted, where the bits are
+    counted in blocks; it gives a link a row at most, so a large group of copies doesn't multiply.
+    """
+    groups, thresholds = plan_parts(classes, distance, choices)
+    keys = []
+    for i, (g, t) in enumerate(zip(groups, thresholds, strict=True)):
+        if t >= 0:
+            key = F.col("fp").bitwiseAND(_mask(g))
+            flips = [_mask(list(c)) for d in range(t + 1) for c in combinations(g, d)]
+            keys.append(F.struct(F.lit(i).alias("part"), key.alias("key"), F.lit(False).alias("probe")))
+            keys += [F.struct(F.lit(i).alias("part"), key.bitwiseXOR(x).alias("key"), F.lit(True).alias("probe")) for x in flips]
+    rows = classes.where("rep is not null").select("fp", "rep", F.explode(F.array(*keys)).alias("k")).select("k.part", "k.key", "fp", "rep", "k.probe")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def flush(cols: list[np.ndarray], last: bool) -> tuple[list[pa.RecordBatch], list[np.ndarray]]:
+            part, key, fp, rep, probe = cols
+            cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+            ends = np.append(cut[1:], len(key))
+            us, vs = [], []
+            for s, e in zip(cut, ends, strict=True) if last else zip(cut[:-1], ends[:-1], strict=True):
+                if e - s > 1:
+                    u, v = _run_links(fp[s:e], rep[s:e], probe[s:e], distance)
+                    us.append(u)
+                    vs.append(v)
+            out = [pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])] if us else []
+            return out, [c[cut[-1] :] for c in cols]
+
+        n = 0
+        for b in batches:
+            cols = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)]
+            held.append(cols)
+            n += len(cols[0])
+            if n > 200_000:
+                out, rest = flush([np.concatenate(c) for c in zip(*held, strict=True)], False)
+                yield from out
+                held, n = [rest], 0  # a run longer than this waits for its end
+        if held and sum(len(h[0]) for h in held):
+            yield from flush([np.concatenate(c) for c in zip(*held, strict=True)], True)[0]
+
+    return rows.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(run, "u long, v long").distinct()
+
+
+def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, distinct: bool = False) -> DataFrame:
     """(doc_id, fp, component_id), one row per row of docs (doc_id, text): the smallest doc_id reachable over links.
 
     Fingerprints link at distance or fewer differing bits; documents without words have fingerprint 0 and link like any
     other. Equal fingerprints are taken as one class from the start, so a group of copies, however large, is one row of
-    the search. A row with a null doc_id gets its class's component, null if no document there has an id. Repeated
-    rows stay; an empty table gives none; other columns are left out.
+    the search. Up to a distance of 3 the links are listed by a join, beyond it their forest is. A row with a null doc_id
+    gets its class's component, null if no document there has an id. Repeated rows stay; an empty table gives none;
+    other columns are left out.
     """
-    fps = materialize(fingerprints(docs, shingle), "fingerprints")
+    fps = materialize(fingerprints(docs, shingle, distinct), "fingerprints")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    labels = connected_components(linked_pairs(classes, distance, parts))
+    labels = connected_components(linked_pairs(classes, distance) if distance <= 3 else linking_forest(classes, distance))
     named = materialize(classes.join(labels, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "components")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")

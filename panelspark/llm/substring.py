@@ -320,20 +320,24 @@ def _cut(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], with_text: bool) -
                 removed.append(m)
                 digests.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept.decode() if with_text and m else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(c.sizes), pa.array(removed, pa.int64()), pa.array(digests), pa.array(texts, pa.string()), *(pa.array([r[1 + k].as_py() for r in rest], t) for k, t in enumerate(extra_types))], names)
+            if with_text:
+                whole = [pa.array([r[-1].as_py() for r in rest], pa.string())]
+            else:
+                whole = []
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(c.sizes), pa.array(removed, pa.int64()), pa.array(digests), pa.array(texts, pa.string()), *(pa.array([r[1 + k].as_py() for r in rest], t) for k, t in enumerate(extra_types)), *whole], names)
 
     extra = [c for c in docs.columns if c not in ("doc_id", "text", "_told")]
     from pyspark.sql.pandas.types import to_arrow_type
 
     extra_types = [to_arrow_type(docs.schema[c].dataType) for c in extra]
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *extra]
-    kinds = {"n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept": "string", "doc_id": "long"}
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *extra, *["text"] * with_text]
+    kinds = {"n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept": "string", "doc_id": "long", "text": "string"}
     schema = ", ".join(f"`{c}` {kinds.get(c) or docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select("doc_id", "text", "_told", *extra).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", "_told", *extra, *[F.col("text").alias("_text")] * with_text).mapInArrow(run, schema)
 
 
-def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256 and kept.
+def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept, and with_text also text; and the columns keep.
 
     Words are runs without ASCII white space. A word is removed if a window over it (WINDOW words) also starts in a
     document of smaller doc_id. kept is the rest, joined by spaces, where with_text is set and words were removed; else
@@ -345,7 +349,9 @@ def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False)
     that very many documents share goes to all tasks in a list of bounded size; if it were longer, fewer count as such.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    taken = {"doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept", "_told"}
+    named = {c: f"{c}_" if c in taken else c for c in keep}  # a column of a result's name comes back as name_
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(n) for c, n in named.items()])
     size, cuts = docs.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [1.0])).first()
     buckets = 1 << max(8, min(20, ((size or 0) // BUCKET_BYTES).bit_length()))
     cuts = sorted(set(cuts or []))[: batches - 1]
