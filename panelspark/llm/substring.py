@@ -353,7 +353,7 @@ def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False,
     named = {c: f"{c}_" if c in taken else c for c in keep}  # a column of a result's name comes back as name_
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(n) for c, n in named.items()])
     size, cuts = docs.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [1.0])).first()
-    buckets = 1 << max(8, min(20, ((size or 0) // BUCKET_BYTES).bit_length()))
+    buckets = 1 << max(10, min(20, ((size or 0) // BUCKET_BYTES).bit_length()))
     cuts = sorted(set(cuts or []))[: batches - 1]
     limits = [None, *cuts, None]
     hot_docs = HOT_DOCS
