@@ -11,6 +11,7 @@ from ..functions import dates, identity
 from ..functions.stats import rounded
 from ..operators import analysis, checks, compare, context, features, labels, lineage, panel, portfolio, report, signals, status
 from ..sources import bars, files
+from ..streaming import runs as runs_stream
 from .oracle import W, fin, rolling, sql
 from .tables import Tables
 
@@ -744,3 +745,106 @@ SQL["daily_rank_ic"] = sql(
     f1="select a.trade_date, a.ts_code, a.roc5, b.close * b.adj_factor / (a.close * a.adj_factor) - 1 as y from f0 a join days d using (trade_date) join panel b on b.ts_code = a.ts_code and b._trade_index = d._trade_index + 1 where a._has_market_data and b._has_market_data and a.roc5 is not null",
     f2="select *, rank() over (partition by trade_date order by roc5) + (count(*) over (partition by trade_date, roc5) - 1) / 2.0::double as xr, rank() over (partition by trade_date order by y) + (count(*) over (partition by trade_date, y) - 1) / 2.0::double as yr from f1",
 )
+
+
+# Streams: the stream is run to its end over a copy of the table; the SQL is of the batch it equals
+
+
+def _run_events(t: Tables) -> DataFrame:
+    e = t.spark.read.parquet(f"{t.sf_dir}/events.parquet")
+    state = F.when(F.col("event_id") % 10 == 0, "succeeded").otherwise("running")
+    return e.select("event_id", F.col("user_id").alias("run_id"), F.col("event_type").alias("step"), F.col("ts").cast("timestamp").alias("ts"), F.least("value", F.lit(100.0)).alias("percentage"), state.alias("state"))
+
+
+def _as_stream(t: Tables, df: DataFrame, parts: int = 4) -> DataFrame:
+    from ..functions.storage import new_path
+
+    path = new_path(t.spark, "arrivals")
+    df.repartitionByRange(parts, "ts").write.parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+_STATE = f"""select user_id as run_id, event_type as step, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last, {fin('last(least(value, 100) order by ts, event_id)', 'percentage')},
+  last(case when event_id % 10 = 0 then 'succeeded' else 'running' end order by ts, event_id) as state, count(*)::bigint as events from events group by 1, 2"""
+
+
+@query("latest_state", _STATE, False)
+def latest_state(t: Tables) -> DataFrame:
+    return runs_stream.latest_state(_run_events(t)).select("run_id", "step", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("last"), "percentage", "state", "events")
+
+
+@query("stream_latest_state", _STATE, False)
+def stream_latest_state(t: Tables) -> DataFrame:
+    s = runs_stream.latest_state(_as_stream(t, _run_events(t)))
+    return runs_stream.drain(s, "update", ["run_id", "step"]).select("run_id", "step", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("last"), "percentage", "state", "events")
+
+
+@query("stream_terminal_records", "select user_id as run_id, 'succeeded' as state from events where event_id % 10 = 0 group by 1", False)
+def stream_terminal_records(t: Tables) -> DataFrame:
+    return runs_stream.drain(runs_stream.terminal_records(_as_stream(t, _run_events(t)), "60 days"), "append").select("run_id", "state")
+
+
+@query("stream_window_counts", None, False)
+def stream_window_counts(t: Tables) -> DataFrame:
+    return runs_stream.drain(runs_stream.window_counts(_as_stream(t, _run_events(t))), "append")
+
+
+@query("change_feed", """select user_id as run_id, case when a is null then 'add' when b is null then 'remove' else 'change' end as change
+  from (select user_id, max(event_id) filter (event_id % 2 = 0) as a, max(event_id) filter (event_id % 3 = 0) as b from events group by 1) where (a is not null or b is not null) and a is distinct from b""", False)
+def change_feed(t: Tables) -> DataFrame:
+    e = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").select(F.col("user_id").alias("run_id"), "event_id")
+    snap = lambda k: e.where(F.col("event_id") % k == 0).groupBy("run_id").agg(F.max("event_id").alias("version"))
+    return runs_stream.change_feed(snap(2), snap(3))
+
+
+@query("unique_commits", "select strftime(ts, '%Y%m%d') as trade_date, strftime(ts, '%H') || '00' as trade_time, first(event_id order by ts, event_id) as commit_id, first(event_type order by ts, event_id) as strategy, case when count(distinct event_type) > 1 then 'several strategies' end as fault from events group by 1, 2", False)
+def unique_commits(t: Tables) -> DataFrame:
+    e = t.spark.read.parquet(f"{t.sf_dir}/events.parquet")
+    return runs_stream.unique_commits(e.select(F.date_format("ts", "yyyyMMdd").alias("trade_date"), F.date_format("ts", "HH00").alias("trade_time"), F.col("event_id").alias("commit_id"), F.col("event_type").alias("strategy"), F.col("ts").alias("committed_at")))
+
+
+@query("window_outcomes", """with w as (select distinct strftime(ts, '%Y%m%d') as d, date_trunc('day', ts) + interval 9 hour as a, date_trunc('day', ts) + interval 15 hour as z from events),
+  x as (select strftime(ts, '%Y%m%d') as d, ts, ts + to_seconds((value * 60)::bigint) as e, case when event_id % 4 = 0 then 'failed' else 'done' end as s from events where event_id % 50 = 0),
+  l as (select w.d, last(x.s order by x.ts, x.s) as s, last(x.e order by x.ts, x.s) as e from w join x on x.d = w.d and x.ts between w.a and w.z group by 1)
+  select w.d as window_id, case when l.d is null then 'skipped' when l.s = 'failed' then 'failed' when l.e > w.z then 'incomplete' else 'done' end as outcome from w left join l on l.d = w.d""", False)
+def window_outcomes(t: Tables) -> DataFrame:
+    e = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").withColumn("window_id", F.date_format("ts", "yyyyMMdd"))
+    day = F.date_trunc("day", "ts")
+    w = e.select("window_id", (day + F.expr("interval 9 hours")).alias("start"), (day + F.expr("interval 15 hours")).alias("stop")).distinct()
+    a = e.where("event_id % 50 = 0").select("window_id", F.col("ts").alias("started_at"), (F.col("ts") + F.make_dt_interval(secs=F.round(F.col("value") * 60).cast("decimal(18,6)"))).alias("ended_at"), F.when(F.col("event_id") % 4 == 0, "failed").otherwise("done").alias("state"))
+    return runs_stream.window_outcomes(w, a)
+
+
+# Models, without SQL
+
+
+def _model_rows(t: Tables) -> tuple[DataFrame, list[str]]:
+    names = ["roc5", "ma5", "std5", "rsv5", "max5", "min5"]
+    f = features.rolling(t.flagged, ("price",), (5,)).where("_has_market_data and roc5 is not null")
+    s = f.select("trade_date", "ts_code", *names, F.lit("1500").alias("trade_time"), "buyable", F.lit(True).alias("is_model_candidate"), F.col("buyable").alias("is_buyable_at_signal"), F.col("close").alias("signal_price"), F.col("adj_factor").alias("signal_adjustment_factor"))
+    y = labels.next_day_labels(s, t.market, t.days).where("label_valid")
+    return s.join(y, ["trade_date", "ts_code"]), names
+
+
+@query("gbt_scores")
+def gbt_scores(t: Tables) -> DataFrame:
+    from ..functions.storage import stored
+    from ..operators import ml
+
+    rows, names = _model_rows(t)
+    rows = stored(rows, "training")
+    model, _ = ml.train(rows.where("trade_date < '19980101'"), names, rounds=5, depth=3)
+    return ml.score(rows.where("trade_date >= '19980101'"), model).select("trade_date", "ts_code", "pred", "rank", "buyable_rank")
+
+
+@query("gbt_validation")
+def gbt_validation(t: Tables) -> DataFrame:
+    from ..functions.storage import stored
+    from ..operators import ml
+
+    rows, names = _model_rows(t)
+    rows = stored(labels.label_transforms(rows), "training")
+    model, curve = ml.train(rows.where("trade_date < '19980101'").drop("label_return_rank", "label_return_csz"), names, rounds=5, depth=3)
+    late = ml.score(rows.where("trade_date >= '19980101'"), model)
+    best = ml.importance(t.spark, model).limit(1).select(F.col("feature").alias("first_feature"))
+    return ml.validation_metrics(late, "label_return_rank").crossJoin(F.broadcast(curve.agg(F.count(F.lit(1)).alias("rounds")))).crossJoin(F.broadcast(best))  # one row each
