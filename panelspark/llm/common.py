@@ -49,6 +49,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than that of each partition."""
     return df.limit(rows + 1).count() <= rows

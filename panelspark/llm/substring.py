@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, materialize, scratch
+from .common import drop_path, exists, materialize, scratch
 
 #: A window has WINDOW words; the index holds, for each window, the least hash of its GRAM-word grams.
 WINDOW, GRAM = 13, 6
@@ -209,7 +209,8 @@ class FingerprintIndex:
             rows = rows.unionByName(self._rows(path))
         path = scratch(self.spark, "probe")
         rows.groupBy("bucket").applyInArrow(lambda t: _resolve(t, True, True), FOUND).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-        self.runs.append((0, f"{path}/kind=2"))
+        if exists(self.spark, f"{path}/kind=2"):  # no document of the batch has a window: no run
+            self.runs.append((0, f"{path}/kind=2"))
         return self.spark.read.schema(FOUND).parquet(path).where("kind < 2").select("kind", "id", "key")
 
     def compact(self) -> None:

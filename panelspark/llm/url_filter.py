@@ -53,13 +53,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", max_b
     host + path wins, then the longer host. Rules with a null are left out; of rules that share host and path, block
     wins. No rule: rule is null, verdict the default. A url's host suffixes, each with its path's beginnings of the
     lengths that occur in the rules, are its canonical keys; those that pass the Bloom filter meet the rules in an
-    exact join. Rows with a null url, repeated rows and other columns stay as they are. An empty rule table: all rows
+    exact join. Rows with a null url, repeated rows and other columns stay as they are, but columns of the new names give way. An empty rule table: all rows
     get the default.
     """
-    spare = ("_row", "_key", "_host_len")
-    rules = rules.where("host is not null and path is not null and verdict is not null").groupBy(F.concat("host", "path").alias("key"), F.length("host").alias("host_len")).agg(F.max("verdict").alias("rule_verdict"))
-    lengths = sorted(r[0] for r in rules.select(F.length("key") - F.col("host_len")).distinct().collect())  # bounded by the longest path
-    bloom, blocks = build_filter(rules.select("key").distinct())
+    pages = pages.drop("host", "path", "rule", "verdict")
+    listed = rules.where("host is not null and path is not null and verdict is not null").groupBy(F.concat("host", "path").alias("_rule"), F.length("host").alias("_rule_host")).agg(F.max("verdict").alias("_rule_verdict"))
+    lengths = sorted(r[0] for r in listed.select(F.length("_rule") - F.col("_rule_host")).distinct().collect())  # bounded by the longest path
+    bloom, blocks = build_filter(listed.select(F.col("_rule").alias("key")).distinct())
+    bloom = bloom.withColumnsRenamed({c: f"_{c}" for c in bloom.columns})
     page = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "_row": F.monotonically_increasing_id()})
     labels = F.split("host", r"\.")
     n = F.size(labels)
@@ -70,10 +71,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", max_b
     probe = page.withColumn("_c", F.explode(F.concat(keys, F.array(none)))).withColumns({"_key": F.col("_c.key"), "_host_len": F.col("_c.len"), "_b": _block(F.col("_c.key"), blocks)}).drop("_c")
     hit = F.lit(True)
     for k in range(8):
-        hit &= F.col(f"w{k}").bitwiseAND(_word(F.col("_key"), k)) != 0
-    passed = probe.join(F.broadcast(bloom), F.col("_b") == F.col("block"), "left").where(F.col("_key").isNull() | hit).drop("_b", *bloom.columns)
-    exact = passed.join(broadcast_if_small(rules, max_broadcast_rules), (F.col("_key") == F.col("key")) & (F.col("_host_len") == F.col("host_len")), "left")
-    found = F.struct(F.length("key").alias("n"), "host_len", F.col("key").alias("rule"), F.col("rule_verdict").alias("verdict"))
-    cols = [c for c in page.columns if c not in spare]
-    best = exact.groupBy("_row").agg(*[F.first(c).alias(c) for c in cols], F.max(F.when(F.col("key").isNotNull(), found)).alias("_best"))
+        hit &= F.col(f"_w{k}").bitwiseAND(_word(F.col("_key"), k)) != 0
+    passed = probe.join(F.broadcast(bloom), F.col("_b") == F.col("_block"), "left").where(F.col("_key").isNull() | hit).drop("_b", *bloom.columns)
+    exact = passed.join(broadcast_if_small(listed, max_broadcast_rules), (F.col("_key") == F.col("_rule")) & (F.col("_host_len") == F.col("_rule_host")), "left")
+    found = F.struct(F.length("_rule").alias("n"), F.col("_rule_host").alias("host_len"), F.col("_rule").alias("rule"), F.col("_rule_verdict").alias("verdict"))
+    cols = [c for c in page.columns if c != "_row"]
+    best = exact.groupBy("_row").agg(*[F.first(c).alias(c) for c in cols], F.max(F.when(F.col("_rule").isNotNull(), found)).alias("_best"))
     return best.select(*cols, F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
