@@ -99,8 +99,8 @@ def daily_results(held: DataFrame, orders: DataFrame, days: DataFrame, events: D
     w = Window.orderBy("trade_date")  # a row a day
     j = j.withColumn("_c", zero("_fee") + zero("_ecost"))
     j = j.withColumn("equity", 1 + F.sum(zero("_gain") - F.col("_c")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + zero("_pending"))
-    j = j.withColumn("_before", F.coalesce(F.lag("equity").over(w), F.lit(1.0)))
-    cost, net = F.col("_c") / F.col("_before"), F.col("equity") / F.col("_before") - 1
+    j = j.withColumns({"_before": F.coalesce(F.lag("equity").over(w), F.lit(1.0)), "_change": zero("_gain") - F.col("_c") + zero("_pending") - F.coalesce(F.lag(zero("_pending")).over(w), F.lit(0.0))})
+    cost, net = F.col("_c") / F.col("_before"), F.col("_change") / F.col("_before")  # not of two equities: a day without trade is 0
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return j.select("trade_date", "equity", net.alias("net_return"), (net + cost).alias("gross_return"), cost.alias("cost"), ((zero("_traded") + zero("_notional")) / F.col("_before")).alias("turnover"), n("_n").alias("positions"), n("_d").alias("delayed"), n("_u").alias("unfilled"))
 

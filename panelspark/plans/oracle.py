@@ -104,10 +104,10 @@ def _accounting(n: int, h: int) -> dict[str, str]:
         f"p{n}": f"select *, lag(mark) over (partition by ts_code, entry_date order by _trade_index) as previous_mark from m{n}",
         f"s{n}": f"""select trade_date, coalesce(sum(principal * (mark - previous_mark) / entry_price), 0) as g, coalesce(sum(case when trade_date = entry_date then principal end), 0) as b, coalesce(sum(case when trade_date = exit_date then principal * mark / entry_price end), 0) as s,
           count(*) filter (not coalesce(trade_date = exit_date, false)) as positions, count(*) filter (delayed and trade_date = exit_date) as delayed from p{n} group by 1""",
-        f"e{n}": f"""select d.trade_date, coalesce(b, 0) * {FEE[0]} + coalesce(s, 0) * {FEE[1]} as c, coalesce(b, 0) + coalesce(s, 0) as v, 1 + sum(coalesce(g, 0) - (coalesce(b, 0) * {FEE[0]} + coalesce(s, 0) * {FEE[1]})) over (order by d.trade_date) as equity,
+        f"e{n}": f"""select d.trade_date, coalesce(b, 0) * {FEE[0]} + coalesce(s, 0) * {FEE[1]} as c, coalesce(b, 0) + coalesce(s, 0) as v, 1 + sum(coalesce(g, 0) - (coalesce(b, 0) * {FEE[0]} + coalesce(s, 0) * {FEE[1]})) over (order by d.trade_date) as equity, coalesce(g, 0) - (coalesce(b, 0) * {FEE[0]} + coalesce(s, 0) * {FEE[1]}) as chg,
           coalesce(positions, 0) as positions, coalesce(delayed, 0) as delayed, coalesce(u, 0) as unfilled
           from days d left join s{n} using (trade_date) left join (select trade_date, count(*) filter (reason is not null) as u from o{n} group by 1) using (trade_date)""",
-        f"daily{n}": f"""select trade_date, equity, equity / before - 1 as net_return, equity / before - 1 + c / before as gross_return, c / before as cost, v / before as turnover, positions, delayed, unfilled
+        f"daily{n}": f"""select trade_date, equity, chg / before as net_return, chg / before + c / before as gross_return, c / before as cost, v / before as turnover, positions, delayed, unfilled
           from (select *, coalesce(lag(equity) over (order by trade_date), 1) as before from e{n})""",
     }
 

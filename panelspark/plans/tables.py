@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from ..operators import features, labels, panel, signals, status
 from ..sources import bars
 
 
 class Tables:
-    """Lazy tables of one folder: daily bars of events or weekly bars of orders, and all that follows from them."""
+    """Tables of one folder: daily bars of events or weekly bars of orders, and all that follows from them.
+
+    The flagged panel and the signals, which many tables share, are written once and read again.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, weekly: bool = True) -> None:
         self.spark, self.sf_dir = spark, sf_dir
@@ -19,50 +25,51 @@ class Tables:
         self.master = bars.master(self.bars)
         self.quotes = panel.market_quotes(self.bars, bars.factors(self.bars, self.days))
 
-    @property
+    @cached_property
     def bounds(self) -> DataFrame:
         return panel.lifecycle_bounds(self.quotes, self.master)
 
-    @property
+    @cached_property
     def panel(self) -> DataFrame:
         return panel.dense_panel(self.quotes, self.bounds, self.days)
 
-    @property
+    @cached_property
     def lagged(self) -> DataFrame:
         return features.lag_inputs(self.panel)
 
-    @property
+    @cached_property
     def named(self) -> DataFrame:
         return panel.historical_names(self.panel, bars.names(self.bars, self.days))
 
-    @property
+    @cached_property
     def limited(self) -> DataFrame:
         return status.price_limits(bars.limits(self.named))
 
-    @property
+    @cached_property
     def flagged(self) -> DataFrame:
-        return status.execution_flags(status.market_flags(self.limited))
+        return stored(status.execution_flags(status.market_flags(self.limited)), "flagged")
 
     def market_of(self, flagged: DataFrame) -> DataFrame:
         m = flagged.select("trade_date", "ts_code", F.col("close").alias("price"), F.col("adj_factor").alias("adjustment_factor"), "can_buy", "can_sell", "market_status")
         return status.merge_status(m, bars.status(flagged))
 
-    @property
+    @cached_property
     def market(self) -> DataFrame:
         return self.market_of(self.flagged)
 
-    @property
+    @cached_property
     def signals(self) -> DataFrame:
         """Every quoted row with a score, which is the return over five days."""
         f = self.flagged
         f = features.rolling(f, ("price",), (5,)).where("_has_market_data and roc5 is not null")
         s = status.buyable_at_signal(f, self.market)
-        return s.select("trade_date", F.lit("1500").alias("trade_time"), "ts_code", (-F.col("roc5")).alias("pred"), F.lit(True).alias("is_model_candidate"), "is_buyable_at_signal", F.col("close").alias("signal_price"), F.col("adj_factor").alias("signal_adjustment_factor"))
+        s = s.select("trade_date", F.lit("1500").alias("trade_time"), "ts_code", (-F.col("roc5")).alias("pred"), F.lit(True).alias("is_model_candidate"), "is_buyable_at_signal", F.col("close").alias("signal_price"), F.col("adj_factor").alias("signal_adjustment_factor"))
+        return stored(s, "signals")
 
-    @property
+    @cached_property
     def labels(self) -> DataFrame:
         return labels.next_day_labels(self.signals, self.market, self.days)
 
-    @property
+    @cached_property
     def ranked(self) -> DataFrame:
         return signals.target_ranks(signals.rank_signals(self.signals))
