@@ -337,7 +337,7 @@ def _cut(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], with_text: bool) -
     return docs.select("doc_id", "text", "_told", *extra, *[F.col("text").alias("_text")] * with_text).mapInArrow(run, schema)
 
 
-def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False, keep: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept, and with_text also text; and the columns keep.
 
     Words are runs without ASCII white space. A word is removed if a window over it (WINDOW words) also starts in a
@@ -349,12 +349,12 @@ def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False,
     only windows whose fingerprint two documents share are then compared, by 96 bits of their words' hash. A fingerprint
     that very many documents share goes to all tasks in a list of bounded size; if it were longer, fewer count as such.
     """
-    spark = docs.sparkSession
+    spark = docs.sparkSession  # buckets: a power of two, by default one for each BUCKET_BYTES of text
     taken = {"doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept", "_told"}
     named = {c: f"{c}_" if c in taken else c for c in keep}  # a column of a result's name comes back as name_
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(n) for c, n in named.items()])
     size, cuts = docs.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [1.0])).first()
-    buckets = 1 << max(10, min(20, ((size or 0) // BUCKET_BYTES).bit_length()))
+    buckets = buckets or 1 << max(10, min(20, ((size or 0) // BUCKET_BYTES).bit_length()))
     cuts = sorted(set(cuts or []))[: batches - 1]
     limits = [None, *cuts, None]
     hot_docs = HOT_DOCS

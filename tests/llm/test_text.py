@@ -133,7 +133,7 @@ def test_substring_dedup(spark, awkward):
     want = brute_cut([(r.doc_id, r.text) for r in docs.collect()])
     assert sum(r[2] for r in want) > 100
     for batches in (1, 3):
-        got = substring.dedup_substrings(docs, batches)
+        got = substring.dedup_substrings(docs, batches, buckets=8)
         assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()), key=repr) == want
 
 
@@ -141,14 +141,14 @@ def test_substring_hot_and_extra(spark, awkward, monkeypatch):
     monkeypatch.setattr(substring, "HOT_DOCS", 2)  # most shared windows are told to all
     rows = [(i, f"own{i} " * 3 + " ".join(f"common{k}" for k in range(30)) + f" tail{i}") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup_substrings(docs, 2).collect()), key=repr) == brute_cut(rows)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup_substrings(docs, 2, buckets=8).collect()), key=repr) == brute_cut(rows)
     monkeypatch.setattr(substring, "HOT_ROWS", 5)  # too many: fewer count as such
-    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup_substrings(docs, 2).collect()), key=repr) == brute_cut(rows)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup_substrings(docs, 2, buckets=8).collect()), key=repr) == brute_cut(rows)
     keep = tuple(c for c in awkward.columns if c not in ("doc_id", "text"))
-    out = substring.dedup_substrings(awkward, 2, with_text=True, keep=keep)
+    out = substring.dedup_substrings(awkward, 2, with_text=True, keep=keep, buckets=8)
     assert out.count() == awkward.count() and {"n_words", "n_words_", "kept_", "text", "lang"} <= set(out.columns)
-    assert substring.dedup_substrings(awkward.limit(0)).count() == 0
-    assert substring.dedup_substrings(awkward.where("doc_id in (4, 6)")).where("n_removed > 0").count() == 0
+    assert substring.dedup_substrings(awkward.limit(0), buckets=8).count() == 0
+    assert substring.dedup_substrings(awkward.where("doc_id in (4, 6)"), buckets=8).where("n_removed > 0").count() == 0
 
 
 def test_quality(spark, awkward):
