@@ -71,11 +71,11 @@ def growth(r: Column) -> Column:
     return F.product(1 + r) - 1
 
 
-def rounded(df: DataFrame, *keep: str, places: int = 6) -> DataFrame:
-    """Doubles rounded for reports and comparison, from 100,000 on to nine digits; no negative zero, no NaN."""
+def rounded(df: DataFrame, *keep: str, places: int = 6, digits: int = 12) -> DataFrame:
+    """Doubles rounded for reports and comparison, from 100,000 on to so many digits; no negative zero, no NaN."""
 
     def short(c: Column) -> Column:
         x = finite(c)
-        return F.when(F.abs(x) < 1e5, F.round(x, places) + 0.0).otherwise(F.format_string("%.8e", x).cast("double"))
+        return F.when(F.abs(x) < 1e5, F.round(x, places) + 0.0).otherwise(F.format_string(f"%.{digits - 1}e", x).cast("double"))
 
     return df.select(*[F.when(is_finite(F.col(c)), short(F.col(c))).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])

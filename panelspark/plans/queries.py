@@ -20,11 +20,11 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None, weekly: bool = True) -> Callable:
+def query(name: str, oracle: str | None = None, weekly: bool = True, digits: int = 12) -> Callable:
     """Registers a function of Tables."""
 
     def register(f: Callable[[Tables], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(Tables(spark, sf_dir, weekly)))
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(Tables(spark, sf_dir, weekly)), digits=digits)
         if oracle:
             SQL[name] = oracle
         return f
@@ -32,8 +32,8 @@ def query(name: str, oracle: str | None = None, weekly: bool = True) -> Callable
     return register
 
 
-def cols(*names: str) -> str:
-    return ", ".join(fin(n) for n in names)
+def cols(*names: str, digits: int = 12) -> str:
+    return ", ".join(fin(n, digits=digits) for n in names)
 
 
 OHLC = ("open", "high", "low", "close", "vol", "amount")
@@ -328,7 +328,7 @@ def market_moments(t: Tables) -> DataFrame:
 CONTEXT = ("beta", "momentum5", "momentum10", "momentum20", "residual_vol", "downside")
 
 
-@query("context_features", sql(f"select trade_date, ts_code, {cols(*CONTEXT)} from cx"))
+@query("context_features", sql(f"select trade_date, ts_code, {cols(*CONTEXT, digits=8)} from cx"), digits=8)
 def context_features(t: Tables) -> DataFrame:
     return context.context(t.panel).select("trade_date", "ts_code", *CONTEXT)
 
