@@ -71,7 +71,7 @@ def growth(r: Column) -> Column:
     return F.product(1 + r) - 1
 
 
-def rounded(df: DataFrame, *keep: str, places: int = 6, digits: int = 12) -> DataFrame:
+def rounded(df: DataFrame, *keep: str, places: int = 6, digits: int = 9) -> DataFrame:
     """Doubles rounded for reports and comparison, from 100,000 on to so many digits; no negative zero, no NaN."""
 
     def short(c: Column) -> Column:

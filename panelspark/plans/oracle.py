@@ -9,7 +9,7 @@ from ..operators import features
 FEE = "0.0005::double", "0.0015::double"
 
 
-def fin(expr: str, name: str | None = None, digits: int = 12) -> str:
+def fin(expr: str, name: str | None = None, digits: int = 9) -> str:
     """A double rounded as the queries round it; null where it isn't finite."""
     x = f"({expr})::double"
     return f"case when isfinite({x}) then case when abs({x}) < 1e5::double then round({x}, 6) + 0.0::double else printf('%.{digits - 1}e', {x})::double end end as {name or expr}"

@@ -20,7 +20,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None, weekly: bool = True, digits: int = 12) -> Callable:
+def query(name: str, oracle: str | None = None, weekly: bool = True, digits: int = 9) -> Callable:
     """Registers a function of Tables."""
 
     def register(f: Callable[[Tables], DataFrame]) -> Callable:
@@ -32,7 +32,7 @@ def query(name: str, oracle: str | None = None, weekly: bool = True, digits: int
     return register
 
 
-def cols(*names: str, digits: int = 12) -> str:
+def cols(*names: str, digits: int = 9) -> str:
     return ", ".join(fin(n, digits=digits) for n in names)
 
 
@@ -60,7 +60,7 @@ def lifecycle_bounds(t: Tables) -> DataFrame:
 ADJUSTED = ("_open", "_high", "_low", "_close", "_volume", "_vwap")
 
 
-@query("panel_dense", sql(f"select ts_code, name, trade_date, _trade_index::bigint as _trade_index, _has_market_data, {cols(*ADJUSTED)} from panel"))
+@query("panel_dense", sql(f"select ts_code, name, trade_date, _trade_index::bigint as _trade_index, _has_market_data, {cols(*ADJUSTED, digits=12)} from panel"), digits=12)
 def panel_dense(t: Tables) -> DataFrame:
     return t.panel.select("ts_code", "name", "trade_date", "_trade_index", "_has_market_data", *ADJUSTED)
 
@@ -113,7 +113,7 @@ def kbar_features(t: Tables) -> DataFrame:
 LAGS = {"prev_close": "_pc", "prev_volume": "_pv", "close_change": "_dp", "volume_change": "_dv", "close_ratio": "_cr", "log_volume_ratio": "_lvr"}
 
 
-@query("lag_inputs", sql(f"select ts_code, trade_date, {', '.join(fin(e, n) for n, e in LAGS.items())} from lagged"))
+@query("lag_inputs", sql(f"select ts_code, trade_date, {', '.join(fin(e, n, 12) for n, e in LAGS.items())} from lagged"), digits=12)
 def lag_inputs(t: Tables) -> DataFrame:
     return t.lagged.select("ts_code", "trade_date", *[F.col(e).alias(n) for n, e in LAGS.items()])
 
