@@ -31,7 +31,7 @@ def usable(embedding: F.Column) -> F.Column:
 
 
 def _edges(ids: np.ndarray, sims: np.ndarray, take: np.ndarray) -> pa.RecordBatch:
-    a, b = np.nonzero(take)
+    a, b = np.nonzero(take & (ids[:, None] != ids[None, :]))  # a block may hold a vector of two orders
     return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(sims[a, b])], ["id", "nbr", "sim"])
 
 
