@@ -102,7 +102,7 @@ def test_decontamination(spark, awkward, monkeypatch):
     want = brute_hits([(r.doc_id, r.text) for r in docs.collect()], [(i, t) for i, t in items if i is not None])
     stored = docs.coalesce(1).persist()
     bench = bench.where("item_id is not null")
-    for block in (100_000, 3):
+    for block in (100_000, 12):
         monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
         got = decontaminate.decontaminate(stored, bench)
         assert got.columns == ["doc_id", "n_words", "items", "n_hit", "contaminated"]
