@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, packing, quality, simhash, substring
+from panelspark.llm import decontaminate, packing, quality, similar, substring
 from panelspark.llm.common import broadcast_if_small, materialize, table
 from panelspark.llm.queries import tokenizer_path
 
 #: Documents that score less are rejected.
 MIN_QUALITY = 0.3
-#: Two documents are near copies if the fingerprints of their sets of word pairs differ in so many bits at most. On the
-#: test tables that takes in 99 in 100 of the pairs whose sets of five-word shingles have a similarity of 0.8 or more.
-NEAR_BITS, NEAR_SHINGLE = 9, 2
+#: Two documents are near copies if their sets of five-word shingles share NEAR_PERCENT hundredths of their union or more.
+#: Candidates are those whose fingerprints of sets of word pairs differ in so many bits at most.
+NEAR_BITS, NEAR_SHINGLE, NEAR_PERCENT = 9, 2, 80
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 IDS = 500_000
 
@@ -35,7 +35,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near copies the document of the smallest doc_id, once."""
-    groups = materialize(simhash.near_duplicates(docs, NEAR_BITS, NEAR_SHINGLE, distinct=True).select("doc_id", "component_id"), "groups")
+    rows = similar.near_copies(docs, NEAR_BITS, NEAR_SHINGLE, percent=NEAR_PERCENT)
+    groups = materialize(rows.select("doc_id", F.col("first_id").alias("component_id")), "groups")
     gone = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     kept = _without(docs, gone)
     twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
