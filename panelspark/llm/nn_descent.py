@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,16 +128,41 @@ def neighbour_graph(nodes: DataFrame, dim: int, threshold: float, k: int = 10, m
     return graph.select("id", "nbr", "sim")
 
 
-def _block_links(members: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(rep, links): exact numbers of linked vectors inside each component of members (component, rep, vec, n), block by
-    block; no pair leaves a block."""
+def _blocks(members: DataFrame, dim: int) -> DataFrame:
+    """(block, component, centre, reach): the mean direction of each block of members and the widest angle to it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x = _matrix(t.column("vec"), dim)
+        c = x.sum(0)
+        c = c / (np.sqrt(c @ c) or 1.0)
+        reach = float(np.arccos(np.clip((x @ c).min(), -1, 1)))
+        return pa.table({"block": t.column("block")[:1], "component": t.column("component")[:1], "centre": pa.array([c], pa.list_(pa.float64())), "reach": pa.array([reach])})
+
+    return members.groupBy("block").applyInArrow(run, "block string, component long, centre array<double>, reach double")
+
+
+def _block_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(i, j) of blocks that may hold linked vectors: all of one component, and those of two whose angles let them reach the threshold."""
+    i = blocks.select(*[F.col(c).alias(f"{c}_i") for c in blocks.columns])
+    j = blocks.select(*[F.col(c).alias(f"{c}_j") for c in blocks.columns])
+    dot = F.aggregate(F.zip_with("centre_i", "centre_j", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    may = F.acos(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0))) - F.col("reach_i") - F.col("reach_j") <= math.acos(threshold) + 1e-6
+    return i.join(j, (F.col("block_i") <= F.col("block_j")) & ((F.col("component_i") == F.col("component_j")) | may)).select(F.col("block_i").alias("i"), F.col("block_j").alias("j"))
+
+
+def _block_links(members: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of members (component, rep, vec, n): (rep, links), exact numbers of linked vectors among all members, and (u, v),
+    components that a link joins. Block by block; pairs of blocks that are too far apart to link are passed over."""
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(broadcast_if_small(sizes, 100_000), "component").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "vec", "n")
+    own = F.concat_ws("-", "component", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = materialize(members.join(broadcast_if_small(sizes, 100_000), "component").select(own.alias("block"), "component", "rep", "vec", "n"), "placed")
+    pairs = materialize(_block_pairs(materialize(_blocks(placed, dim), "blocks"), threshold), "pairs")
+    ends = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    spread = placed.join(ends, "block").select("i", "j", F.col("block").alias("own"), "component", "rep", "vec", "n")
 
     def run(t: pa.Table) -> pa.Table:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        own, ids, n = t.column("own").to_numpy(), t.column("rep").to_numpy(), t.column("n").to_numpy()
+        own, ids, n, component = t.column("own").to_numpy(), t.column("rep").to_numpy(), t.column("n").to_numpy(), t.column("component").to_numpy()
         x = _matrix(t.column("vec"), dim)
         a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
         links = np.zeros(len(ids), np.int64)
@@ -146,13 +172,16 @@ def _block_links(members: DataFrame, dim: int, threshold: float) -> DataFrame:
             links[rows] += linked @ n[b]
             if i != j:
                 links[b] += n[rows] @ linked
-        return pa.table({"rep": ids, "links": links})
+        joined = np.where(links.any(), component[b[0]], component[a[0]])
+        return pa.table({"rep": ids, "links": links, "u": component[a[0]] + np.zeros(len(ids), np.int64), "v": joined + np.zeros(len(ids), np.int64)})
 
-    return spread.groupBy("component", "i", "j").applyInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    found = materialize(spread.groupBy("i", "j").applyInArrow(run, "rep long, links long, u long, v long"), "block_links")
+    return found.groupBy("rep").agg(F.sum("links").alias("links")), found.where("u <> v").select("u", "v").distinct()
 
 
 def audit(nodes: DataFrame, links: DataFrame, dim: int, threshold: float, queries: int = 300) -> float:
-    """The share of the links of a bounded, hashed sample of nodes that links (rep, links) has; exact ones by comparing with all rows."""
+    """The share of the links of a bounded, hashed sample of nodes that links (rep, links) has, or its mean over the nodes
+    that have links if that is less; exact ones by comparing with all rows."""
     asked = nodes.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(queries).select("rep", "vec").toArrow()
     if not asked.num_rows:
         return 1.0
@@ -168,8 +197,9 @@ def audit(nodes: DataFrame, links: DataFrame, dim: int, threshold: float, querie
         yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(total)], ["rep", "exact"])
 
     exact = nodes.select("rep", "vec", "n").mapInArrow(run, "rep long, exact long").groupBy("rep").agg(F.sum("exact").alias("exact"))
-    have, want = exact.join(links, "rep", "left").agg(F.sum(F.least(F.coalesce("links", F.lit(0)), "exact")), F.sum("exact")).first()
-    return 1.0 if not want else have / want
+    have = F.least(F.coalesce("links", F.lit(0)), "exact")
+    found, want, mean = exact.join(links, "rep", "left").agg(F.sum(have), F.sum("exact"), F.avg(F.when(F.col("exact") > 0, have / F.col("exact")))).first()
+    return 1.0 if not want else min(found / want, mean)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, most: int = 40, recall: float = 0.9, tries: int = 3) -> DataFrame:
@@ -180,9 +210,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, mos
     non-finite components, and those of another length than most, link with nothing, nor does a null vec_id (component
     null, kept false). Rows that repeat a vec_id and vector are copies. Other columns are left out.
 
-    A node whose list is full of links at its largest size (most) is saturated: the links inside its component are
-    then counted exactly in blocks. Recall is audited on a hashed sample; below the wished value the graph is built
-    again from more and other orders, and lists twice as long.
+    A node whose list is full of links at its largest size (most) is saturated: the links inside its component and with
+    the components of other saturated nodes are then counted exactly in blocks, and join those components. Recall is
+    audited on a hashed sample, for all links and as the mean over the nodes that have some; below the wished value the
+    graph is built again from more and other orders, and lists twice as long, and after so many tries that is an error.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     good = rows.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
@@ -200,13 +231,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, mos
         full = links.groupBy("id").count().where(F.col("count") >= most << attempt).select(F.col("id").alias("node"))
         dense = materialize(components.join(full, "node").select("component").distinct(), "dense")
         members = components.join(broadcast_if_small(dense, 100_000), "component", "left_semi").join(nodes, F.col("node") == F.col("rep")).select("component", "rep", "vec", "n")
-        exact = materialize(_block_links(members, dim, threshold), "exact")
+        exact, joined = _block_links(members, dim, threshold)
+        exact = materialize(exact, "exact")
+        if joined.limit(1).count():
+            merged = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+            components = materialize(components.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component")), "components")
         both = links.select("id", "nbr").union(links.select("nbr", "id")).distinct()
         listed = both.join(nodes.select(F.col("rep").alias("nbr"), "n"), "nbr").groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("links"))
         counted = listed.join(exact.select("rep"), "rep", "left_anti").unionByName(exact)
         counted = materialize(counted, "counted")
-        if audit(nodes, counted, dim, threshold) >= recall:
+        reached = audit(nodes, counted, dim, threshold)
+        if reached >= recall:
             break
+    else:
+        raise RuntimeError(f"{reached:.3f} of the links found in {tries} tries, {recall} wished")
     node = nodes.join(counted, "rep", "left").join(components, F.col("rep") == F.col("node"), "left")
     node = materialize(node.select(F.col("vec").alias("_vec"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_links"), F.coalesce("component", "rep").alias("_component")), "classes")
     named = rows.join(node, (rows.embedding == node._vec) & rows.vec_id.isNotNull(), "left")
