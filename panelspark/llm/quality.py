@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled rows per class that a model may see, and characters of each that go into a dictionary or a calibration.
-ROWS_PER_CLASS, TRAIN_CHARS = 1500, 8000
+#: Labelled rows per class that a model may see.
+ROWS_PER_CLASS = 1500
 DICTIONARY_BYTES, LEVEL = 448 << 10, 3
+#: Bytes of a piece of a text that goes into a dictionary.
+PIECE = 150
 
 
 @dataclass
@@ -32,13 +34,18 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """Pieces of all texts in turn until the dictionary is full: raw content, so no sample is too small for it."""
-    if not texts:
-        return b"\n"
-    share = max(200, DICTIONARY_BYTES // len(texts))
-    out = b"\n".join(t[:share] for t in texts)
-    return out[:DICTIONARY_BYTES] or b"\n"
+def _pieces(text: bytes, share: int) -> bytes:
+    """So many bytes of a text, in pieces spread evenly from its start to its end; a text of no more than that whole."""
+    if len(text) <= share:
+        return text
+    n = max(2, share // PIECE)
+    size = share // n
+    return b"\n".join(text[(at := k * (len(text) - size) // (n - 1)) : at + size] for k in range(n))
+
+
+def _dictionary(pieces: list[bytes]) -> bytes:
+    """The texts' pieces in turn until the dictionary is full: raw content, so no sample is too small for it."""
+    return b"\n".join(pieces)[:DICTIONARY_BYTES] or b"\n"
 
 
 class Sizer:
@@ -80,23 +87,52 @@ def _fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
+def _chosen(docs: DataFrame, known: DataFrame, rows_per_class: int) -> dict[int, list[tuple[int, int]]]:
+    """By class, (doc_id, xxhash64 of text) of the labelled rows to learn from, rows_per_class at most; equal rows count once."""
+    ids = [known.where(F.col("quality") == q).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for q in (0, 1)]
+    found = docs.select("doc_id", F.xxhash64("text").alias("h")).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").distinct()
+    return {q: [(r["doc_id"], r["h"]) for r in found.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(rows_per_class).collect()] for q in (0, 1)}
+
+
+def _of_rows(docs: DataFrame, keys: list[tuple[int, int]], make: Callable[[], Callable[[bytes], object]], kind: str) -> list:
+    """What make()(text) gives for the whole text of each key, in the order of keys; computed in tasks, so texts stay there."""
+    spark = docs.sparkSession
+    if not keys:
+        return []
+    wanted = F.broadcast(spark.createDataFrame(keys, "doc_id long, h long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for b in batches:
+            made = [f((t.as_py() or "").encode()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary() if kind == "binary" else pa.list_(pa.float64()))], ["doc_id", "h", "made"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").join(wanted, ["doc_id", "h"]).select("doc_id", "h", "text")
+    got = texts.mapInArrow(run, f"doc_id long, h long, made {kind}").dropDuplicates(["doc_id", "h"]).collect()
+    made = {(r["doc_id"], r["h"]): r["made"] for r in got}
+    return [made[k] for k in keys]
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Model:
     """Learns from labelled rows that aren't held out, rows_per_class of each quality at most, those of least hash.
 
-    Half of them (by turns) make the dictionaries, the others the calibration, weighted as the labels' classes are.
+    Half of them (by turns) make the dictionaries, from pieces spread over each whole text; the others the calibration,
+    on their whole texts, weighted as the labels' classes are. Only pieces and features reach the driver.
     labels: doc_id, quality; null ids, null qualities and all other columns are left out. Without labels of both
     kinds every score is 0.5, or near the only label.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     totals = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
-    ids = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for q in (0, 1)]
-    chosen = F.broadcast(ids[0].unionByName(ids[1]))
-    rows = docs.select("doc_id", F.left(F.coalesce("text", F.lit("")), F.lit(TRAIN_CHARS)).alias("text")).join(chosen, "doc_id").select("doc_id", "text", "quality").collect()
-    by = {q: [r["text"].encode() for r in sorted(rows, key=lambda r: (hash(r["doc_id"]), r["text"])) if r["quality"] == q] for q in (0, 1)}
-    sizer = Sizer(good := _dictionary(by[1][::2]), bad := _dictionary(by[0][::2]))
-    rest = [(sizer.features(t), q) for q in (0, 1) for t in by[q][1::2]]
+    by = _chosen(docs, known, rows_per_class)
+    halves = {q: (by[q][::2], by[q][1::2]) for q in by}
+    content = {}
+    for q, (half, _) in halves.items():
+        share = max(200, DICTIONARY_BYTES // max(1, len(half)))
+        content[q] = _dictionary([bytes(p) for p in _of_rows(docs, half, lambda share=share: lambda t: _pieces(t, share), "binary")])
+    good, bad = content[1], content[0]
+    rest = [(f, q) for q in (0, 1) for f in _of_rows(docs, halves[q][1], lambda: Sizer(good, bad).features, "array<double>")]
     if not rest:
-        return Model(good, bad, (0.0,) * len(sizer.features(b"")))
+        return Model(good, bad, (0.0,) * len(Sizer(good, bad).features(b"")))
     x, y = np.array([f for f, _ in rest]), np.array([q for _, q in rest], float)
     keep = np.array([max(totals.get(q, 1), 1) / max(len(by[q]), 1) for q in (0, 1)])
     times = np.maximum(1, np.round(keep / keep.min() * 4)).astype(int)[y.astype(int)]
