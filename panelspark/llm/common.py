@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +23,14 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where none is set (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set a local run gets a new one; a
+    cluster is refused, as its machines wouldn't share it."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(root)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")
 
@@ -43,6 +47,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_area(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A materialize() whose tables are deleted at the end; for those that no later plan reads."""
+    root = scratch(spark, name)
+
+    def put(df: DataFrame, table_name: str) -> DataFrame:
+        path = f"{root}/{table_name}-{uuid.uuid4().hex[:12]}"
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield put
+    finally:
+        drop_path(spark, root)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a scratch path that no later plan reads."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

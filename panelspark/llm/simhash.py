@@ -13,12 +13,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_small, materialize
 from .components import connected_components
 
 BITS = 64
 #: What comparing a pair costs, a probe being 1.
 PAIR = 0.002
+#: Up to so many differing bits, a second key keeps the runs short.
+SECOND_KEY = 3
+#: Probes that a fingerprint may make of one group of bits.
+MOST_PROBES = 4096
+#: A row is kept under its value, probes another, or (at threshold 0) both.
+KEPT, PROBE, BOTH = 0, 1, 2
+#: Rows of one value of a group of bits that one task compares; more are dealt in pieces of half as many.
+RUN = 8192
 _xxh64 = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -90,8 +98,9 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def allocate(costs: list[list[float]], distance: int) -> list[int]:
+def allocate(costs: list[list[float]], distance: int) -> list[int] | None:
     """Thresholds, -1 and up, that sum to distance - parts + 1 at the least total cost; costs[i][t + 1] is part i's at t.
+    None if the costs' thresholds don't reach that sum.
 
     Two fingerprints within distance agree within its threshold on some part, for else they would differ in at least
     sum(t + 1) = distance + 1 bits.
@@ -104,7 +113,7 @@ def allocate(costs: list[list[float]], distance: int) -> list[int]:
                 if spent + t1 <= distance + 1 and (spent + t1 not in step or cost + c < step[spent + t1][0]):
                     step[spent + t1] = (cost + c, [*chosen, t1 - 1])
         best = step
-    return best[distance + 1][1]
+    return best[distance + 1][1] if distance + 1 in best else None
 
 
 def _mask(bits: list[int]) -> int:
@@ -132,44 +141,26 @@ def plan_parts(classes: DataFrame, distance: int, choices: tuple[int, ...]) -> t
             for b in g:
                 dist = np.convolve(dist, [1 - differ[b], differ[b]])
             within = np.cumsum(dist)
-            top = min(distance, len(g))
-            costs.append([0.0] + [PAIR * equal.get((m, i), 0.0) * within[t] / max(within[0], 1e-300) + n * sum(comb(len(g), d) for d in range(t + 1)) for t in range(top + 1)])
+            probes = np.cumsum([comb(len(g), d) for d in range(min(distance, len(g)) + 1)])
+            costs.append([0.0] + [PAIR * equal.get((m, i), 0.0) * within[t] / max(within[0], 1e-300) + max(n, 1) * float(k) for t, k in enumerate(probes) if k <= MOST_PROBES])
         chosen = allocate(costs, distance)
+        if chosen is None:
+            continue
         total = sum(c[t + 1] for c, t in zip(costs, chosen, strict=True))
         if best is None or total < best[0]:
             best = (total, groups, chosen)
+    if best is None:
+        raise ValueError(f"no choice of {choices} groups reaches distance {distance} within {MOST_PROBES} probes")
     return best[1], best[2]
 
 
-def linked_pairs(classes: DataFrame, distance: int, choices: tuple[int, ...] = (3,)) -> DataFrame:
-    """(u, v) of classes (fp, rep), rep of the first less than of the second, whose fingerprints differ in distance bits at most.
+def _run_links(fp: np.ndarray, rep: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the pairs of a run (rows a, kept under the value, against rows b, that probe it) connect.
 
-    A pair must agree within the threshold on some group of bits and fully on one of distance + 1 cuts of the others:
-    both are part of the join key, so a group that many share does not pair them all. The bits are counted in the
-    join, which gives linked pairs alone; adaptive execution may split any key.
+    The pairs are counted in blocks; each row links to the least label it meets, until no label falls.
     """
-    groups, thresholds = plan_parts(classes, distance, choices)
-    left, right = [], []
-    for i, (g, t) in enumerate(zip(groups, thresholds, strict=True)):
-        if t < 0:
-            continue
-        others = [b for k, h in enumerate(groups) if k != i for b in h]
-        flips = [_mask(list(c)) for d in range(t + 1) for c in combinations(g, d)]
-        for j in range(distance + 1):
-            part, mask = i * (distance + 1) + j, _mask(g + others[j :: distance + 1])
-            key = F.col("fp").bitwiseAND(mask)
-            left.append(F.struct(F.lit(part).alias("part"), key.alias("key")))
-            right += [F.struct(F.lit(part).alias("part"), key.bitwiseXOR(x).alias("key")) for x in flips]
-    side = lambda keys, fp, rep: classes.where("rep is not null").select(F.col("fp").alias(fp), F.col("rep").alias(rep), F.explode(F.array(*keys)).alias("k")).select(fp, rep, "k.part", "k.key")
-    pairs = side(left, "fp1", "u").join(side(right, "fp2", "v"), ["part", "key"])
-    near = F.bit_count(F.col("fp1").bitwiseXOR(F.col("fp2"))) <= distance
-    return pairs.where((F.col("u") < F.col("v")) & near).select("u", "v") if max(thresholds) <= 0 else pairs.where((F.col("u") != F.col("v")) & near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-
-
-def _run_links(fp: np.ndarray, rep: np.ndarray, probe: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what the pairs of a run (index rows against probes) connect: each row with its least rep."""
-    a, b = np.flatnonzero(~probe), np.flatnonzero(probe)
     label = rep.copy()
+    most = np.iinfo(np.int64).max
     rows = max(1, (1 << 22) // max(1, len(b)))
     while True:
         old = label.copy()
@@ -178,60 +169,104 @@ def _run_links(fp: np.ndarray, rep: np.ndarray, probe: np.ndarray, distance: int
             near = np.bitwise_count(fp[part][:, None] ^ fp[b][None, :]) <= distance
             if not near.any():
                 continue
-            label[part] = np.minimum(label[part], np.where(near, label[b][None, :], np.iinfo(np.int64).max).min(1))
-            label[b] = np.minimum(label[b], np.where(near, label[part][:, None], np.iinfo(np.int64).max).min(0))
+            label[part] = np.minimum(label[part], np.where(near, label[b][None, :], most).min(1))
+            label[b] = np.minimum(label[b], np.where(near, label[part][:, None], most).min(0))
         if (label == old).all():
             break
     moved = label != rep
     return label[moved], rep[moved]
 
 
-def linking_forest(classes: DataFrame, distance: int, choices: tuple[int, ...] = (3, 4, 5, 6)) -> DataFrame:
-    """(u, v) links that connect classes (fp, rep) as all pairs within distance do, without listing all pairs.
+def _linked(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
+    none = [np.empty(0, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us or none)), pa.array(np.concatenate(vs or none))], ["u", "v"])
 
-    For distances whose thresholds are above zero: each fingerprint is indexed under its value of each group of bits,
-    and probes the values within the group's threshold. Rows of one value meet in one task, sorted, where the bits are
-    counted in blocks; it gives a link a row at most, so a large group of copies doesn't multiply.
-    """
-    groups, thresholds = plan_parts(classes, distance, choices)
-    keys = []
-    for i, (g, t) in enumerate(zip(groups, thresholds, strict=True)):
-        if t >= 0:
-            key = F.col("fp").bitwiseAND(_mask(g))
-            flips = [_mask(list(c)) for d in range(t + 1) for c in combinations(g, d)]
-            keys.append(F.struct(F.lit(i).alias("part"), key.alias("key"), F.lit(False).alias("probe")))
-            keys += [F.struct(F.lit(i).alias("part"), key.bitwiseXOR(x).alias("key"), F.lit(True).alias("probe")) for x in flips]
-    rows = classes.where("rep is not null").select("fp", "rep", F.explode(F.array(*keys)).alias("k")).select("k.part", "k.key", "fp", "rep", "k.probe")
+
+def _whole_runs(rows: DataFrame, distance: int) -> DataFrame:
+    """Links of the runs (rows of one part and key) of RUN rows at most: many runs in a task, each held whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
-        def flush(cols: list[np.ndarray], last: bool) -> tuple[list[pa.RecordBatch], list[np.ndarray]]:
-            part, key, fp, rep, probe = cols
+        def flush(cols: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+            part, key, fp, rep, role = cols
             cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
             ends = np.append(cut[1:], len(key))
+            runs = np.flatnonzero((ends - cut)[: None if last else -1] > 1)
             us, vs = [], []
-            for s, e in zip(cut, ends, strict=True) if last else zip(cut[:-1], ends[:-1], strict=True):
-                if e - s > 1:
-                    u, v = _run_links(fp[s:e], rep[s:e], probe[s:e], distance)
-                    us.append(u)
-                    vs.append(v)
-            out = [pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])] if us else []
-            return out, [c[cut[-1] :] for c in cols]
+            for s, e in zip(cut[runs], ends[runs], strict=True):
+                u, v = _run_links(fp[s:e], rep[s:e], np.flatnonzero(role[s:e] != PROBE), np.flatnonzero(role[s:e] != KEPT), distance)
+                us.append(u)
+                vs.append(v)
+            return _linked(us, vs), [c[cut[-1] :] for c in cols]
 
         n = 0
         for b in batches:
-            cols = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)]
+            cols = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy(), b.column(4).to_numpy()]
             held.append(cols)
             n += len(cols[0])
             if n > 200_000:
                 out, rest = flush([np.concatenate(c) for c in zip(*held, strict=True)], False)
-                yield from out
-                held, n = [rest], 0  # a run longer than this waits for its end
+                yield out
+                held, n = [rest], 0
         if held and sum(len(h[0]) for h in held):
-            yield from flush([np.concatenate(c) for c in zip(*held, strict=True)], True)[0]
+            yield flush([np.concatenate(c) for c in zip(*held, strict=True)], True)[0]
+
+    return rows.select("part", "key", "fp", "rep", "role").repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(run, "u long, v long")
+
 
-    return rows.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(run, "u long, v long").distinct()
+def _split_runs(rows: DataFrame, distance: int) -> DataFrame:
+    """Links of runs (with their number of pieces) that are too long for a task: salted into pieces of about RUN / 2 rows, and
+    every two pieces meet in a task of their own, which gives a link a row at most."""
+    piece = F.pmod(F.xxhash64("rep", "fp"), F.col("pieces")).cast("int")
+    dealt = rows.withColumn("own", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = dealt.select("part", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "rep", "role")
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j, own = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("own").to_numpy()
+        fp, rep, role = t.column("fp").to_numpy().view(np.uint64), t.column("rep").to_numpy(), t.column("role").to_numpy()
+        us, vs = [], []
+        for x, y in {(i, j), (j, i)}:
+            u, v = _run_links(fp, rep, np.flatnonzero((own == x) & (role != PROBE)), np.flatnonzero((own == y) & (role != KEPT)), distance)
+            us.append(u)
+            vs.append(v)
+        return pa.Table.from_batches([_linked(us, vs)])
+
+    return dealt.groupBy("part", "key", "i", "j").applyInArrow(run, "u long, v long")
+
+
+def linking_forest(classes: DataFrame, distance: int, choices: tuple[int, ...] = (3, 4, 5, 6)) -> DataFrame:
+    """(u, v) links that connect classes (fp, rep) as all pairs within distance do, without listing all pairs.
+
+    A pair must agree within the threshold on some group of bits: each fingerprint is kept under its value of each group,
+    and probes the values within the group's threshold. Up to a distance of SECOND_KEY a pair must also agree fully on one
+    of distance + 1 cuts of the other bits, which is then part of the key. Rows of one value meet in one task, sorted,
+    where the bits are counted in blocks; it gives a link a row at most, so a large group of copies doesn't multiply. A
+    value of more than RUN rows is dealt in pieces, of which every two meet in a task: its work grows with the square of
+    the different fingerprints that share the value, its memory does not. Fewer than two classes give no links.
+    """
+    classes = classes.where("rep is not null")
+    if classes.limit(2).count() < 2:
+        return classes.sparkSession.createDataFrame([], "u long, v long")
+    groups, thresholds = plan_parts(classes, distance, choices)
+    keys = []
+    for i, (g, t) in enumerate(zip(groups, thresholds, strict=True)):
+        if t < 0:
+            continue
+        others = [b for k, h in enumerate(groups) if k != i for b in h]
+        cuts = [others[j :: distance + 1] for j in range(distance + 1)] if distance <= SECOND_KEY else [[]]
+        flips = [_mask(list(c)) for d in range(t + 1) for c in combinations(g, d)]
+        for j, cut in enumerate(cuts):
+            place, key = F.lit(i * len(cuts) + j).alias("part"), F.col("fp").bitwiseAND(_mask(g + cut))
+            keys.append(F.struct(place, key.alias("key"), F.lit(KEPT if t else BOTH).alias("role")))
+            keys += [F.struct(place, key.bitwiseXOR(x).alias("key"), F.lit(PROBE).alias("role")) for x in flips if t]
+    rows = classes.select("fp", "rep", F.explode(F.array(*keys)).alias("k")).select("k.part", "k.key", "fp", "rep", "k.role")
+    long = rows.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > RUN).select("part", "key", F.ceil(F.col("n") * 2 / RUN).cast("int").alias("pieces"))
+    long = materialize(long, "long_runs")
+    if not long.limit(1).count():
+        return _whole_runs(rows, distance).distinct()
+    few = broadcast_if_small(long, 100_000)
+    return _whole_runs(rows.join(few, ["part", "key"], "left_anti"), distance).union(_split_runs(rows.join(few, ["part", "key"]), distance)).distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, distinct: bool = False) -> DataFrame:
@@ -239,12 +274,12 @@ def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, distin
 
     Fingerprints link at distance or fewer differing bits; documents without words have fingerprint 0 and link like any
     other. Equal fingerprints are taken as one class from the start, so a group of copies, however large, is one row of
-    the search. Up to a distance of 3 the links are listed by a join, beyond it their forest is. A row with a null doc_id
+    the search. A row with a null doc_id
     gets its class's component, null if no document there has an id. Repeated rows stay; an empty table gives none;
     other columns are left out.
     """
     fps = materialize(fingerprints(docs, shingle, distinct), "fingerprints")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    labels = connected_components(linked_pairs(classes, distance) if distance <= 3 else linking_forest(classes, distance))
+    labels = connected_components(linking_forest(classes, distance, (3,) if distance <= SECOND_KEY else (3, 4, 5, 6)))
     named = materialize(classes.join(labels, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "components")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")

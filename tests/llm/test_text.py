@@ -207,3 +207,30 @@ def test_configurations_cover():
             for n, k in c.items():
                 got[n] = got.get(n, 0) + k * times
         assert got == h
+
+
+def test_components_of_shuffled_paths(spark):
+    rng = np.random.default_rng(2)
+    p, q = rng.permutation(3000).tolist(), [k // 2 if k % 2 else 4999 - k // 2 for k in range(2000)]  # ids that rise from both ends
+    edges = list(zip(p, p[1:])) + [(a + 10_000, b + 10_000) for a, b in zip(q, q[1:])]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in p} | {i + 10_000: min(q) + 10_000 for i in q}
+    assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_simhash_far_bits_on_tiny_tables(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "the same words in every row of this table") for i in range(5)], "doc_id long, text string")
+    for d in (docs.limit(0), docs.limit(1), docs):
+        got = simhash.near_duplicates(d, 9, 2).collect()
+        assert len(got) == d.count() and {r.component_id for r in got} <= {min((r.doc_id for r in d.collect()), default=None)}
+    monkeypatch.setattr(simhash, "RUN", 6)  # nearly every run is dealt in pieces
+    rng = np.random.default_rng(6)
+    fps = [int(x) for x in rng.integers(0, 1 << 62, 30)]
+    fps += [f ^ 1 << int(a) ^ 1 << int(b) for f in fps[:3] for a, b in rng.integers(0, 62, (60, 2))]
+    fps = sorted(set(fps))
+    classes = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, rep long")
+    for distance, choices in ((2, (3,)), (9, (3, 4, 5, 6))):
+        found = components.connected_components(simhash.linking_forest(classes, distance, choices))
+        got = {r.node: r.component for r in found.collect()}
+        want = brute_components(fps, list(range(len(fps))), distance)
+        assert {i: got.get(i, i) for i in want} == want
