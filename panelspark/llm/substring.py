@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import json
+import uuid
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +17,16 @@ from .common import drop_path, exists, materialize, scratch
 
 #: A window has WINDOW words; the index holds, for each window, the least hash of its GRAM-word grams.
 WINDOW, GRAM = 13, 6
-CHUNK_WORDS = 300_000
-BUCKET_BYTES = 1 << 20
-#: A fingerprint that so many documents of one chunk have is told to all documents, not to each; HOT_ROWS bounds their list.
-HOT_DOCS, HOT_ROWS = 16, 2_000_000
-BLOBS = "kind int, bucket int, keys binary, checks binary, ids binary, hot binary"
-FOUND = "kind int, id long, key long, bucket int, keys binary, ids binary"
-FOUND_ARROW = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
+#: Text of a group of documents, which tasks handle whole; a longer document is a group of its own.
+GROUP_BYTES = 2 << 20
+#: Text for each bucket of the index: SMALL_BUCKET up to MANY_BUCKETS buckets, beyond that LARGE_BUCKET.
+SMALL_BUCKET, LARGE_BUCKET, MANY_BUCKETS = 64 << 10, 64 << 20, 1024
+#: Text for each file bucket of the documents, and the most such buckets.
+FILE_BYTES, MOST_FILES = 16 << 20, 50_000
+#: What stands before every doc_id: documents of earlier calls.
+EARLIER = -(1 << 63)
+BLOBS = "bucket int, g long, keys binary, checks binary, least binary, spread binary, gs binary"
+FOUND = "kind int, g long, bucket int, keys binary, checks binary, least binary, gs binary"
 
 
 def _constant(k: int) -> np.uint64:
@@ -31,66 +36,61 @@ def _constant(k: int) -> np.uint64:
     return np.uint64((z ^ z >> 27) | 1)
 
 
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    """A one-to-one mix of 64 bits."""
+    h = (h ^ h >> np.uint64(32)) * _constant(salt)
+    return h ^ h >> np.uint64(29)
+
+
 def _roll(h: np.ndarray, n: int, salt: int) -> np.ndarray:
     """A 64-bit hash of every n consecutive words, from the words' hashes."""
     size = max(0, len(h) - n + 1)
     out = np.full(size, _constant(salt), np.uint64)
     for k in range(n):
         out += h[k : k + size] * _constant(100 * salt + k)
-    out ^= out >> np.uint64(32)
-    out *= _constant(salt + 7)
-    return out ^ out >> np.uint64(29)
+    return _mixed(out, salt + 7)
 
 
 class _Words(dict):
     """Hashes of words seen; bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
 
-class _Chunk:
+_KNOWN = _Words()
+
+
+class _Group:
     """The words of some documents, one after the other, and the windows that lie in one document each."""
 
-    def __init__(self, known: _Words, words: list[list[bytes]]) -> None:
-        self.words = words
-        self.sizes = np.array([len(w) for w in words], np.int64)
-        h = np.fromiter((known[x] for w in words for x in w), np.uint64, int(self.sizes.sum()))
-        self.hashes = h
-        doc = np.repeat(np.arange(len(words)), self.sizes)
+    def __init__(self, docs: pa.Table) -> None:
+        ids = docs.column("doc_id")
+        self.valid = ids.is_valid().to_numpy()
+        self.ids = ids.fill_null(EARLIER).to_numpy()
+        self.words = [t.encode().split() if t else [] for t in docs.column("text").to_pylist()]
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+
+    def hash(self) -> None:
+        self.hashes = h = np.fromiter((_KNOWN[x] for w in self.words for x in w), np.uint64, int(self.sizes.sum()))
+        doc = np.repeat(np.arange(len(self.words)), self.sizes)
         self.starts = np.flatnonzero(doc[: max(0, len(h) - WINDOW + 1)] == doc[WINDOW - 1 :])
         self.doc = doc[self.starts]
-        low = _roll(h, GRAM, 1)
+
+    def low(self) -> np.ndarray:
+        """The fingerprint of every window: the least hash of its grams, mixed, for least hashes are not spread evenly."""
+        low = _roll(self.hashes, GRAM, 1)
         for gap in (1, 2, 4):  # WINDOW - GRAM + 1 = 8 grams
             low = np.minimum(low[:-gap], low[gap:]) if len(low) > gap else low[:0]
-        self.low = low[self.starts] if len(self.starts) else np.zeros(0, np.uint64)
+        return _mixed(low[self.starts], 5) if len(self.starts) else np.zeros(0, np.uint64)
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the chosen windows: 64-bit key, and 32 bits of another hash to verify it by."""
+        """128 bits of the chosen windows' words: the key, and a check by another hash."""
         starts = self.starts[at]
-        key, check = _roll(self.hashes, WINDOW, 2), _roll(self.hashes, WINDOW, 3)
-        return key[starts], (check[starts] >> np.uint64(32)).astype(np.uint32)
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]], list]]:
-    """Rows (id, text, ...) as ids, words and the other columns' values, some CHUNK_WORDS words at a time."""
-    ids, words, rest, n = [], [], [], 0
-    for b in batches:
-        others = b.columns[2:]
-        for k, (i, t) in enumerate(zip(b.column(0), b.column(1), strict=True)):
-            w = (t.as_py() or "").encode().split()
-            ids.append(i.as_py())
-            words.append(w)
-            rest.append([c[k] for c in others])
-            n += len(w) + 20
-            if n > CHUNK_WORDS:
-                yield ids, words, rest
-                ids, words, rest, n = [], [], [], 0
-    if ids:
-        yield ids, words, rest
+        return _roll(self.hashes, WINDOW, 2)[starts], _roll(self.hashes, WINDOW, 3)[starts]
 
 
 def _pack(a: np.ndarray, step: bool = False) -> bytes:
@@ -106,238 +106,215 @@ def _unpack(b: bytes, step: bool = False) -> np.ndarray:
     return np.cumsum(a, dtype=np.uint64) if step else a
 
 
-def _groups(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
-    """Where a new (key, check) begins, in sorted arrays."""
-    if not len(keys):
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])]))
+def _edges(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a new value begins, in sorted columns."""
+    n = len(sorted_columns[0])
+    new = np.zeros(max(0, n - 1), bool)
+    for c in sorted_columns:
+        new |= c[1:] != c[:-1]
+    return np.flatnonzero(np.concatenate([np.ones(min(n, 1), bool), new]))
 
 
-def _blobs(ids: np.ndarray, keys: np.ndarray, checks: np.ndarray, buckets: int, hot_docs: int) -> pa.RecordBatch | None:
-    """A chunk's (id, key, check) rows by bucket, each once; of a key that many ids share, the two least ids and a mark."""
-    if not len(keys):
-        return None
-    order = np.lexsort((ids, checks, keys))
-    ids, keys, checks = ids[order], keys[order], checks[order]
-    same = np.concatenate([[False], (keys[1:] == keys[:-1]) & (checks[1:] == checks[:-1]) & (ids[1:] == ids[:-1])])
-    ids, keys, checks = ids[~same], keys[~same], checks[~same]
-    first = _groups(keys, checks)
-    size = np.diff(np.append(first, len(keys)))
-    hot = np.repeat(size > hot_docs, size)
-    place = np.arange(len(keys)) - np.repeat(first, size)
-    keep = ~hot | (place < 2)
-    ids, keys, checks, hot = ids[keep], keys[keep], checks[keep], hot[keep]
-    bucket = (keys >> np.uint64(64 - int(buckets).bit_length() + 1)).astype(np.int64)
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    rows: list[list] = [[] for _ in range(5)]
-    for a, z in zip(cut, [*cut[1:], len(keys)], strict=True):
-        for r, v in zip(rows, (int(bucket[a]), _pack(keys[a:z], True), checks[a:z].tobytes(), _pack(ids[a:z]), np.packbits(hot[a:z]).tobytes()), strict=True):
-            r.append(v)
-    n = len(rows[0])
-    return pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["kind", "bucket", "keys", "checks", "ids", "hot"])
-
-
-def _merged(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """All rows of a bucket, sorted by key, check and id: keys, checks, ids, hot, and whether from the batch."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(5)]
-    for kind, keys, checks, ids, hot in zip(*(table.column(c).to_pylist() for c in ("kind", "keys", "checks", "ids", "hot")), strict=True):
-        k = _unpack(keys, True)
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
+
+
+def _blobs(group: int, ids: np.ndarray, keys: np.ndarray, checks: np.ndarray | None, buckets: int) -> pa.Table:
+    """A group's fingerprints by bucket, each once, with the least and the largest doc_id that has it: however many of the
+    group's documents share one, it costs a row of the index once."""
+    c = checks if checks is not None else np.zeros(len(keys), np.uint64)
+    order = np.lexsort((ids, c, keys))
+    ids, keys, c = ids[order], keys[order], c[order]
+    first = _edges(keys, c)
+    if not len(first):
+        return _table([], BLOBS)
+    least, most = ids[first], ids[np.append(first[1:], len(ids)) - 1]
+    keys, c = keys[first], c[first]
+    bucket = keys >> np.uint64(65 - int(buckets).bit_length()) if buckets > 1 else np.zeros(len(keys), np.uint64)
+    cut = _edges(bucket)
+    rows = [(int(bucket[a]), group, _pack(keys[a:z], True), _pack(c[a:z]) if checks is not None else None, _pack(least[a:z]), _pack(most[a:z] - least[a:z]), None) for a, z in zip(cut, [*cut[1:], len(keys)], strict=True)]
+    return _table(rows, BLOBS)
+
+
+def _merged(table: pa.Table, first_group: int) -> tuple[np.ndarray, ...]:
+    """All fingerprints of a bucket, sorted by key and check: keys, checks, groups, least and largest doc_id, and whether from the batch.
+
+    Groups below first_group are of earlier calls.
+    """
+    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+    for g, keys, checks, least, spread, gs in zip(*(table.column(c).to_pylist() for c in ("g", "keys", "checks", "least", "spread", "gs")), strict=True):
+        k, low = _unpack(keys, True), _unpack(least).view(np.int64)
         n = len(k)
-        for p, v in zip(parts, (k, np.frombuffer(checks, np.uint32) if checks else np.zeros(n, np.uint32), _unpack(ids).view(np.int64), np.unpackbits(np.frombuffer(hot, np.uint8), count=n).astype(bool) if hot else np.zeros(n, bool), np.full(n, kind == 0)), strict=True):
+        if gs is not None:
+            low = np.where(_unpack(gs).view(np.int64) < first_group, EARLIER, low)
+        most = low + _unpack(spread).view(np.int64) if spread is not None else low
+        for p, v in zip(parts, (k, _unpack(checks) if checks is not None else np.zeros(n, np.uint64), np.full(n, g, np.int64) if gs is None else _unpack(gs).view(np.int64), low, most, np.full(n, gs is None)), strict=True):
             p.append(v)
-    keys, checks, ids, hot, new = (np.concatenate(p) for p in parts)
-    order = np.lexsort((ids, checks, keys))
-    return keys[order], checks[order], ids[order], hot[order], new[order]
+    columns = [np.concatenate(p) for p in parts]
+    order = np.lexsort((columns[3], columns[1], columns[0]))
+    return tuple(c[order] for c in columns)
+
 
+def _by_group(g: np.ndarray, *columns: np.ndarray | None) -> list[tuple]:
+    """(group, packed columns) for each group."""
+    order = np.argsort(g, kind="stable")
+    cut = _edges(g[order])
+    return [(int(g[order[a]]), *(None if c is None else _pack(c[order[a:z]]) for c in columns)) for a, z in zip(cut, [*cut[1:], len(g)], strict=False)]
 
-def _resolve(table: pa.Table, all_ids: bool, run: bool) -> pa.Table:
-    """A bucket's fingerprints that two documents share. Rows of FOUND: kind 0, a document and such a key (all of them,
-    or but that of least id); kind 1, a key for all documents, with its least id; kind 2, the bucket's part of a new
-    run: the batch's keys that no run has, with their least ids."""
+
+def _probe(table: pa.Table, first_group: int) -> pa.Table:
+    """A bucket's runs merge-joined with a batch. Rows of FOUND: kind 0, a group's fingerprints that two documents share;
+    kind 2, the bucket's part of a new run: the batch's fingerprints, for each group that has them."""
     bucket = table.column("bucket")[0].as_py()
-    keys, checks, ids, hot, new = _merged(table)
-    first = _groups(keys, checks)
+    keys, checks, g, least, most, new = _merged(table, first_group)
+    first = _edges(keys)
+    size = np.diff(np.append(first, len(keys)))
+    shared = np.repeat(np.logical_or.reduceat(new, first) & (least[first] != np.maximum.reduceat(most, first)), size)
+    rows = [(0, group, None, k, None, None, None) for group, k in _by_group(g[shared], keys[shared])]
+    rows.append((2, None, bucket, _pack(keys[new], True), None, _pack(least[new]), _pack(g[new])))
+    return _table(rows, FOUND)
+
+
+def _verify(table: pa.Table) -> pa.Table:
+    """A bucket's windows that two documents have: kind 0, a group's windows and their least doc_id, where it is not its own only."""
+    keys, checks, g, least, most, _ = _merged(table, 0)
+    first = _edges(keys, checks)
     size = np.diff(np.append(first, len(keys)))
-    least, most = ids[first], ids[first + size - 1]
-    is_hot = np.logical_or.reduceat(hot, first)
-    has_new, has_old = np.logical_or.reduceat(new, first), np.logical_or.reduceat(~new, first)
-    shared = has_new & (least != most)
-    tell = np.repeat(shared & ~is_hot, size)
-    if not all_ids:
-        tell &= ids != np.repeat(least, size)
-    h = shared & is_hot
-    out = [pa.table({"kind": pa.array(np.zeros(tell.sum(), np.int32)), "id": ids[tell], "key": keys[tell].view(np.int64)}), pa.table({"kind": pa.array(np.ones(h.sum(), np.int32)), "id": least[h], "key": keys[first][h].view(np.int64)})]
-    if run:
-        own = has_new & ~has_old
-        out.append(pa.table({"kind": pa.array([2], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "keys": pa.array([_pack(keys[first][own], True)], pa.binary()), "ids": pa.array([_pack(least[own])], pa.binary())}))
-    return pa.concat_tables([*out, FOUND_ARROW.empty_table()], promote_options="default").select(FOUND_ARROW.names).cast(FOUND_ARROW)
-
-
-class TooManyHot(Exception):
-    """More hot keys than may be told to all documents."""
-
-
-def _hot(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The hot keys, sorted, and their least ids; HOT_ROWS at most, else TooManyHot."""
-    rows = found.where("kind = 1").select("key", "id").limit(HOT_ROWS + 1).toArrow()
-    if rows.num_rows > HOT_ROWS:
-        raise TooManyHot
-    key, ids = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
-    order = np.argsort(key)
-    return key[order], ids[order]
+    source = np.repeat(least[first], size)
+    told = most > source
+    return _table([(0, group, None, k, c, low, None) for group, k, c, low in _by_group(g[told], keys[told], checks[told], source[told])], FOUND)
+
+
+def _compacted(table: pa.Table) -> pa.Table:
+    """A bucket's parts of several runs as one, sorted."""
+    keys, _, g, least, _, _ = _merged(table, 0)
+    return _table([(2, None, table.column("bucket")[0].as_py(), _pack(keys, True), None, _pack(least), _pack(g))], FOUND)
+
+
+@dataclass
+class Manifest:
+    """A version of an index: runs as (level, path), the documents that they were made of, calls so far."""
+
+    buckets: int
+    calls: int = 0
+    runs: list[tuple[int, str]] = field(default_factory=list)
+    docs: list[str] = field(default_factory=list)
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fingerprint, least id), by bucket, in the shared folder.
+    """Sorted immutable runs of (fingerprint, group, its least doc_id), by bucket, below a folder that driver and executors share.
 
-    add() merge-joins a batch with all runs and writes what is new as another run; when fanout runs have one level they
-    are merged into one of the next, so each fingerprint is rewritten once a level.
+    A manifest lists the runs of a version and is renamed into place, so a later call, or another session, opens the newest
+    one whole; files that no manifest lists are never read. add() merge-joins a batch with all runs and writes what is new
+    as another run; when fanout runs have one level they are merged into one of the next, so each fingerprint is rewritten
+    once a level. Documents of earlier calls stay beside the runs, for windows are verified against theirs.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int, fanout: int = 2) -> None:
-        self.spark, self.buckets, self.fanout = spark, buckets, fanout
-        self.runs: list[tuple[int, str]] = []  # level, path
+    def __init__(self, spark: SparkSession, root: str, buckets: int, fanout: int = 2) -> None:
+        self.spark, self.root, self.fanout = spark, root.rstrip("/"), fanout
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.version, self.state = 0, Manifest(buckets)
+        folder = f"{self.root}/manifest"
+        if exists(spark, folder):
+            names = [s.getPath().getName() for s in self._fs.listStatus(self._path(folder))]
+            self.version = max((int(n) for n in names if n.isdigit()), default=0)
+        if self.version:
+            line = spark.read.text(f"{folder}/{self.version}").first()[0]
+            self.state = Manifest(**json.loads(line))
+            self.state.runs = [tuple(r) for r in self.state.runs]
+        self.first_group = self.state.calls << 32
+
+    def commit(self) -> None:
+        """Makes the state the next version; fails if another writer made it first."""
+        final, staged = (self._path(f"{self.root}/manifest/{name}") for name in (self.version + 1, f"_{uuid.uuid4().hex}"))
+        out = self._fs.create(staged, False)
+        out.write(json.dumps(asdict(self.state)).encode())
+        out.close()
+        if self._fs.exists(final) or not self._fs.rename(staged, final):
+            raise RuntimeError(f"version {self.version + 1} of {self.root} exists")
+        self.version += 1
 
     def _rows(self, path: str) -> DataFrame:
-        blank = F.lit(None).cast("binary")
-        return self.spark.read.schema(FOUND).parquet(path).select(F.lit(1).alias("kind"), "bucket", "keys", blank.alias("checks"), "ids", blank.alias("hot"))
+        none = F.lit(None).cast("binary")
+        return self.spark.read.schema(FOUND).parquet(path).select("bucket", "g", "keys", none.alias("checks"), "least", none.alias("spread"), "gs")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """FOUND rows of kinds 0 and 1 for batch (BLOBS), whose ids are to be larger than those added before."""
+        """(g, keys) rows of groups and the fingerprints that they share with another document; batch: BLOBS, of larger doc_ids
+        than those added before in this call."""
         rows = batch
-        for _, path in self.runs:
+        for _, path in self.state.runs:
             rows = rows.unionByName(self._rows(path))
-        path = scratch(self.spark, "probe")
-        rows.groupBy("bucket").applyInArrow(lambda t: _resolve(t, True, True), FOUND).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+        path = f"{self.root}/run-{uuid.uuid4().hex[:12]}"
+        first = self.first_group
+        rows.groupBy("bucket").applyInArrow(lambda t: _probe(t, first), FOUND).write.option("compression", "zstd").partitionBy("kind").parquet(path)
         if exists(self.spark, f"{path}/kind=2"):  # no document of the batch has a window: no run
-            self.runs.append((0, f"{path}/kind=2"))
-        return self.spark.read.schema(FOUND).parquet(path).where("kind < 2").select("kind", "id", "key")
+            self.state.runs.append((0, f"{path}/kind=2"))
+        return self.spark.read.schema(FOUND).parquet(path).where("kind = 0").select("g", "keys")
 
-    def compact(self) -> None:
-        level = self.runs[-1][0] if self.runs else 0
-        while len(same := [r for r in self.runs if r[0] == level]) >= self.fanout:
+    def compact(self) -> list[str]:
+        """Merges runs of one level; returns the paths that the next version no longer needs."""
+        level, gone = self.state.runs[-1][0] if self.state.runs else 0, []
+        while len(same := [r for r in self.state.runs if r[0] == level]) >= self.fanout:
             rows = self._rows(same[0][1])
             for _, path in same[1:]:
                 rows = rows.unionByName(self._rows(path))
-
-            def merge(t: pa.Table) -> pa.Table:
-                keys, checks, ids, _, _ = _merged(t)
-                first = _groups(keys, checks)
-                return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()], pa.int32()), "keys": pa.array([_pack(keys[first], True)], pa.binary()), "ids": pa.array([_pack(ids[first])], pa.binary())})
-
-            path = scratch(self.spark, "run")
-            rows.groupBy("bucket").applyInArrow(merge, "bucket int, keys binary, ids binary").write.option("compression", "zstd").parquet(path)
-            for r in same:
-                self.runs.remove(r)
-                drop_path(self.spark, r[1])
-            self.runs.append((level + 1, path))
+            path = f"{self.root}/merged-{uuid.uuid4().hex[:12]}"
+            rows.groupBy("bucket").applyInArrow(_compacted, FOUND).write.option("compression", "zstd").parquet(path)
+            gone += [p for _, p in same]
+            self.state.runs = [r for r in self.state.runs if r not in same] + [(level + 1, path)]
             level += 1
-
-
-def _fingerprint_blobs(docs: DataFrame, buckets: int, hot_docs: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
-        for ids, words, _ in _chunks(batches):
-            c = _Chunk(known, words)
-            if len(c.low):
-                fresh = np.concatenate([[True], (c.low[1:] != c.low[:-1]) | (c.doc[1:] != c.doc[:-1])])
-                out = _blobs(np.array(ids, np.int64)[c.doc[fresh]], c.low[fresh], np.zeros(int(fresh.sum()), np.uint32), buckets, hot_docs)
-                if out is not None:
-                    yield out
-
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, BLOBS)
-
-
-def _member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Whether each of x is in of, which is sorted."""
-    if not len(of):
-        return np.zeros(len(x), bool)
-    return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
-
-
-def _told(c: _Chunk, values: np.ndarray, lists: list) -> np.ndarray:
-    """Which windows have a value that their own document was told."""
-    owner = np.concatenate([np.full(len(v), k) for k, v in enumerate(lists)]) if lists else np.zeros(0)
-    told = np.concatenate([np.asarray(v, np.int64) for v in lists]).view(np.uint64) if lists else np.zeros(0, np.uint64)
-    mix = lambda v, d: v ^ (d.astype(np.uint64) + np.uint64(1)) * _constant(99)
-    maybe = _member(mix(values, c.doc), np.sort(mix(told, owner)))
-    if maybe.any():  # the mixed value stands for both: compare exactly where it is found
-        pairs = set(zip(told.tolist(), owner.tolist(), strict=True))
-        maybe[maybe] = [p in pairs for p in zip(values[maybe].tolist(), c.doc[maybe].tolist(), strict=True)]
-    return maybe
-
-
-def _lists(rest: list) -> list[np.ndarray]:
-    return [np.array(r[0].values.to_numpy() if r[0].is_valid else [], np.int64) for r in rest]
-
-
-def _with_told(docs: DataFrame, found: DataFrame) -> DataFrame:
-    told = found.where("kind = 0").groupBy(F.col("id").alias("_id")).agg(F.collect_set("key").alias("_told"))
-    return docs.join(told, docs.doc_id == told._id, "left").drop("_id")
-
-
-def _window_blobs(docs: DataFrame, hot: np.ndarray, buckets: int, hot_docs: int) -> DataFrame:
-    """Windows of docs (doc_id, text, _told) whose fingerprint is shared, as blobs."""
-    hot_keys = docs.sparkSession.sparkContext.broadcast(hot)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, common = _Words(), hot_keys.value
-        for ids, words, rest in _chunks(batches):
-            c = _Chunk(known, words)
-            at = np.flatnonzero(_told(c, c.low, _lists(rest)) | _member(c.low, common))
-            if len(at):
-                key, check = c.windows(at)
-                out = _blobs(np.array(ids, np.int64)[c.doc[at]], key, check, buckets, hot_docs)
-                if out is not None:
-                    yield out
-
-    return docs.where("doc_id is not null").select("doc_id", "text", "_told").mapInArrow(run, BLOBS)
-
-
-def _cut(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], with_text: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (keys, least) = _Words(), shared.value
-        for ids, words, rest in _chunks(batches):
-            c = _Chunk(known, words)
-            key = _roll(c.hashes, WINDOW, 2)[c.starts] if len(c.starts) else np.zeros(0, np.uint64)
-            gone = _told(c, key, _lists(rest))
-            if len(keys) and len(key):
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                own = np.array([np.iinfo(np.int64).min if i is None else i for i in ids], np.int64)[c.doc]
-                gone |= (keys[at] == key) & (least[at] < own)
-            n = len(c.hashes)
-            edge = np.zeros(n + WINDOW + 1, np.int64)
-            np.add.at(edge, c.starts[gone], 1)
-            np.add.at(edge, c.starts[gone] + WINDOW, -1)
-            covered = np.cumsum(edge)[:n] > 0
-            ends = np.cumsum(c.sizes)
-            removed, digests, texts = [], [], []
-            for w, z in zip(words, ends, strict=True):
-                mask = covered[z - len(w) : z]
-                m = int(mask.sum())
-                kept = b" ".join(w if not m else [x for x, r in zip(w, mask.tolist(), strict=True) if not r])
-                removed.append(m)
-                digests.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept.decode() if with_text and m else None)
-            if with_text:
-                whole = [pa.array([r[-1].as_py() for r in rest], pa.string())]
-            else:
-                whole = []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(c.sizes), pa.array(removed, pa.int64()), pa.array(digests), pa.array(texts, pa.string()), *(pa.array([r[1 + k].as_py() for r in rest], t) for k, t in enumerate(extra_types)), *whole], names)
-
-    extra = [c for c in docs.columns if c not in ("doc_id", "text", "_told")]
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    extra_types = [to_arrow_type(docs.schema[c].dataType) for c in extra]
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *extra, *["text"] * with_text]
-    kinds = {"n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept": "string", "doc_id": "long", "text": "string"}
-    schema = ", ".join(f"`{c}` {kinds.get(c) or docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select("doc_id", "text", "_told", *extra, *[F.col("text").alias("_text")] * with_text).mapInArrow(run, schema)
-
-
-def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False, keep: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
+        return gone
+
+
+def _stored(docs: DataFrame, path: str, groups: int, first: int, files: int, cuts: list[int]) -> DataFrame:
+    """docs by group (_g, from first on) and batch, in files bucketed by the group: later steps work group by group without a shuffle of texts."""
+    g = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)) + F.lit(first).cast("long")
+    batch = F.lit(0)
+    for c in cuts:
+        batch = batch + F.coalesce((F.col("doc_id") > c).cast("int"), F.lit(0))
+    name = f"panelspark_docs_{uuid.uuid4().hex[:12]}"
+    dealt = docs.withColumns({"_g": g, "_batch": batch}).repartition(files, "_g")
+    dealt.write.partitionBy("_batch").bucketBy(files, "_g").sortBy("_g").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return docs.sparkSession.table(name)
+
+
+def _cut(docs: pa.Table, told: pa.Table, extra: list[str], with_text: bool) -> pa.Table:
+    """A group's documents without the windows that it was told of, where those have a smaller doc_id."""
+    c = _Group(docs)
+    n = int(c.sizes.sum())
+    covered = np.zeros(n, bool)
+    if len(told) and n:
+        c.hash()
+        keys, checks, least = (np.concatenate([_unpack(b) for b in told.column(name).to_pylist()]) for name in ("keys", "checks", "least"))
+        order = np.argsort(keys, kind="stable")
+        keys, checks, least = keys[order], checks[order], least[order].view(np.int64)
+        key, check = c.windows(np.arange(len(c.starts)))
+        at = np.searchsorted(keys, key)
+        own, gone = c.ids[c.doc], np.zeros(len(key), bool)
+        for k in range(int(np.diff(np.append(_edges(keys), len(keys))).max())):  # keys that are equal while their checks aren't
+            p = np.minimum(at + k, len(keys) - 1)
+            gone |= (keys[p] == key) & (checks[p] == check) & (least[p] < own) & c.valid[c.doc]
+        edge = np.zeros(n + WINDOW + 1, np.int64)
+        np.add.at(edge, c.starts[gone], 1)
+        np.add.at(edge, c.starts[gone] + WINDOW, -1)
+        covered = np.cumsum(edge)[:n] > 0
+    removed, digests, texts = [], [], []
+    for w, z in zip(c.words, np.cumsum(c.sizes), strict=True):
+        mask = covered[z - len(w) : z]
+        m = int(mask.sum())
+        kept = b" ".join(w if not m else [x for x, r in zip(w, mask.tolist(), strict=True) if not r])
+        removed.append(m)
+        digests.append(hashlib.sha256(kept).hexdigest())
+        texts.append(kept.decode() if with_text and m else None)
+    out = {"doc_id": docs.column("doc_id"), "n_words": pa.array(c.sizes), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(texts, pa.string())}
+    return pa.table(out | {name: docs.column(name) for name in [*extra, *["text"] * with_text]})
+
+
+def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False, keep: tuple[str, ...] = (), buckets: int | None = None, index: str | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept, and with_text also text; and the columns keep.
 
     Words are runs without ASCII white space. A word is removed if a window over it (WINDOW words) also starts in a
@@ -346,36 +323,76 @@ def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False,
     doc_id don't count as each other's source; documents of fewer words than a window stay whole.
 
     The documents go through a FingerprintIndex in batches of rising doc_id. Equal windows have equal fingerprints, so
-    only windows whose fingerprint two documents share are then compared, by 96 bits of their words' hash. A fingerprint
-    that very many documents share goes to all tasks in a list of bounded size; if it were longer, fewer count as such.
+    only windows whose fingerprint two documents share are then verified, by 128 bits of their words' hashes. index: a
+    folder in which the index stays; a later call with it takes every document of earlier calls as one of smaller doc_id,
+    and gives rows for its own docs alone. Without it the index lies in the scratch folder.
+
+    All exchange is by groups of GROUP_BYTES of text: a passage that very many documents share is a row for each group,
+    not for each document, and no list of fingerprints leaves the tasks. The documents are written once in files
+    bucketed by group, so texts are shuffled once.
     """
-    spark = docs.sparkSession  # buckets: a power of two, by default one for each BUCKET_BYTES of text
-    taken = {"doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept", "_told"}
-    named = {c: f"{c}_" if c in taken else c for c in keep}  # a column of a result's name comes back as name_
+    spark = docs.sparkSession
+    taken = {"doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept", "_g", "_batch"}
+    named: dict[str, str] = {}
+    for c in keep:  # a column of a result's name comes back as name_
+        named[c] = c
+        while named[c] in taken or [*keep, *named.values()].count(named[c]) > 1 + (named[c] == c):
+            named[c] += "_"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(n) for c, n in named.items()])
     size, cuts = docs.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [1.0])).first()
-    buckets = buckets or 1 << max(10, min(20, ((size or 0) // BUCKET_BYTES).bit_length()))
-    cuts = sorted(set(cuts or []))[: batches - 1]
-    limits = [None, *cuts, None]
-    hot_docs = HOT_DOCS
-    while True:
-        index, found = FingerprintIndex(spark, buckets), None
-        for low, high in zip(limits, limits[1:], strict=False):
-            part = docs
-            if low is not None:
-                part = part.where(F.col("doc_id") > low)
-            if high is not None:
-                part = part.where(F.col("doc_id") <= high)
-            more = index.add(_fingerprint_blobs(part, buckets, hot_docs))
-            found = more if found is None else found.unionByName(more)
-            if high is not None:
-                index.compact()
-        try:
-            hot, _ = _hot(found)
-            windows = _window_blobs(_with_told(docs, found), np.unique(hot), buckets, hot_docs)
-            again = materialize(windows.groupBy("bucket").applyInArrow(lambda t: _resolve(t, False, False), FOUND).select("kind", "id", "key"), "windows")
-            hot_windows = _hot(again)
-        except TooManyHot:
-            hot_docs *= 8
-            continue
-        return _cut(_with_told(docs, again), hot_windows, with_text)
+    size, cuts = size or 0, sorted(set(cuts or []))[: batches - 1]
+    if buckets is None:
+        buckets = 1 << min(MANY_BUCKETS.bit_length() - 1, (size // SMALL_BUCKET).bit_length())
+        buckets = max(buckets, 1 << (size // LARGE_BUCKET).bit_length())
+    tree = FingerprintIndex(spark, index or scratch(spark, "index"), buckets)
+    state = tree.state
+    files = max(1, min(size // FILE_BYTES + 1, MOST_FILES))
+    path = f"{tree.root}/docs-{uuid.uuid4().hex[:12]}"
+    held = _stored(docs, path, size // GROUP_BYTES + 1, tree.first_group, files, cuts)
+    number, old = state.buckets, list(state.docs)
+    found, gone = None, []
+    for k in range(len(cuts) + 1):
+        part = held.where(F.col("_batch") == k).where("doc_id is not null").select("_g", "doc_id", "text")
+
+        def fingerprints(t: pa.Table) -> pa.Table:
+            c = _Group(t)
+            c.hash()
+            return _blobs(t.column("_g")[0].as_py(), c.ids[c.doc], c.low(), None, number)
+
+        more = tree.add(part.groupBy("_g").applyInArrow(fingerprints, BLOBS))
+        found = more if found is None else found.unionByName(more)
+        if k < len(cuts):
+            gone += tree.compact()
+
+    def windows(t: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(t) or not len(told):
+            return _table([], BLOBS)
+        c = _Group(t)
+        c.hash()
+        wanted = np.unique(np.concatenate([_unpack(b) for b in told.column("keys").to_pylist()]))
+        low = c.low()
+        at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, low), len(wanted) - 1)] == low)
+        return _blobs(t.column("_g")[0].as_py(), c.ids[c.doc[at]], *c.windows(at), number)
+
+    own = held.where("doc_id is not null").select("_g", "doc_id", "text")
+    told = found.withColumnRenamed("g", "_g")
+    shared = own.groupBy("_g").cogroup(told.groupBy("_g")).applyInArrow(windows, BLOBS)
+    if old:
+        before = spark.read.parquet(old[0]).select("_g", "text")
+        for p in old[1:]:
+            before = before.unionByName(spark.read.parquet(p).select("_g", "text"))
+        before = before.select("_g", F.lit(EARLIER).cast("long").alias("doc_id"), "text")
+        needed = told.where(F.col("_g") < tree.first_group)
+        shared = shared.unionByName(before.join(needed.select("_g").distinct(), "_g", "left_semi").groupBy("_g").cogroup(needed.groupBy("_g")).applyInArrow(windows, BLOBS))
+    verified = materialize(shared.groupBy("bucket").applyInArrow(_verify, FOUND).select(F.col("g").alias("_g"), "keys", "checks", "least"), "windows")
+    if index:
+        state.docs, state.calls = [*old, path], state.calls + 1
+        tree.commit()
+    for p in gone:
+        drop_path(spark, p)
+
+    extra = list(named.values())
+    kinds = {"n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept": "string", "doc_id": "long", "text": "string"}
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *extra, *["text"] * with_text]
+    schema = ", ".join(f"`{c}` {kinds.get(c) or docs.schema[c].dataType.simpleString()}" for c in names)
+    return held.drop("_batch").groupBy("_g").cogroup(verified.groupBy("_g")).applyInArrow(lambda t, told: _cut(t, told, extra, with_text), schema)
