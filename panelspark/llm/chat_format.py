@@ -25,7 +25,8 @@ def unescape(text: Column) -> Column:
 
 
 def messages_as_events(messages: DataFrame) -> DataFrame:
-    """A table of whole messages (conv_id, turn, role, text) as a log: an opening event and two streamed deltas each.
+    """A table of whole messages (conv_id, turn, role, text) as the log of a chat that streamed them: an opening event, a
+    draft, its regeneration (assistant) or edit (others), and two streamed deltas.
 
     Order within a conversation: turn, then role, then text; nulls first. Null role or text: empty. Repeated rows
     are turns of their own. Other columns are left out.
@@ -33,14 +34,16 @@ def messages_as_events(messages: DataFrame) -> DataFrame:
     m = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = m.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
     rows = rows.select("conv_id", F.posexplode("rows").alias("message", "row"))
-    half = F.length("row.text").cast("int")
-    half = (half - half % 2) / 2
-    event = lambda k, kind, role, text: F.struct((F.col("message") * 3 + k).cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
-    nothing = F.lit(None).cast("string")
+    half = F.floor(F.length("row.text") / 2).cast("int")
+    first, second = F.substring("row.text", F.lit(1), half), F.substring("row.text", half + 1, F.length("row.text"))
+    spoken, nothing = F.col("row.role") == "assistant", F.lit(None).cast("string")
+    event = lambda k, kind, role, text: F.struct((F.col("message") * 5 + k).cast("long").alias("seq"), kind.alias("kind"), role.alias("role"), text.alias("text"))
     return rows.select("conv_id", F.col("message").cast("long").alias("message"), F.explode(F.array(
-        event(0, "message", F.col("row.role"), nothing),
-        event(1, "delta", nothing, F.substring("row.text", F.lit(1), half.cast("int"))),
-        event(2, "delta", nothing, F.substring("row.text", half.cast("int") + 1, F.length("row.text"))),
+        event(0, F.lit("message"), F.col("row.role"), nothing),
+        event(1, F.lit("delta"), nothing, second),
+        event(2, F.when(spoken, "regenerate").otherwise("edit"), nothing, F.when(~spoken, first)),
+        event(3, F.lit("delta"), nothing, F.when(spoken, first)),
+        event(4, F.lit("delta"), nothing, second),
     )).alias("e")).select("conv_id", "message", "e.*")
 
 
@@ -87,7 +90,7 @@ def parse(formatted: Column) -> Column:
     """The turns array<role, text> of a rendered text."""
     parts = F.split(formatted, CLOSE)
     parts = F.slice(parts, 1, F.size(parts) - 1)
-    head = r"^### ((?:[^\\:]|\\.)*): "
+    head = r"^### ([^\\:]*+(?:\\.[^\\:]*+)*+): "  # possessive, so that a long role needs no deep stack
     return F.transform(parts, lambda p: F.struct(
         unescape(F.regexp_extract(p, head, 1)).alias("role"), unescape(F.regexp_replace(p, head, "")).alias("text")))
 

@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 
 #: Labelled rows per class that a model may see.
 ROWS_PER_CLASS = 1500
-DICTIONARY_BYTES, LEVEL = 448 << 10, 3
-#: Bytes of a piece of a text that goes into a dictionary.
-PIECE = 150
+DICTIONARY_BYTES, LEVEL = 256 << 10, 3
+#: Bytes of a text that a dictionary is trained on, and of each of the pieces that they are taken in.
+SHARE, PIECE = 3000, 150
 
 
 @dataclass
@@ -44,26 +44,30 @@ def _pieces(text: bytes, share: int) -> bytes:
 
 
 def _dictionary(pieces: list[bytes]) -> bytes:
-    """The texts' pieces in turn until the dictionary is full: raw content, so no sample is too small for it."""
-    return b"\n".join(pieces)[:DICTIONARY_BYTES] or b"\n"
+    """A zstandard dictionary trained on the texts' pieces, or the pieces themselves where they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(pieces)[:DICTIONARY_BYTES] or b"\n"
 
 
 class Sizer:
-    """Compressed sizes of a text: without a dictionary, with the good one, with the bad one."""
+    """Compressed sizes of a text under the good dictionary and under the bad one."""
 
     def __init__(self, good: bytes, bad: bytes) -> None:
-        self.coders = [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)]
+        self.coders = []
         for content in (good, bad):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(content)
             d.precompute_compress(level=LEVEL)
-            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False))
+            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def features(self, text: bytes) -> list[float]:
-        """The normalised difference of sizes (its log ratio; higher: good), what remains of the text, and its length; and how they interact."""
-        plain, good, bad = (len(z.compress(text)) + 10 for z in self.coders)
+        """The normalised difference of the two sizes (their log ratio; higher: good), their mean as a share of the text,
+        the length, and how both go with it: short texts hardly compress."""
+        good, bad = (len(z.compress(text)) + 10 for z in self.coders)
         n = len(text) + 20
-        size, diff, share, best = math.log(n), math.log(bad / good), math.log(plain / n), math.log(good / n)
-        return [1.0, diff, diff * size, share, share * share, size, size * size, best, best * size]
+        size, diff, rate = math.log(n), math.log(bad / good), math.log((good + bad) / (2 * n))
+        return [1.0, diff, diff * size, rate, rate * size, size]
 
 
 def _fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -127,8 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     halves = {q: (by[q][::2], by[q][1::2]) for q in by}
     content = {}
     for q, (half, _) in halves.items():
-        share = max(200, DICTIONARY_BYTES // max(1, len(half)))
-        content[q] = _dictionary([bytes(p) for p in _of_rows(docs, half, lambda share=share: lambda t: _pieces(t, share), "binary")])
+        content[q] = _dictionary([bytes(p) for p in _of_rows(docs, half, lambda: lambda t: _pieces(t, SHARE), "binary")])
     good, bad = content[1], content[0]
     rest = [(f, q) for q in (0, 1) for f in _of_rows(docs, halves[q][1], lambda: Sizer(good, bad).features, "array<double>")]
     if not rest:

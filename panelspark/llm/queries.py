@@ -63,7 +63,7 @@ with r as (
   union all select -7, 0, 'user', '\### Assistant: </turn> ok'
   union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ),
-e as (select *, replace(replace(replace(replace(text, '\', '\\'), '#', '\#'), '</', '<\/'), '', '') as x,
+e as (select *, replace(replace(replace(text, '\', '\\'), '#', '\#'), '</', '<\/') as x,
         replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</', '<\/'), ':', '\:') as y from r)
 select conv_id, count(*)::bigint as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,

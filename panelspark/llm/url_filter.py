@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small
+from .common import ascii_lower, broadcast_if_small, materialize
 
 #: Odd multipliers of the eight words of a block (any odd numbers would do).
 SALTS = tuple(2 * 0x1E3779B9 * k + 0x2545F491 | 1 for k in range(1, 9))
@@ -51,30 +51,29 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", max_b
 
     rules: host, path, verdict. A rule fits its host and all subdomains if the path starts with the rule's; the longest
     host + path wins, then the longer host. Rules with a null are left out; of rules that share host and path, block
-    wins. No rule: rule is null, verdict the default. A url's host suffixes, each with its path's beginnings of the
-    lengths that occur in the rules, are its canonical keys; those that pass the Bloom filter meet the rules in an
-    exact join. Rows with a null url, repeated rows and other columns stay as they are, but columns of the new names give way. An empty rule table: all rows
-    get the default.
+    wins. No rule: rule is null, verdict the default. The host suffixes of each different host and path, each with the
+    path's beginnings of the lengths that occur in the rules, are its canonical keys; those that pass the Bloom filter
+    meet the rules in an exact join. Only urls, each once, are exploded and shuffled; pages then take the verdicts of the
+    urls that have one. Rows with a null url, repeated rows and other columns, whatever their names, stay as they are,
+    but columns of the new names give way. An empty rule table: all rows get the default.
     """
     pages = pages.drop("host", "path", "rule", "verdict")
-    listed = rules.where("host is not null and path is not null and verdict is not null").groupBy(F.concat("host", "path").alias("_rule"), F.length("host").alias("_rule_host")).agg(F.max("verdict").alias("_rule_verdict"))
-    lengths = sorted(r[0] for r in listed.select(F.length("_rule") - F.col("_rule_host")).distinct().collect())  # bounded by the longest path
-    bloom, blocks = build_filter(listed.select(F.col("_rule").alias("key")).distinct())
-    bloom = bloom.withColumnsRenamed({c: f"_{c}" for c in bloom.columns})
-    page = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "_row": F.monotonically_increasing_id()})
+    listed = rules.where("host is not null and path is not null and verdict is not null").groupBy(F.concat("host", "path").alias("rule"), F.length("host").alias("host_len")).agg(F.max("verdict").alias("verdict"))
+    lengths = sorted(r[0] for r in listed.select(F.length("rule") - F.col("host_len")).distinct().collect())  # bounded by the longest path
+    bloom, blocks = build_filter(listed.select(F.col("rule").alias("key")).distinct())
+    page = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     labels = F.split("host", r"\.")
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
     begins = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda x: x <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(begins, lambda x: F.struct(F.concat(s, F.substring(F.col("path"), F.lit(1), x)).alias("key"), F.length(s).alias("len")))))
-    none = F.lit(None).cast("struct<key:string,len:int>")  # one row of each page stays, whatever the filter says
-    probe = page.withColumn("_c", F.explode(F.concat(keys, F.array(none)))).withColumns({"_key": F.col("_c.key"), "_host_len": F.col("_c.len"), "_b": _block(F.col("_c.key"), blocks)}).drop("_c")
+    probe = page.select("host", "path").distinct().select("host", "path", F.explode(keys).alias("c")).select("host", "path", "c.key", "c.len", _block(F.col("c.key"), blocks).alias("b"))
     hit = F.lit(True)
     for k in range(8):
-        hit &= F.col(f"_w{k}").bitwiseAND(_word(F.col("_key"), k)) != 0
-    passed = probe.join(F.broadcast(bloom), F.col("_b") == F.col("_block"), "left").where(F.col("_key").isNull() | hit).drop("_b", *bloom.columns)
-    exact = passed.join(broadcast_if_small(listed, max_broadcast_rules), (F.col("_key") == F.col("_rule")) & (F.col("_host_len") == F.col("_rule_host")), "left")
-    found = F.struct(F.length("_rule").alias("n"), F.col("_rule_host").alias("host_len"), F.col("_rule").alias("rule"), F.col("_rule_verdict").alias("verdict"))
-    cols = [c for c in page.columns if c != "_row"]
-    best = exact.groupBy("_row").agg(*[F.first(c).alias(c) for c in cols], F.max(F.when(F.col("_rule").isNotNull(), found)).alias("_best"))
-    return best.select(*cols, F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+        hit &= F.col(f"w{k}").bitwiseAND(_word(F.col("key"), k)) != 0
+    passed = probe.join(F.broadcast(bloom), F.col("b") == F.col("block")).where(hit).select("host", "path", "key", "len")
+    exact = passed.join(broadcast_if_small(listed, max_broadcast_rules), (F.col("key") == F.col("rule")) & (F.col("len") == F.col("host_len")))
+    found = F.struct(F.length("rule").alias("n"), "host_len", "rule", "verdict")
+    best = materialize(exact.groupBy("host", "path").agg(F.max(found).alias("best")).select("host", "path", "best.rule", "best.verdict"), "judged")
+    judged = page.join(broadcast_if_small(best, max_broadcast_rules), ["host", "path"], "left")
+    return judged.select(*pages.columns, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

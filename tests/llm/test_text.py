@@ -83,7 +83,7 @@ def brute_hits(docs, items):
         w = words(t)
         for k in range(max(1, len(w) - 12)):
             if w:
-                windows.setdefault(tuple(w[k : k + 13]), set()).add(str(i))
+                windows.setdefault(tuple(w[k : k + 13]), set()).update([] if i is None else [str(i)])
     out = []
     for d, t in docs:
         w, hit, found = words(t), set(), set()
@@ -100,9 +100,8 @@ def test_decontamination(spark, awkward, monkeypatch):
     items = [(1, "Jumps OVER the lazy-dog while seven small birds sing in a very old tree"), (2, "quick brown"), (3, "word"), (4, None), (5, "--"), (6, "birds sing in a very old tree near the quiet river bank today"), (6, "word"), (None, "lazy dog"), (8, "été NAÏVE")]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, n_words int")
     docs = awkward.union(awkward.sparkSession.createDataFrame(fixture_docs(spark).collect(), fixture_docs(spark).schema).select(*[F.col(c) if c in ("doc_id", "text", "lang", "source", "n_chars") else F.lit(None).cast(t).alias(c) for c, t in awkward.dtypes]))
-    want = brute_hits([(r.doc_id, r.text) for r in docs.collect()], [(i, t) for i, t in items if i is not None])
-    stored = docs.coalesce(1).persist()
-    bench = bench.where("item_id is not null")
+    want = brute_hits([(r.doc_id, r.text) for r in docs.collect()], items)
+    stored = docs.persist()
     for block in (100_000, 12):
         monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
         got = decontaminate.decontaminate(stored, bench)
@@ -244,3 +243,9 @@ def test_bound_is_below_the_best_packing():
         part = packing.solve(h)
         assert part.bound <= best + 1e-6
         assert sum(t for _, t in packing.configurations(h)) == best
+
+
+def test_winnowing_keeps_a_minimum_once(spark):
+    df = spark.createDataFrame([([5, 5, 3, 3, 3, 9],), ([],), ([7],)], "_min array<bigint>")
+    got = [[tuple(x) for x in r._won] for r in decontaminate.with_winnowed(df).collect()]
+    assert got == [[(0, 1, 5), (2, 4, 3), (5, 5, 9)], [], [(0, 0, 7)]]
