@@ -21,7 +21,7 @@ def test_warc_round_trip(spark):
     records = warc.read_warc(spark, path)
     assert records.count() == 30
     got = warc.assemble(records).collect()
-    assert len(got) == 10 and all(len(r.requests) == len(r.metadata) for r in got)
+    assert len(got) == 10 and all(len(r.requests) == len(r.metadata) == 1 for r in got)
     by = {}
     for r in got:
         by.setdefault(r.metadata[0].fields.get("pageId"), []).append(r.capture)
@@ -29,6 +29,9 @@ def test_warc_round_trip(spark):
     assert by["2"][0].record_type == "revisit" and by["2"][0].refers_to == "<urn:page:1:capture>" and by["2"][0].declared_digest == hashlib.sha256(big.encode()).hexdigest()
     assert bytes(by["3"][0].payload).decode() == rows[2][2] and by["4"][0].payload_bytes == 0
     assert [c.record_type for c in by["6"]] == ["response"] * 2 and by["7"][0].record_type == by["8"][0].record_type == "response"
+    assert by["1"][0].target_uri == "http://a.b/x%0D%0Ay" and records.where("record_type = 'request' and payload is null").count() == 0
+    one = warc.capture_records(pages.where("page_id = 1")).first()[0]
+    assert one.startswith("WARC/1.1\r\n") and "WARC-Date: " in one and "GET /x%0D%0Ay HTTP/1.1" in one
     empty = scratch(spark, "warc")
     warc.write_warc(warc.capture_records(pages.limit(0)), empty)
     assert warc.assemble(warc.read_warc(spark, empty)).count() == 0
@@ -38,6 +41,18 @@ def test_warc_round_trip(spark):
         list(warc.parse_records(gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")))
 
 
+def test_warc_links_of_links(spark):
+    rows = [("<c1>", "response", []), ("<q1>", "request", ["<c1>"]), ("<m1>", "metadata", ["<q1>"]), ("<x1>", "conversion", ["<m1>", "<q1>"]), ("<c2>", "response", ["<q2>"]), ("<q2>", "request", []), ("<m2>", "metadata", ["<q2>", "<c1>"]), ("<m3>", "metadata", ["<m4>"]), ("<m4>", "metadata", ["<m3>"]), ("<q1>", "request", ["<c1>"])]
+    blank = "null as refers_to, null as target_uri, 0L as block_bytes, 0L as payload_bytes, '' as payload_digest, null as declared_digest, cast(map() as map<string,string>) as fields, cast(null as binary) as payload"
+    df = spark.createDataFrame(rows, "record_id string, record_type string, concurrent_to array<string>").selectExpr("*", *blank.split(", "))
+    got = {r.capture_id: ([x.record_id for x in r.requests], sorted(x.record_id for x in r.metadata), [x.record_id for x in r.others]) for r in warc.assemble(df).collect()}
+    assert got == {"<c1>": (["<q1>"], ["<m1>", "<m2>"], ["<x1>"]), "<c2>": (["<q2>"], ["<m2>"], [])}
+    raw = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    import gzip
+
+    assert [x[1:] for x in warc.parse_records(gzip.compress(raw))] == [(["<a>", "<b>"], b"hi")]
+
+
 def test_chat_folds_and_renders(spark):
     events = [
         ("c", 1, 1, "message", "user", None), ("c", 1, 2, "delta", None, "Hel"), ("c", 1, 3, "delta", None, "lo"), ("c", 1, 3, "delta", None, "lo"), ("c", 2, 4, "message", "assistant", None), ("c", 2, 5, "delta", None, "bad"),
@@ -60,6 +75,13 @@ def test_chat_round_trip(spark):
     assert [tuple(t) for t in got[2].turns] == [("", "")] and got[3].loss == "tietie"
 
 
+def test_chat_long_role(spark):
+    role = "user:\\#" * 200_000  # over a million characters
+    df = spark.createDataFrame([(1, 0, role, "said"), (1, 1, "assistant", "ok")], "conv_id long, turn long, role string, text string")
+    out = chat_format.render(chat_format.fold_events(chat_format.messages_as_events(df)))
+    assert [tuple(t) for t in out.select(chat_format.parse(F.col("formatted"))).first()[0]] == [(role, "said"), ("assistant", "ok")]
+
+
 def test_shards(spark, awkward):
     t = shards.ShardTable(spark, scratch(spark, "shards"), target_bytes=200_000, base_bytes=10_000)
     out = shards.ingest(t, awkward, arrivals=3)
@@ -85,6 +107,10 @@ def test_url_rules(spark):
     assert by[3][2:] == ("example.org/en/1", "block") and by[4][2:] == ("org/", "allow") and by[5][3] == "block" and by[6][:2] == ("", "") and by[7] == ("", "", None, "allow") and by[10][2] == "com/fr/"
     assert {r.verdict for r in url_filter.judge_urls(pages.select("page_id", "url"), rules.limit(0), default="block").collect()} == {"block"}
     assert url_filter.judge_urls(pages.drop("rule", "key").limit(0), rules).count() == 0
+    inner = ["block", "w0", "w7", "key", "len", "b", "best", "host_len", "_b", "_row", "_rule", "c"]
+    clash = pages.drop("key", "rule").select("*", *[F.lit("mine").alias(c) for c in inner])
+    kept = url_filter.judge_urls(clash, rules)
+    assert set(kept.columns) == {*clash.columns, "host", "path", "rule", "verdict"} and all(r[c] == "mine" for r in kept.collect() for c in inner)
     wide = url_filter.judge_urls(pages, rules)
     assert wide.count() == 14 and set(wide.columns) == {"page_id", "url", "key", "host", "path", "rule", "verdict"}
 
