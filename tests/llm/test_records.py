@@ -133,7 +133,7 @@ def test_embeddings(spark):
     x[100:180] = x[0] + 0.05 * rng.standard_normal((80, 16))  # more than a list holds
     x[200] = x[201] = x[202]
     x[300] = x[301] * 3
-    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] + [1.0] * 15, 1), (903, [1.0] * 15 + [None], 1), (904, [float("inf")] * 16, 1), (905, [1.0, 2.0], 1), (None, rows_ := [1.0] * 16, 1), (0, [float(v) for v in x[0]], 1)]
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] + [1.0] * 15, 1), (903, [1.0] * 15 + [None], 1), (904, [float("inf")] * 16, 1), (905, [1.0, 2.0], 1), (906, [1.0, 2.1], 1), (907, [1e200, 1e200, 0.0], 1), (908, [2e200, 1e200, 0.0], 1), (909, [1e-200, 1e-200, 0.0], 1), (None, rows_ := [1.0] * 16, 1), (0, [float(v) for v in x[0]], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, links int")
     got = nn_descent.near_duplicates(df).collect()
     assert len(got) == len(rows) and rows_
@@ -147,6 +147,8 @@ def test_embeddings(spark):
     for r in got:
         if r.vec_id is None:
             assert (r.n_links, r.component_id, r.kept) == (0, None, False)
+        elif r.vec_id >= 905:
+            assert (r.n_links, r.component_id) == {905: (1, 905), 906: (1, 905), 907: (2, 907), 908: (2, 907), 909: (2, 907)}[r.vec_id]
         elif r.vec_id >= 900:
             assert (r.n_links, r.component_id, r.kept) == (0, r.vec_id, True)
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0 and nn_descent.near_duplicates(df.where("vec_id = 900")).count() == 1
