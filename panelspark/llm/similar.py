@@ -11,14 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, materialize, scratch_area
 from .components import connected_components
 from .simhash import _signed, _xxh64, fingerprint, linking_forest
 
 #: Texts of a candidate group that one task compares with each other, and those that every task of the group sees.
 BLOCK, PIVOTS = 512, 16
-#: Fingerprints that are compared with as many others in one task.
-WIDE = 4096
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -57,28 +55,32 @@ def _described(docs: DataFrame, bits_shingle: int, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, fp long, node long, n long")
 
 
-def _sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """(node, items) of the members (doc_id, h, node): the shingle set of one text of each."""
+def _with_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """members (doc_id, h, ...) with items, the shingle set of the text of that id and hash; a repeated row of docs repeats it."""
+    rest = [c for c in members.columns if c not in ("doc_id", "h")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, len(b), 256):  # a few at a time, for memory
                 part = b.slice(lo, 256)
-                items = [shingle_set(t.as_py(), shingle).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.list_(pa.int64()))], ["node", "items"])
+                items = [shingle_set(t.as_py(), shingle).view(np.int64) for t in part.column(0)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(items, pa.list_(pa.int64()))], [*rest, "items"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    found = texts.join(members.select("doc_id", "h", "node"), ["doc_id", "h"]).select("node", "text")
-    return found.mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
+    found = texts.join(broadcast_if_small(members, 500_000), ["doc_id", "h"]).select("text", *rest)
+    return found.mapInArrow(run, ", ".join([*(f"{c} {members.schema[c].dataType.simpleString()}" for c in rest), "items array<long>"]))
 
 
-def _block_forest(t: pa.Table, distance: int, percent: int) -> pa.Table:
-    """Links that connect what the similar pairs of a block connect."""
-    node, fp = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+def _unpacked(t: pa.Table) -> list[np.ndarray]:
     column = t.column("items").combine_chunks()
     flat, at = column.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())])
-    sets = [flat[at[k] : at[k + 1]] for k in range(len(node))]
-    label = np.arange(len(node))
+    return [flat[at[k] : at[k + 1]] for k in range(len(column))]
+
+
+def _block_forest(t: pa.Table, distance: int, percent: int) -> pa.Table:
+    """Links that connect what the similar pairs of a block connect; rows of one node are one text."""
+    node, fp, sets = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64), _unpacked(t)
+    label = np.unique(node, return_inverse=True)[1]
     us, vs = [], []
     for i in np.argsort(-t.column("pivot").to_numpy(), kind="stable"):
         for j in np.flatnonzero((np.bitwise_count(fp ^ fp[i]) <= distance) & (label != label[i])):
@@ -89,29 +91,48 @@ def _block_forest(t: pa.Table, distance: int, percent: int) -> pa.Table:
     return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
-def _across(members: DataFrame, distance: int, percent: int) -> DataFrame:
-    """(u, v) of members (grp, node, fp, n, label) of one group and two labels whose fingerprints and sizes allow a link."""
-    sizes = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("blocks"), F.countDistinct("label").alias("labels")).where("labels > 1").drop("labels")
-    placed = members.join(broadcast_if_small(sizes, 100_000), "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _near(fp: np.ndarray, n: np.ndarray, label: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int, percent: int) -> np.ndarray:
+    """Which pairs of rows a and b have different labels, and fingerprints and sizes that allow a link."""
+    near = (label[a][:, None] != label[b][None, :]) & (np.bitwise_count(fp[a][:, None] ^ fp[b][None, :]) <= distance)
+    return near & (np.minimum(n[a][:, None], n[b][None, :]) * 100 >= percent * np.maximum(n[a][:, None], n[b][None, :]))
+
+
+def _across(members: DataFrame, docs: DataFrame, shingle: int, distance: int, percent: int) -> DataFrame:
+    """(u, v) links between members (grp, node, doc_id, h, fp, n, label) of one group and different labels.
+
+    The group is dealt in blocks, of which every two meet: first without texts, which leaves the members that have some
+    partner in the other block, then these with their sets. No pair is listed; a task gives a link a member at most.
+    """
+    sizes = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.countDistinct("label").alias("labels")).where("labels > 1").drop("labels")
+    placed = materialize(members.join(broadcast_if_small(sizes, 100_000), "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "dealt")
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "fp", "n", "label")
 
-    def run(t: pa.Table) -> pa.Table:
+    def sides(t: pa.Table) -> tuple[np.ndarray, ...]:
         i, j, own = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("own").to_numpy()
         node, fp, n, label = (t.column(c).to_numpy() for c in ("node", "fp", "n", "label"))
-        fp = fp.view(np.uint64)
-        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for lo in range(0, len(a), 512):
-            rows = a[lo : lo + 512]
-            near = (label[rows][:, None] != label[b][None, :]) & (np.bitwise_count(fp[rows][:, None] ^ fp[b][None, :]) <= distance)
-            near &= np.minimum(n[rows][:, None], n[b][None, :]) * 100 >= percent * np.maximum(n[rows][:, None], n[b][None, :])
-            x, y = np.nonzero(near)
-            x, y = node[rows[x]], node[b[y]]
-            us.append(np.minimum(x, y))
-            vs.append(np.maximum(x, y))
-        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
-
-    return spread.groupBy("grp", "i", "j").applyInArrow(run, "u long, v long").distinct()
+        return np.flatnonzero(own == i), np.flatnonzero(own == j), node, fp.view(np.uint64), n, label
+
+    def some(t: pa.Table) -> pa.Table:
+        a, b, _, fp, n, label = sides(t)
+        near = _near(fp, n, label, a, b, distance, percent)
+        return t.take(np.unique(np.concatenate([a[near.any(1)], b[near.any(0)]])))
+
+    kept = materialize(spread.groupBy("grp", "i", "j").applyInArrow(some, spread.schema), "partners")
+    wanted = kept.select("node").distinct().join(placed.select("node", "doc_id", "h"), "node")
+    sets = materialize(_with_sets(docs, wanted, shingle), "partner_sets")
+
+    def forest(t: pa.Table) -> pa.Table:
+        a, b, node, fp, n, label = sides(t)
+        sets, us, vs, mine = _unpacked(t), [], [], label.copy()
+        for i in a:
+            for j in b[_near(fp, n, label, np.array([i]), b, distance, percent)[0]]:
+                if mine[i] != mine[j] and _similar(sets[i], sets[j], percent):
+                    us.append(node[i])
+                    vs.append(node[j])
+                    mine[mine == mine[j]] = mine[i]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return kept.join(sets, "node").groupBy("grp", "i", "j").applyInArrow(forest, "u long, v long")
 
 
 def near_copies(docs: DataFrame, distance: int, bits_shingle: int, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -122,37 +143,34 @@ def near_copies(docs: DataFrame, distance: int, bits_shingle: int, shingle: int
     are one node from the start. Groups are what links connect. Rows with a null doc_id are left out.
 
     The pigeonhole search gives candidate groups. A group is compared in blocks of BLOCK texts, all of which also see
-    PIVOTS texts of the group; a group of one block is settled then. In larger ones, pairs that are still apart and that
-    the fingerprints allow are listed, and their sets joined.
+    PIVOTS texts of the group; a group of one block is settled then. In larger ones the texts that are still apart meet
+    block by block, as far as their fingerprints allow: that work grows with the square of such a group, its memory and
+    what it lists do not.
     """
-    rows = materialize(_described(docs.where("doc_id is not null"), bits_shingle, shingle), "described")
-    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("o"), F.first("n").alias("n"), F.collect_set("fp").alias("fps")).select("node", "o.doc_id", "o.h", "n", F.array_min("fps").alias("fp")), "nodes")
-    classes = materialize(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "classes")
-    labels = connected_components(linking_forest(classes, distance))
-    groups = classes.join(labels, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("grp"))
-    placed = materialize(nodes.join(groups, "fp"), "placed")
-    sizes = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = materialize(placed.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "members")
-    sets = materialize(_sets(docs, members, shingle), "sets")
-
-    many = members.where("blocks > 1")
-    # the least by hash of each group: a threshold keeps about PIVOTS of them without ordering the group
-    pivots = many.where(F.pmod(F.xxhash64("node", F.lit(3)), F.greatest(F.lit(1), (F.col("m") / PIVOTS).cast("long"))) == 0)
-    pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("grp", "block", "node", "fp", F.lit(1).alias("pivot"))
-    own = members.select("grp", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "fp", F.lit(0).alias("pivot"))
-    blocks = own.unionByName(pivots).groupBy("grp", "block", "node", "fp").agg(F.max("pivot").alias("pivot")).join(sets, "node")
-    inside = materialize(blocks.groupBy("grp", "block").applyInArrow(lambda t: _block_forest(t, distance, percent), "u long, v long"), "inside")
-    found = connected_components(inside)
-    if many.limit(1).count():
-        apart = many.join(found, "node", "left").select("grp", "node", "fp", "n", F.coalesce("component", "node").alias("label"))
-        pairs = materialize(_across(materialize(apart, "apart"), distance, percent), "pairs")
-        u, v = sets.select(F.col("node").alias("u"), F.col("items").alias("a")), sets.select(F.col("node").alias("v"), F.col("items").alias("b"))
-        both = F.size(F.array_intersect("a", "b"))
-        close = both * 100 >= percent * (F.size("a") + F.size("b") - both)
-        across = materialize(pairs.join(u, "u").join(v, "v").where(close).select("u", "v"), "across")
-        if across.limit(1).count():
-            found = connected_components(inside.union(across))
-    named = materialize(nodes.join(found, "node", "left").select("node", "doc_id", "h", F.coalesce("component", "node").alias("component")), "named")
-    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("first"))
-    of = named.join(first, "component").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"))
+    spark = docs.sparkSession
+    with scratch_area(spark, "near_copies") as put:
+        rows = materialize(_described(docs.where("doc_id is not null"), bits_shingle, shingle), "described")
+        nodes = put(rows.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("o"), F.first("n").alias("n"), F.collect_set("fp").alias("fps")).select("node", "o.doc_id", "o.h", "n", F.array_min("fps").alias("fp")), "nodes")
+        classes = put(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "classes")
+        labels = connected_components(linking_forest(classes, distance))
+        groups = classes.join(labels, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("grp"))
+        placed = put(nodes.join(groups, "fp"), "placed")
+        sizes = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        members = put(placed.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "members")
+        many = members.where("blocks > 1")
+        # pivots: the least by hash of each group; a threshold keeps about PIVOTS of them without ordering the group
+        pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(3)), F.greatest(F.lit(1), (F.col("m") / PIVOTS).cast("long"))) == 0)
+        own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = members.select("doc_id", "h", "grp", "node", "fp", pivot.cast("int").alias("pivot"), F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own).alias("at"))
+        blocks = _with_sets(docs, dealt, shingle).withColumn("block", F.explode("at")).drop("at")
+        inside = put(blocks.groupBy("grp", "block").applyInArrow(lambda t: _block_forest(t, distance, percent), "u long, v long"), "inside")
+        found = connected_components(inside)
+        if many.limit(1).count():
+            apart = many.join(found, "node", "left").select("grp", "node", "doc_id", "h", "fp", "n", F.coalesce("component", "node").alias("label"))
+            across = put(_across(put(apart, "apart"), docs, shingle, distance, percent), "across")
+            if across.limit(1).count():
+                found = connected_components(inside.union(across))
+        named = put(nodes.join(found, "node", "left").select("node", "doc_id", "h", F.coalesce("component", "node").alias("component")), "named")
+        first = named.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+        of = materialize(named.join(first, "component").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h")), "first")
     return rows.join(of, "node").select("doc_id", "h", "first_id", "first_h")
