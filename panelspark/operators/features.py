@@ -1,17 +1,23 @@
-"""Bar, lag and rolling features of the dense panel. One window spec per width, so Spark plans one exchange and sort."""
+"""Bar, lag and rolling features of the dense panel.
+
+Rolling features are built in two steps: the window functions, each named and computed once, then arithmetic on their
+names. Every frame has one spec (symbol, market day), so Spark plans one exchange and one sort for all of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import finite, safe_corr, symbol_window
+from ..functions.stats import finite, is_finite, symbol_window
 
 EPS = 1e-12
 #: Widths of the rolling windows, in market days.
 WIDTHS = (5, 10, 20, 30, 60)
 #: Below this deviation a series counts as constant in correlations.
 FLAT = 2e-5
+#: Changes of volume are summed as whole numbers of so many parts of a share (a power of two, so that scaling is exact).
+VOLUME_UNIT = float(1 << 20)
 
 
 def bar_features(panel: DataFrame) -> DataFrame:
@@ -40,77 +46,107 @@ def _close(x: Column) -> Column:
     return F.try_divide(x, F.col("_close"))
 
 
-def price(n: int) -> dict[str, Column]:
+#: What a family gives for a width: its window functions by name, and its features as arithmetic on those names.
+Family = tuple[dict[str, Column], dict[str, Column]]
+
+
+def _last(values: str, n: int) -> Column:
+    """The last n of the values that the longest frame listed."""
+    return F.slice(values, F.greatest(F.size(values) - (n - 1), F.lit(1)), n)
+
+
+def price(n: int, longest: int) -> Family:
     """Lagged close, mean, deviation, highest high, lowest low and place between them."""
     w, c = symbol_window(n), F.col("_close")
-    low, high = F.min("_low").over(w), F.max("_high").over(w)
+    low, high = F.col(f"_low{n}"), F.col(f"_high{n}")
     return {
-        f"roc{n}": _close(F.lag("_close", n).over(symbol_window())), f"ma{n}": _close(F.avg(c).over(w)), f"std{n}": _close(F.stddev_samp(c).over(w)),
+        f"_lag{n}": F.lag(c, n).over(symbol_window()), f"_mean{n}": F.avg(c).over(w), f"_sd{n}": F.stddev_samp(c).over(w), f"_low{n}": F.min("_low").over(w), f"_high{n}": F.max("_high").over(w),
+    }, {
+        f"roc{n}": _close(F.col(f"_lag{n}")), f"ma{n}": _close(F.col(f"_mean{n}")), f"std{n}": _close(F.col(f"_sd{n}")),
         f"max{n}": _close(high), f"min{n}": _close(low), f"rsv{n}": (c - low) / (high - low + EPS),
     }
 
 
-def regression(n: int) -> dict[str, Column]:
+def regression(n: int, longest: int) -> Family:
     """Slope on the market-day index, share of variance explained, and residual; days without a close don't count."""
-    w, c = symbol_window(n), F.col("_close")
-    x = F.when(c.isNotNull(), F.col("_trade_index").cast("double"))
-    slope = F.regr_slope(c, x).over(w)
-    fit = F.avg(c).over(w) + slope * (x - F.avg(x).over(w))
-    return {f"beta{n}": _close(slope), f"rsqr{n}": F.when(F.stddev_samp(c).over(w) > FLAT, F.pow(safe_corr(c, x, w), 2)), f"resi{n}": _close(c - fit)}
+    w, c, x = symbol_window(n), F.col("_close"), F.col("_trade_index").cast("double")
+    slope, fit = F.col(f"_slope{n}"), F.col(f"_icept{n}") + F.col(f"_slope{n}") * x
+    return {
+        f"_slope{n}": F.regr_slope(c, x).over(w), f"_icept{n}": F.regr_intercept(c, x).over(w), f"_r2{n}": F.regr_r2(c, x).over(w), f"_sd{n}": F.stddev_samp(c).over(w),
+    }, {f"beta{n}": _close(slope), f"rsqr{n}": F.when(F.col(f"_sd{n}") > FLAT, F.col(f"_r2{n}")), f"resi{n}": _close(c - fit)}
 
 
-def quantile_rank(n: int) -> dict[str, Column]:
-    """Linear 0.8 and 0.2 quantiles, and the current close's average rank as a share. The slow family: rows times width."""
-    w, c = symbol_window(n), F.col("_close")
-    seen = F.collect_list("_close").over(w)
-    below, same = F.size(F.filter(seen, lambda v: v < c)), F.size(F.filter(seen, lambda v: v == c))
-    return {
-        f"qtlu{n}": _close(F.percentile(c, F.lit(0.8)).over(w)), f"qtld{n}": _close(F.percentile(c, F.lit(0.2)).over(w)),
-        f"rank{n}": F.when(c.isNotNull(), (below + (same + 1) / 2.0) / F.size(seen)),
+def quantile_rank(n: int, longest: int) -> Family:
+    """Linear 0.8 and 0.2 quantiles, and the current close's average rank as a share, of the sorted closes of the frame.
+
+    The longest frame is listed once; the other widths are its last values.
+    """
+    listed = F.collect_list(F.coalesce("_close", F.lit(float("nan")))).over(symbol_window(longest))
+    c, seen = F.col("_close"), F.col(f"_sorted{n}")
+    k = F.size(seen)
+
+    def quantile(q: float) -> Column:
+        at = (k - 1) * F.lit(q)
+        below = F.floor(at).cast("int")
+        a, b = F.get(seen, below), F.get(seen, F.least(below + 1, k - 1))
+        return F.when(k > 0, a + (b - a) * (at - below))
+
+    first, last = F.array_position(seen, c), k - F.array_position(F.reverse(seen), c) + 1
+    return {"_closes": listed}, {
+        f"_sorted{n}": F.sort_array(F.filter(_last("_closes", n), lambda v: ~F.isnan(v))),
+        f"qtlu{n}": _close(quantile(0.8)), f"qtld{n}": _close(quantile(0.2)), f"rank{n}": F.when(c.isNotNull(), (first + last) / 2.0 / k),
     }
 
 
-def extrema(n: int) -> dict[str, Column]:
+def extrema(n: int, longest: int) -> Family:
     """Where in the window the highest high and the lowest low lie (the oldest of equals), and the distance between."""
-    w, i = symbol_window(n), F.col("_trade_index")
-    high = F.max(F.when(F.col("_high").isNotNull(), F.struct(F.col("_high"), (-i).alias("i")))).over(w)["i"]
-    low = F.min(F.when(F.col("_low").isNotNull(), F.struct(F.col("_low"), i.alias("i")))).over(w)["i"]
-    rows = F.count(F.lit(1)).over(w)
-    place = lambda at: (rows - (i - at)) / F.lit(float(n))
-    return {f"imax{n}": place(-high), f"imin{n}": place(low), f"imxd{n}": place(-high) - place(low)}
+    w, i, h, low = symbol_window(n), F.col("_trade_index"), F.col("_high"), F.col("_low")
+    place = lambda at: (F.col(f"_rows{n}") - (i - at)) / F.lit(float(n))
+    return {
+        f"_top{n}": F.max(F.when(h.isNotNull(), F.struct(h.alias("v"), (-i).alias("i")))).over(w), f"_bottom{n}": F.min(F.when(low.isNotNull(), F.struct(low.alias("v"), i.alias("i")))).over(w),
+        f"_rows{n}": F.count(F.lit(1)).over(w),
+    }, {f"imax{n}": place(-F.col(f"_top{n}.i")), f"imin{n}": place(F.col(f"_bottom{n}.i")), f"imxd{n}": F.col(f"imax{n}") - F.col(f"imin{n}")}
 
 
-def correlation(n: int) -> dict[str, Column]:
+def correlation(n: int, longest: int) -> Family:
     """Close against log volume, and their ratios against each other; null where either is flat."""
     w = symbol_window(n)
-
-    def corr(a: str, b: str) -> Column:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    windows, out = {}, {}
+    for name, a, b in (("corr", "_close", "_lv"), ("cord", "_cr", "_lvr")):
+        both = is_finite(F.col(a)) & is_finite(F.col(b))
         x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-        moves = (F.stddev_samp(x).over(w) > FLAT) & (F.stddev_samp(y).over(w) > FLAT)
-        value = safe_corr(x, y, w)
-        return F.when(moves & value.isNotNull(), F.greatest(F.least(value, F.lit(1.0)), F.lit(-1.0)))
-
-    return {f"corr{n}": corr("_close", "_lv"), f"cord{n}": corr("_cr", "_lvr")}
+        windows |= {f"_{name}_xy{n}": F.covar_samp(x, y).over(w), f"_{name}_x{n}": F.stddev_samp(x).over(w), f"_{name}_y{n}": F.stddev_samp(y).over(w)}
+        sx, sy = F.col(f"_{name}_x{n}"), F.col(f"_{name}_y{n}")
+        out[f"{name}{n}"] = F.when((sx > FLAT) & (sy > FLAT), F.greatest(F.least(F.col(f"_{name}_xy{n}") / (sx * sy), F.lit(1.0)), F.lit(-1.0)))
+    return windows, out
 
 
-def count_sum(n: int) -> dict[str, Column]:
+def count_sum(n: int, longest: int) -> Family:
     """Shares of rising and falling days (a missing change counts as neither), and of gains and losses."""
     w, d = symbol_window(n), F.col("_dp")
-    up, down = (F.avg(F.coalesce(x.cast("double"), F.lit(0.0))).over(w) for x in (d > 0, d < 0))
-    total = F.sum(F.abs(d)).over(w) + EPS
-    gain, loss = F.sum(F.when(d.isNotNull(), F.greatest(d, F.lit(0.0)))).over(w), F.sum(F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))).over(w)
-    return {f"cntp{n}": up, f"cntn{n}": down, f"cntd{n}": up - down, f"sump{n}": gain / total, f"sumn{n}": loss / total, f"sumd{n}": (gain - loss) / total}
+    some = lambda x: F.when(d.isNotNull(), F.greatest(x, F.lit(0.0)))
+    up, down, gain, loss, total = F.col(f"_up{n}"), F.col(f"_down{n}"), F.col(f"_gain{n}"), F.col(f"_loss{n}"), F.col(f"_total{n}") + EPS
+    return {
+        f"_up{n}": F.avg(F.coalesce((d > 0).cast("double"), F.lit(0.0))).over(w), f"_down{n}": F.avg(F.coalesce((d < 0).cast("double"), F.lit(0.0))).over(w),
+        f"_gain{n}": F.sum(some(d)).over(w), f"_loss{n}": F.sum(some(-d)).over(w), f"_total{n}": F.sum(F.abs(d)).over(w),
+    }, {f"cntp{n}": up, f"cntn{n}": down, f"cntd{n}": up - down, f"sump{n}": gain / total, f"sumn{n}": loss / total, f"sumd{n}": (gain - loss) / total}
+
 
+def volume(n: int, longest: int) -> Family:
+    """Mean and deviation of volume, variation of volume-weighted moves, and shares of volume gained and lost.
 
-def volume(n: int) -> dict[str, Column]:
-    """Mean and deviation of volume, variation of volume-weighted moves, and shares of volume gained and lost."""
-    w, v, d, m = symbol_window(n), F.col("_volume"), F.col("_dv"), F.col("_move")
-    total = F.sum(F.abs(d)).over(w) + EPS
-    gain, loss = F.sum(F.when(d.isNotNull(), F.greatest(d, F.lit(0.0)))).over(w), F.sum(F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))).over(w)
+    Changes of volume are summed exactly, as whole numbers of VOLUME_UNIT-th shares.
+    """
+    w, v, d, m = symbol_window(n), F.col("_volume"), F.floor(F.col("_dv") * VOLUME_UNIT + 0.5).cast("long"), F.col("_move")
+    up = F.when(d.isNotNull(), F.greatest(d, F.lit(0).cast("long")))
+    gain, loss = F.col(f"_vgain{n}"), F.col(f"_vall{n}") - F.col(f"_vgain{n}")
+    total = F.col(f"_vall{n}") / VOLUME_UNIT + EPS
     return {
-        f"vma{n}": F.avg(v).over(w) / (v + EPS), f"vstd{n}": F.stddev_samp(v).over(w) / (v + EPS), f"wvma{n}": F.stddev_samp(m).over(w) / (F.avg(m).over(w) + EPS),
-        f"vsump{n}": gain / total, f"vsumn{n}": loss / total, f"vsumd{n}": (gain - loss) / total,
+        f"_vmean{n}": F.avg(v).over(w), f"_vsd{n}": F.stddev_samp(v).over(w), f"_msd{n}": F.stddev_samp(m).over(w), f"_mmean{n}": F.avg(m).over(w),
+        f"_vall{n}": F.sum(F.abs(d)).over(w), f"_vgain{n}": F.sum(up).over(w),
+    }, {
+        f"vma{n}": F.col(f"_vmean{n}") / (v + EPS), f"vstd{n}": F.col(f"_vsd{n}") / (v + EPS), f"wvma{n}": F.col(f"_msd{n}") / (F.col(f"_mmean{n}") + EPS),
+        f"vsump{n}": gain / VOLUME_UNIT / total, f"vsumn{n}": loss / VOLUME_UNIT / total, f"vsumd{n}": (gain - loss) / VOLUME_UNIT / total,
     }
 
 
@@ -119,11 +155,18 @@ FAMILIES = {"price": price, "regression": regression, "quantile_rank": quantile_
 
 def rolling(panel: DataFrame, families: tuple[str, ...] = tuple(FAMILIES), widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """Adds the families' columns at every width to a panel with lag_inputs; keeps all rows, for later windows."""
-    cols: dict[str, Column] = {}
+    windows: dict[str, Column] = {}
+    steps: dict[str, Column] = {}
     for f in families:
         for n in widths:
-            cols |= FAMILIES[f](n)
-    return panel.withColumns({k: finite(v) for k, v in cols.items()})
+            w, out = FAMILIES[f](n, max(widths))
+            windows |= w
+            steps |= out
+    wide = panel.withColumns(windows)
+    for first in (True, False):  # sorted frames and places are read by other features
+        named = {k: v for k, v in steps.items() if k.startswith(("_sorted", "imax", "imin")) == first}
+        wide = wide.withColumns({k: v if k.startswith("_") else finite(v) for k, v in named.items()}) if named else wide
+    return wide.select(*panel.columns, *[k for k in steps if not k.startswith("_")])
 
 
 def selected(df: DataFrame, groups: dict[str, list[str]], wanted: list[str]) -> list[str]:

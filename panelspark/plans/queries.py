@@ -136,7 +136,10 @@ def _gain(d: str) -> tuple[str, str, str]:
 
 
 _UP, _DOWN = ("avg(coalesce((_dp {} 0)::int, 0)::double) over w{{n}}".format(s) for s in "><")
-_P, _V = _gain("_dp"), _gain("_dv")
+_P = _gain("_dp")
+_DV = "floor(_dv * 1048576::double + 0.5::double)::bigint"  # whole parts of a share, summed exactly
+_ALL, _VUP = f"(sum(abs({_DV})) over w{{n}})::double", f"(sum(case when _dv is not null then greatest({_DV}, 0) end) over w{{n}})::double"
+_V = tuple(f"({x}) / 1048576::double / ({_ALL} / 1048576::double + 1e-12::double)" for x in (_VUP, f"{_ALL} - {_VUP}", f"{_VUP} - ({_ALL} - {_VUP})"))
 _HIGH, _LOW = "max(case when _high is not null then row(_high, -_trade_index) end) over w{n}", "min(case when _low is not null then row(_low, _trade_index) end) over w{n}"
 _AT = "(count(*) over w{{n}} - (_trade_index - {})) / {{n}}::double"
 _IMAX, _IMIN = _AT.format(f"-struct_extract({_HIGH}, 2)"), _AT.format(f"struct_extract({_LOW}, 2)")
