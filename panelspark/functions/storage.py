@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new folder where none is set (local runs)."""
+    """spark.checkpoint.dir; where none is set a local run gets a new folder, and a cluster is refused."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")

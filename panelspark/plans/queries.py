@@ -807,14 +807,14 @@ def unique_commits(t: Tables) -> DataFrame:
 
 
 @query("window_outcomes", """with w as (select distinct strftime(ts, '%Y%m%d') as d, date_trunc('day', ts) + interval 9 hour as a, date_trunc('day', ts) + interval 15 hour as z from events),
-  x as (select strftime(ts, '%Y%m%d') as d, ts, ts + to_seconds((value * 60)::bigint) as e, case when event_id % 4 = 0 then 'failed' else 'done' end as s from events where event_id % 50 = 0),
-  l as (select w.d, last(x.s order by x.ts, x.s) as s, last(x.e order by x.ts, x.s) as e from w join x on x.d = w.d and x.ts between w.a and w.z group by 1)
+  x as (select strftime(ts, '%Y%m%d') as d, ts, ts + to_seconds((value * 60)::bigint) as e, case when event_id % 4 = 0 then 'failed' else 'done' end as s from events),
+  l as (select w.d, last(x.s order by x.ts, x.s, x.e) as s, last(x.e order by x.ts, x.s, x.e) as e from w join x on x.d = w.d and x.ts between w.a and w.z group by 1)
   select w.d as window_id, case when l.d is null then 'skipped' when l.s = 'failed' then 'failed' when l.e > w.z then 'incomplete' else 'done' end as outcome from w left join l on l.d = w.d""", False)
 def window_outcomes(t: Tables) -> DataFrame:
     e = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").withColumn("window_id", F.date_format("ts", "yyyyMMdd"))
     day = F.date_trunc("day", "ts")
     w = e.select("window_id", (day + F.expr("interval 9 hours")).alias("start"), (day + F.expr("interval 15 hours")).alias("stop")).distinct()
-    a = e.where("event_id % 50 = 0").select("window_id", F.col("ts").alias("started_at"), (F.col("ts") + F.make_dt_interval(secs=F.round(F.col("value") * 60).cast("decimal(18,6)"))).alias("ended_at"), F.when(F.col("event_id") % 4 == 0, "failed").otherwise("done").alias("state"))
+    a = e.select("window_id", F.col("ts").alias("started_at"), (F.col("ts") + F.make_dt_interval(secs=F.round(F.col("value") * 60).cast("decimal(18,6)"))).alias("ended_at"), F.when(F.col("event_id") % 4 == 0, "failed").otherwise("done").alias("state"))
     return runs_stream.window_outcomes(w, a)
 
 

@@ -69,7 +69,7 @@ def window_outcomes(windows: DataFrame, attempts: DataFrame) -> DataFrame:
     failed if the last ended so, incomplete if it ended after the stop or not at all, else done. Windows are few; their
     attempts (window_id, started_at, ended_at, state) join by id."""
     inside = attempts.join(F.broadcast(windows), "window_id").where(F.col("started_at").between(F.col("start"), F.col("stop")))
-    last = inside.groupBy("window_id").agg(F.max_by(F.struct("ended_at", "state"), F.struct("started_at", "state")).alias("l"))
+    last = inside.groupBy("window_id").agg(F.max_by(F.struct("ended_at", "state"), F.struct("started_at", "state", "ended_at")).alias("l"))
     out = F.when(F.col("l").isNull(), "skipped").when(F.col("l.state") == "failed", "failed").when(F.col("l.ended_at").isNull() | (F.col("l.ended_at") > F.col("stop")), "incomplete").otherwise("done")
     return windows.join(last, "window_id", "left").select("window_id", out.alias("outcome"))
 
