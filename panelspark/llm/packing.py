@@ -115,8 +115,9 @@ def _spread(weight: np.ndarray, beta: float, volume: float) -> tuple[np.ndarray,
     size = len(weight)
     reach, back = np.zeros(size), np.zeros(size)  # back: reach from its end, so that the sum is one product
     reach[0] = back[-1] = 1
-    for c in range(1, size):
-        reach[c] = back[size - 1 - c] = weight[1 : c + 1] @ back[size - c :]
+    with np.errstate(over="ignore", invalid="ignore"):  # the caller looks at whether the number is finite
+        for c in range(1, size):
+            reach[c] = back[size - 1 - c] = weight[1 : c + 1] @ back[size - c :]
     excess = np.exp(-beta * (1 - np.arange(size) / (size - 1)))
     pairs = np.convolve(reach, reach)[:size]
     covered = weight * np.correlate(np.append(excess, np.zeros(size - 1)), pairs, "valid")

@@ -173,3 +173,12 @@ def test_queries_and_sql_names():
     q, s = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(s) <= set(q) and "pipeline" in q
     assert all(any(n.startswith(f"op{k}_") for n in q) for k in range(1, 11))
+
+
+def test_pipeline_keeps_rows_of_one_id(spark):
+    rng = np.random.default_rng(9)
+    text = lambda: " ".join(f"w{k}" for k in rng.integers(0, 9000, 80))
+    a, b, c = text(), text(), text()
+    docs = spark.createDataFrame([(5, a, "x"), (5, b, "y"), (5, a, "z"), (6, b, "x"), (7, c, "x"), (None, c, "x")], "doc_id long, text string, _text_hash string")
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("5", a), ("5", b), ("7", c), ("None", c)])
