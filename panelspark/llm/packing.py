@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def byte_values() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file shows as themselves
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
 class Encoder:
     """Token ids of texts by a byte-level BPE file of the tokenizers library.
 
@@ -48,8 +55,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec.get("added_tokens", ())}
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file shows as themselves
-        byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+        byte = byte_values()
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         named = "" if special_as_text else "".join("|" + re.escape(x) for x in sorted(special))
@@ -57,9 +63,10 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if self.other.search(text):
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        if not self.other.search(text):
+            with suppress(ValueError):  # its pattern gives up on very long runs of one kind of character
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, nn_descent, packing, quality, shards, simhash, substring, url_filter, warc
+from . import align, chat_format, decontaminate, mixture, nn_descent, packing, periodic, quality, shards, simhash, substring, url_filter, warc
 from .common import scratch, table
 
 
@@ -140,6 +140,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(periodic.with_planted_tails(table(spark, sf_dir, "documents")))
+
+
+def piece_path() -> str:
+    """Where the public vocabulary of pieces lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), piece_path())
+
+
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_nn_descent": op2_nn_descent,
@@ -151,5 +170,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_align": op12_align,
+    "op13_mixture": op13_mixture,
 }
 SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op4_chat_format": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_shards": OP6_SQL, "op7_url_filter": _op7_sql()}
