@@ -1,13 +1,18 @@
 """Bar, lag and rolling features of the dense panel.
 
-Rolling features are built in two steps: the window functions, each named and computed once, then arithmetic on their
-names. Every frame has one spec (symbol, market day), so Spark plans one exchange and one sort for all of them.
+Rolling features are built in two steps: what is summed or picked over frames, each named and computed once, then
+arithmetic on the names. Sums and moments come from running sums, whose cost doesn't depend on the width; extremes,
+quantiles and lags from window functions. Every frame has one spec (symbol, market day), so Spark plans one exchange.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.stats import finite, is_finite, symbol_window
 
@@ -46,8 +51,117 @@ def _close(x: Column) -> Column:
     return F.try_divide(x, F.col("_close"))
 
 
-#: What a family gives for a width: its window functions by name, and its features as arithmetic on those names.
-Family = tuple[dict[str, Column], dict[str, Column]]
+#: A sum of squares below this share of those it is a difference of is rounding: the series is flat there.
+NOISE = 1e-14
+
+
+@dataclass
+class Family:
+    """What a family gives for a width: window functions by name; series and pairs of series of which it wants moments; values
+    of which it wants sums; and its features, as arithmetic on those names."""
+
+    features: dict[str, Column]
+    windows: dict[str, Column] = field(default_factory=dict)
+    moments: dict[str, tuple[Column, ...]] = field(default_factory=dict)
+    sums: dict[str, Column] = field(default_factory=dict)
+
+
+def framed(panel: DataFrame, moments: dict[str, tuple[Column, ...]], sums: dict[str, Column], widths: tuple[int, ...]) -> DataFrame:
+    """Adds moments and sums of the last n rows of each symbol, for every width n, from running sums.
+
+    moments, of a series x or of a pair (x, y), where all are finite: _{name}_n{n} rows, means _{name}_mx{n} (my), sums of
+    squared deviations _{name}_xx{n} (yy), of products _{name}_xy{n}. sums: _{name}{n}, a missing value counts as 0.
+
+    A symbol's rows are cut in blocks as long as the longest frame. Running sums start anew with each block, as deviations
+    from its first value, so they stay small; a frame is the difference of two of them, or what is left of the block before
+    and the sums so far of this one, moved to this one's first value. So a row costs the same at any width, nothing that
+    comes later plays a part, and a frame loses no more digits than one block's spread costs. What rounding leaves of a
+    flat frame's squares is 0. Whole numbers are summed exactly.
+    """
+    size = max(widths)
+    place = F.row_number().over(symbol_window())
+    p = panel.withColumn("_place", place).withColumn("_block", F.floor((F.col("_place") - 1) / size).cast("int"))
+    # partition and order together are the same sort as by block, so one sort serves both windows
+    running = Window.partitionBy("ts_code", "_block").orderBy("_trade_index").rowsBetween(Window.unboundedPreceding, 0)
+    whole = running.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    symbol = Window.partitionBy("ts_code").orderBy("_block", "_trade_index")
+    axes = {name: "xy"[: len(series)] for name, series in moments.items()}
+    masked = {}
+    for name, series in moments.items():
+        known = [is_finite(v.cast("double")) for v in series]
+        both = known[0] & known[1] if len(known) > 1 else known[0]
+        masked |= {f"_{name}_{a}": F.when(both, v.cast("double")) for a, v in zip(axes[name], series, strict=True)}
+    p = p.withColumns(masked) if masked else p
+    first = {f"{c}{k}": F.first(c, ignorenulls=True).over(w) for c in masked for k, w in (("0", running), ("w", whole))}  # seen so far; of the block
+    p = p.withColumns(first) if masked else p
+    parts: dict[str, Column] = {}
+    for name in moments:
+        d = {a: F.col(f"_{name}_{a}") - F.col(f"_{name}_{a}0") for a in axes[name]}
+        parts[f"_{name}_n"] = F.when(F.col(f"_{name}_x").isNotNull(), 1).otherwise(0)
+        parts |= {f"_{name}_s{a}": F.coalesce(v, F.lit(0.0)) for a, v in d.items()}
+        parts |= {f"_{name}_s{a}{a}": F.coalesce(v * v, F.lit(0.0)) for a, v in d.items()}
+        if "y" in d:
+            parts[f"_{name}_sxy"] = F.coalesce(d["x"] * d["y"], F.lit(0.0))
+    parts |= {f"_{name}": F.coalesce(v, F.lit(0)) for name, v in sums.items()}
+    p = p.withColumns({f"{c}_v": v for c, v in parts.items()})
+    p = p.withColumns({f"{c}_r": F.sum(f"{c}_v").over(running) for c in parts} | {f"{c}_t": F.sum(f"{c}_v").over(whole) for c in parts})
+    # one group after the other, each after a window of its own: all at once would be too much code for one method
+    groups = [(name, [c for c in parts if c.startswith(f"_{name}_") and c[len(name) + 2 :] in ("n", "sx", "sy", "sxx", "syy", "sxy")], axes[name]) for name in moments]
+    for name, own, letters in groups + [(None, [f"_{s}" for s in sums], "")] * bool(sums):
+        state = F.struct("_block", *[f"{c}_{k}" for c in own for k in "rt"], *[f"_{name}_{a}w" for a in letters])
+        p = p.withColumn("_state", state).withColumns({f"_before{n}": F.lag("_state", n).over(symbol) for n in widths})
+        inside = {f"_in{n}": F.col(f"_before{n}").isNull() | (F.col(f"_before{n}._block") == F.col("_block")) for n in widths}
+        for step in (inside, *_frames(own, name, letters, widths)):
+            p = p.withColumns(step) if step else p
+    return p
+
+
+def _frames(own: list[str], name: str | None, letters: str, widths: tuple[int, ...]) -> tuple[dict[str, Column], ...]:
+    """The steps from running sums (own) here and n rows before to a frame's: what is left of the block before and how far
+    its first value is from this block's; sums around this block's first value; moments."""
+    left: dict[str, Column] = {}
+    total: dict[str, Column] = {}
+    last: dict[str, Column] = {}
+    for n in widths:
+        before, near = F.col(f"_before{n}"), F.col(f"_in{n}")
+
+        def rest(c: str, before: Column = before, near: Column = near) -> Column:
+            return F.when(near, F.lit(0)).otherwise(before[f"{c}_t"] - before[f"{c}_r"])
+
+        def both(c: str, before: Column = before, near: Column = near) -> Column:
+            return F.col(f"{c}_r") - F.coalesce(before[f"{c}_r"], F.lit(0)) + F.when(near, F.lit(0)).otherwise(before[f"{c}_t"])
+
+        if name is None:
+            total |= {f"{c}{n}": both(c) for c in own}
+            continue
+        c = f"_{name}_"
+        left[f"{c}m{n}"] = rest(f"{c}n")
+        total[f"{c}n{n}"] = both(f"{c}n")
+        m, k = F.col(f"{c}m{n}"), F.col(f"{c}n{n}")
+        for a in letters:
+            origin = F.coalesce(F.col(f"{c}{a}0"), before[f"{c}{a}w"])
+            left[f"{c}s{a}m{n}"] = rest(f"{c}s{a}")
+            left[f"{c}d{a}{n}"] = F.when(near, F.lit(0.0)).otherwise(F.coalesce(before[f"{c}{a}w"] - origin, F.lit(0.0)))
+            d, part = F.col(f"{c}d{a}{n}"), F.col(f"{c}s{a}m{n}")
+            total[f"{c}s{a}{n}"] = both(f"{c}s{a}") + d * m
+            total[f"{c}q{a}{n}"] = both(f"{c}s{a}{a}") + d * (2 * part + d * m)
+            total[f"{c}z{a}{n}"] = NOISE * (F.col(f"{c}s{a}{a}_r") + F.coalesce(before[f"{c}s{a}{a}_t"], F.lit(0.0)) + d * d * m)
+            total[f"{c}o{a}{n}"] = origin
+            s = F.col(f"{c}s{a}{n}")
+            last[f"{c}m{a}{n}"] = F.when(k > 0, F.col(f"{c}o{a}{n}") + s / k)
+            square = F.when(k > 0, F.col(f"{c}q{a}{n}") - s * s / k)
+            last[f"{c}{a}{a}{n}"] = F.when(square <= F.col(f"{c}z{a}{n}"), F.lit(0.0)).otherwise(square)
+        if "y" in letters:
+            dx, dy, sx, sy = F.col(f"{c}dx{n}"), F.col(f"{c}dy{n}"), F.col(f"{c}sxm{n}"), F.col(f"{c}sym{n}")
+            total[f"{c}qxy{n}"] = both(f"{c}sxy") + dy * sx + dx * sy + dx * dy * m
+            last[f"{c}xy{n}"] = F.when(k > 0, F.col(f"{c}qxy{n}") - F.col(f"{c}sx{n}") * F.col(f"{c}sy{n}") / k)
+    return left, total, last
+
+
+def _deviation(name: str, n: int, axis: str = "x") -> Column:
+    """The sample deviation of a series' frame; null for under two values."""
+    k = F.col(f"_{name}_n{n}")
+    return F.when(k > 1, F.sqrt(F.col(f"_{name}_{axis}{axis}{n}") / (k - 1)))
 
 
 def _last(values: str, n: int) -> Column:
@@ -59,21 +173,22 @@ def price(n: int, longest: int) -> Family:
     """Lagged close, mean, deviation, highest high, lowest low and place between them."""
     w, c = symbol_window(n), F.col("_close")
     low, high = F.col(f"_low{n}"), F.col(f"_high{n}")
-    return {
-        f"_lag{n}": F.lag(c, n).over(symbol_window()), f"_mean{n}": F.avg(c).over(w), f"_sd{n}": F.stddev_samp(c).over(w), f"_low{n}": F.min("_low").over(w), f"_high{n}": F.max("_high").over(w),
-    }, {
-        f"roc{n}": _close(F.col(f"_lag{n}")), f"ma{n}": _close(F.col(f"_mean{n}")), f"std{n}": _close(F.col(f"_sd{n}")),
-        f"max{n}": _close(high), f"min{n}": _close(low), f"rsv{n}": (c - low) / (high - low + EPS),
-    }
+    return Family(
+        windows={f"_lag{n}": F.lag(c, n).over(symbol_window()), f"_low{n}": F.min("_low").over(w), f"_high{n}": F.max("_high").over(w)}, moments={"c": (c,)},
+        features={
+            f"roc{n}": _close(F.col(f"_lag{n}")), f"ma{n}": _close(F.col(f"_c_mx{n}")), f"std{n}": _close(_deviation("c", n)),
+            f"max{n}": _close(high), f"min{n}": _close(low), f"rsv{n}": (c - low) / (high - low + EPS),
+        },
+    )
 
 
 def regression(n: int, longest: int) -> Family:
     """Slope on the market-day index, share of variance explained, and residual; days without a close don't count."""
-    w, c, x = symbol_window(n), F.col("_close"), F.col("_trade_index").cast("double")
-    slope, fit = F.col(f"_slope{n}"), F.col(f"_icept{n}") + F.col(f"_slope{n}") * x
-    return {
-        f"_slope{n}": F.regr_slope(c, x).over(w), f"_icept{n}": F.regr_intercept(c, x).over(w), f"_r2{n}": F.regr_r2(c, x).over(w), f"_sd{n}": F.stddev_samp(c).over(w),
-    }, {f"beta{n}": _close(slope), f"rsqr{n}": F.when(F.col(f"_sd{n}") > FLAT, F.col(f"_r2{n}")), f"resi{n}": _close(c - fit)}
+    c, x = F.col("_close"), F.col("_trade_index").cast("double")
+    xx, xy, yy = F.col(f"_reg_xx{n}"), F.col(f"_reg_xy{n}"), F.col(f"_reg_yy{n}")
+    slope = F.try_divide(xy, xx)
+    fit = F.col(f"_reg_my{n}") + slope * (x - F.col(f"_reg_mx{n}"))
+    return Family(moments={"reg": (x, c)}, features={f"beta{n}": _close(slope), f"rsqr{n}": F.when(_deviation("reg", n, "y") > FLAT, F.try_divide(xy * xy, xx * yy)), f"resi{n}": _close(c - fit)})
 
 
 def quantile_rank(n: int, longest: int) -> Family:
@@ -92,44 +207,42 @@ def quantile_rank(n: int, longest: int) -> Family:
         return F.when(k > 0, a + (b - a) * (at - below))
 
     first, last = F.array_position(seen, c), k - F.array_position(F.reverse(seen), c) + 1
-    return {"_closes": listed}, {
+    return Family(windows={"_closes": listed}, features={
         f"_sorted{n}": F.sort_array(F.filter(_last("_closes", n), lambda v: ~F.isnan(v))),
         f"qtlu{n}": _close(quantile(0.8)), f"qtld{n}": _close(quantile(0.2)), f"rank{n}": F.when(c.isNotNull(), (first + last) / 2.0 / k),
-    }
+    })
 
 
 def extrema(n: int, longest: int) -> Family:
     """Where in the window the highest high and the lowest low lie (the oldest of equals), and the distance between."""
     w, i, h, low = symbol_window(n), F.col("_trade_index"), F.col("_high"), F.col("_low")
     place = lambda at: (F.col(f"_rows{n}") - (i - at)) / F.lit(float(n))
-    return {
+    return Family(windows={
         f"_top{n}": F.max(F.when(h.isNotNull(), F.struct(h.alias("v"), (-i).alias("i")))).over(w), f"_bottom{n}": F.min(F.when(low.isNotNull(), F.struct(low.alias("v"), i.alias("i")))).over(w),
         f"_rows{n}": F.count(F.lit(1)).over(w),
-    }, {f"imax{n}": place(-F.col(f"_top{n}.i")), f"imin{n}": place(F.col(f"_bottom{n}.i")), f"imxd{n}": F.col(f"imax{n}") - F.col(f"imin{n}")}
+    }, features={f"imax{n}": place(-F.col(f"_top{n}.i")), f"imin{n}": place(F.col(f"_bottom{n}.i")), f"imxd{n}": F.col(f"imax{n}") - F.col(f"imin{n}")})
 
 
 def correlation(n: int, longest: int) -> Family:
     """Close against log volume, and their ratios against each other; null where either is flat."""
-    w = symbol_window(n)
-    windows, out = {}, {}
-    for name, a, b in (("corr", "_close", "_lv"), ("cord", "_cr", "_lvr")):
-        both = is_finite(F.col(a)) & is_finite(F.col(b))
-        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-        windows |= {f"_{name}_xy{n}": F.covar_samp(x, y).over(w), f"_{name}_x{n}": F.stddev_samp(x).over(w), f"_{name}_y{n}": F.stddev_samp(y).over(w)}
-        sx, sy = F.col(f"_{name}_x{n}"), F.col(f"_{name}_y{n}")
-        out[f"{name}{n}"] = F.when((sx > FLAT) & (sy > FLAT), F.greatest(F.least(F.col(f"_{name}_xy{n}") / (sx * sy), F.lit(1.0)), F.lit(-1.0)))
-    return windows, out
+    out = {}
+    for name in ("corr", "cord"):
+        xx, yy = F.col(f"_{name}_xx{n}"), F.col(f"_{name}_yy{n}")
+        r = F.col(f"_{name}_xy{n}") / F.sqrt(xx * yy)
+        out[f"{name}{n}"] = F.when((_deviation(name, n) > FLAT) & (_deviation(name, n, "y") > FLAT), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    return Family(moments={"corr": (F.col("_close"), F.col("_lv")), "cord": (F.col("_cr"), F.col("_lvr"))}, features=out)
 
 
 def count_sum(n: int, longest: int) -> Family:
     """Shares of rising and falling days (a missing change counts as neither), and of gains and losses."""
-    w, d = symbol_window(n), F.col("_dp")
-    some = lambda x: F.when(d.isNotNull(), F.greatest(x, F.lit(0.0)))
-    up, down, gain, loss, total = F.col(f"_up{n}"), F.col(f"_down{n}"), F.col(f"_gain{n}"), F.col(f"_loss{n}"), F.col(f"_total{n}") + EPS
-    return {
-        f"_up{n}": F.avg(F.coalesce((d > 0).cast("double"), F.lit(0.0))).over(w), f"_down{n}": F.avg(F.coalesce((d < 0).cast("double"), F.lit(0.0))).over(w),
-        f"_gain{n}": F.sum(some(d)).over(w), f"_loss{n}": F.sum(some(-d)).over(w), f"_total{n}": F.sum(F.abs(d)).over(w),
-    }, {f"cntp{n}": up, f"cntn{n}": down, f"cntd{n}": up - down, f"sump{n}": gain / total, f"sumn{n}": loss / total, f"sumd{n}": (gain - loss) / total}
+    d, rows = F.col("_dp"), F.least(F.col("_place"), F.lit(n))
+    up, down, known = F.col(f"_up{n}") / rows, F.col(f"_down{n}") / rows, F.col(f"_moves{n}") > 0
+    gain, loss = F.col(f"_gain{n}"), F.col(f"_loss{n}")
+    share = lambda x: F.when(known, x / (gain + loss + EPS))
+    return Family(
+        sums={"up": (d > 0).cast("long"), "down": (d < 0).cast("long"), "moves": F.when(d.isNotNull(), 1), "gain": F.greatest(d, F.lit(0.0)), "loss": F.greatest(-d, F.lit(0.0))},
+        features={f"cntp{n}": up, f"cntn{n}": down, f"cntd{n}": up - down, f"sump{n}": share(gain), f"sumn{n}": share(loss), f"sumd{n}": share(gain - loss)},
+    )
 
 
 def volume(n: int, longest: int) -> Family:
@@ -137,32 +250,27 @@ def volume(n: int, longest: int) -> Family:
 
     Changes of volume are summed exactly, as whole numbers of VOLUME_UNIT-th shares.
     """
-    w, v, d, m = symbol_window(n), F.col("_volume"), F.floor(F.col("_dv") * VOLUME_UNIT + 0.5).cast("long"), F.col("_move")
-    up = F.when(d.isNotNull(), F.greatest(d, F.lit(0).cast("long")))
-    gain, loss = F.col(f"_vgain{n}"), F.col(f"_vall{n}") - F.col(f"_vgain{n}")
-    total = F.col(f"_vall{n}") / VOLUME_UNIT + EPS
-    return {
-        f"_vmean{n}": F.avg(v).over(w), f"_vsd{n}": F.stddev_samp(v).over(w), f"_msd{n}": F.stddev_samp(m).over(w), f"_mmean{n}": F.avg(m).over(w),
-        f"_vall{n}": F.sum(F.abs(d)).over(w), f"_vgain{n}": F.sum(up).over(w),
-    }, {
-        f"vma{n}": F.col(f"_vmean{n}") / (v + EPS), f"vstd{n}": F.col(f"_vsd{n}") / (v + EPS), f"wvma{n}": F.col(f"_msd{n}") / (F.col(f"_mmean{n}") + EPS),
-        f"vsump{n}": gain / VOLUME_UNIT / total, f"vsumn{n}": loss / VOLUME_UNIT / total, f"vsumd{n}": (gain - loss) / VOLUME_UNIT / total,
-    }
+    v, d = F.col("_volume"), F.floor(F.col("_dv") * VOLUME_UNIT + 0.5).cast("long")
+    gain, every, known = F.col(f"_vgain{n}"), F.col(f"_vall{n}"), F.col(f"_vmoves{n}") > 0
+    share = lambda x: F.when(known, x / VOLUME_UNIT / (every / VOLUME_UNIT + EPS))
+    return Family(
+        moments={"v": (v,), "move": (F.col("_move"),)}, sums={"vall": F.abs(d), "vgain": F.greatest(d, F.lit(0).cast("long")), "vmoves": F.when(d.isNotNull(), 1)},
+        features={
+            f"vma{n}": F.col(f"_v_mx{n}") / (v + EPS), f"vstd{n}": _deviation("v", n) / (v + EPS), f"wvma{n}": _deviation("move", n) / (F.col(f"_move_mx{n}") + EPS),
+            f"vsump{n}": share(gain), f"vsumn{n}": share(every - gain), f"vsumd{n}": share(gain - (every - gain)),
+        },
+    )
 
 
-FAMILIES = {"price": price, "regression": regression, "quantile_rank": quantile_rank, "extrema": extrema, "correlation": correlation, "count_sum": count_sum, "volume": volume}
+FAMILIES: dict[str, Callable[[int, int], Family]] = {"price": price, "regression": regression, "quantile_rank": quantile_rank, "extrema": extrema, "correlation": correlation, "count_sum": count_sum, "volume": volume}
 
 
 def rolling(panel: DataFrame, families: tuple[str, ...] = tuple(FAMILIES), widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """Adds the families' columns at every width to a panel with lag_inputs; keeps all rows, for later windows."""
-    windows: dict[str, Column] = {}
-    steps: dict[str, Column] = {}
-    for f in families:
-        for n in widths:
-            w, out = FAMILIES[f](n, max(widths))
-            windows |= w
-            steps |= out
-    wide = panel.withColumns(windows)
+    parts = [FAMILIES[f](n, max(widths)) for f in families for n in widths]
+    windows, moments, sums, steps = ({k: v for p in parts for k, v in getattr(p, kind).items()} for kind in ("windows", "moments", "sums", "features"))
+    wide = framed(panel, moments, sums, widths) if moments or sums else panel
+    wide = wide.withColumns(windows) if windows else wide
     for first in (True, False):  # sorted frames and places are read by other features
         named = {k: v for k, v in steps.items() if k.startswith(("_sorted", "imax", "imin")) == first}
         wide = wide.withColumns({k: v if k.startswith("_") else finite(v) for k, v in named.items()}) if named else wide
