@@ -22,6 +22,16 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def named(name: str) -> Column:
+    """The column of just this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, by whole names."""
+    return [named(c) for c in df.columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where none is set a local run gets a new one; a
     cluster is refused, as its machines wouldn't share it."""

@@ -93,8 +93,7 @@ def _fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 def _chosen(docs: DataFrame, known: DataFrame, rows_per_class: int) -> dict[int, list[tuple[int, int]]]:
     """By class, (doc_id, xxhash64 of text) of the labelled rows to learn from, rows_per_class at most; equal rows count once."""
-    ids = [known.where(F.col("quality") == q).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for q in (0, 1)]
-    found = docs.select("doc_id", F.xxhash64("text").alias("h")).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").distinct()
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).join(known, "doc_id").distinct()
     return {q: [(r["doc_id"], r["h"]) for r in found.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(rows_per_class).collect()] for q in (0, 1)}
 
 
@@ -159,4 +158,4 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*[f"_{k}" for k in range(len(names))]).mapInArrow(run, schema)  # plain names, for any that docs have

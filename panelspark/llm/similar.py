@@ -1,4 +1,5 @@
-"""Near copies by the similarity of their sets of shingles: fingerprints find the candidates, the sets decide."""
+"""Near copies by the similarity of their sets of shingles: fingerprints and bands of least hashes find the candidates, the
+sets decide."""
 
 from __future__ import annotations
 
@@ -17,6 +18,11 @@ from .simhash import _signed, _xxh64, fingerprint, linking_forest
 
 #: Texts of a candidate group that one task compares with each other, and those that every task of the group sees.
 BLOCK, PIVOTS = 512, 16
+#: Bands of a set, and the least hashes in each: at a similarity of 0.8 two sets share a band with a probability of 0.99.
+BANDS, ROWS = 16, 6
+#: Texts of a candidate group are compared up to so many different bits of 64; similar ones have 10 on average, others 32.
+FAR_BITS = 24
+_ODD, _MASK = (np.random.default_rng(11).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1))
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -28,6 +34,17 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter(map(_xxh64, map(b" ".join, parts)), np.uint64))
 
 
+def bands(s: np.ndarray) -> list[int]:
+    """A hash of each band's least hashes of a shingle set; none of an empty set."""
+    if not len(s):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for lo in range(0, len(s), 4096):
+        part = s[lo : lo + 4096, None] ^ _MASK
+        np.minimum(least, (part * _ODD).min(0), out=least)
+    return [_signed(xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k)) for k in range(BANDS)]
+
+
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sets share at least so many hundredths of their union."""
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
@@ -39,20 +56,21 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _described(docs: DataFrame, bits_shingle: int, shingle: int) -> DataFrame:
-    """(doc_id, h, fp, node, n): the fingerprint, the hash of the shingle set and its size."""
+    """(doc_id, h, fp, node, n, bands): the fingerprint, the hash of the shingle set, its size and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, nodes, sizes = [], [], []
+            fps, nodes, sizes, found = [], [], [], []
             for t in b.column(2):
                 text = t.as_py()
                 s = shingle_set(text, shingle)
                 fps.append(_signed(fingerprint(text, bits_shingle, True)))
                 nodes.append(_signed(xxhash.xxh64_intdigest(s.tobytes(), seed=7)))
                 sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "h", "fp", "node", "n"])
+                found.append(bands(s))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "h", "fp", "node", "n", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, fp long, node long, n long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, fp long, node long, n long, bands array<long>")
 
 
 def _with_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
@@ -135,26 +153,38 @@ def _across(members: DataFrame, docs: DataFrame, shingle: int, distance: int, pe
     return kept.join(sets, "node").groupBy("grp", "i", "j").applyInArrow(forest, "u long, v long")
 
 
+def candidate_links(nodes: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
+    """(u, v) links that connect all candidates among nodes (node, fp, bands): nodes of one fingerprint, of fingerprints within
+    distance bits (classes: fp, rep), and of one band. Each node links to the least of its class and of each of its bands."""
+    same = nodes.join(classes, "fp").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("node").alias("rep"), F.max("node").alias("top")).where("rep < top").select("band", "rep")
+    held = banded.join(shared, "band").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    return linking_forest(classes, distance).select("u", "v").unionByName(same).unionByName(held).distinct()
+
+
 def near_copies(docs: DataFrame, distance: int, bits_shingle: int, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, h, first_id, first_h), one row per row of docs (doc_id, text): its group's least doc_id and xxhash64 of text.
 
-    Two texts link if their fingerprints (of sets of bits_shingle words) differ in distance bits at most and their sets
-    of shingle words share percent hundredths of their union or more, which is computed from the whole sets; equal sets
-    are one node from the start. Groups are what links connect. Rows with a null doc_id are left out.
+    Two texts link if their sets of shingle words share percent hundredths of their union or more, which is computed from
+    the whole sets; equal sets are one node from the start. Groups are what links connect. Rows with a null doc_id are left
+    out. Candidates are texts whose fingerprints (of sets of bits_shingle words) differ in distance bits at most, by the
+    pigeonhole search, and texts whose sets share a band of least hashes, which finds those that lie near the threshold and
+    differ in more bits; links reach from candidate to candidate.
 
-    The pigeonhole search gives candidate groups. A group is compared in blocks of BLOCK texts, all of which also see
+    Candidate groups are what candidates connect. A group is compared in blocks of BLOCK texts, all of which also see
     PIVOTS texts of the group; a group of one block is settled then. In larger ones the texts that are still apart meet
-    block by block, as far as their fingerprints allow: that work grows with the square of such a group, its memory and
+    block by block, as far as their fingerprints (FAR_BITS) and sizes allow: that work grows with the square of such a group, its memory and
     what it lists do not.
     """
     spark = docs.sparkSession
     with scratch_area(spark, "near_copies") as put:
         rows = materialize(_described(docs.where("doc_id is not null"), bits_shingle, shingle), "described")
-        nodes = put(rows.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("o"), F.first("n").alias("n"), F.collect_set("fp").alias("fps")).select("node", "o.doc_id", "o.h", "n", F.array_min("fps").alias("fp")), "nodes")
+        nodes = put(rows.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("o"), F.first("n").alias("n"), F.collect_set("fp").alias("fps"), F.first("bands").alias("bands")).select("node", "o.doc_id", "o.h", "n", F.array_min("fps").alias("fp"), "bands"), "nodes")
         classes = put(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "classes")
-        labels = connected_components(linking_forest(classes, distance))
-        groups = classes.join(labels, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("grp"))
-        placed = put(nodes.join(groups, "fp"), "placed")
+        labels = connected_components(put(candidate_links(nodes, classes, distance), "candidates"))
+        slim = nodes.select("node", "doc_id", "h", "n", "fp")
+        placed = put(slim.join(labels, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component"), "placed")
         sizes = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         members = put(placed.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "members")
         many = members.where("blocks > 1")
@@ -163,11 +193,11 @@ def near_copies(docs: DataFrame, distance: int, bits_shingle: int, shingle: int
         own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = members.select("doc_id", "h", "grp", "node", "fp", pivot.cast("int").alias("pivot"), F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own).alias("at"))
         blocks = _with_sets(docs, dealt, shingle).withColumn("block", F.explode("at")).drop("at")
-        inside = put(blocks.groupBy("grp", "block").applyInArrow(lambda t: _block_forest(t, distance, percent), "u long, v long"), "inside")
+        inside = put(blocks.groupBy("grp", "block").applyInArrow(lambda t: _block_forest(t, FAR_BITS, percent), "u long, v long"), "inside")
         found = connected_components(inside)
         if many.limit(1).count():
             apart = many.join(found, "node", "left").select("grp", "node", "doc_id", "h", "fp", "n", F.coalesce("component", "node").alias("label"))
-            across = put(_across(put(apart, "apart"), docs, shingle, distance, percent), "across")
+            across = put(_across(put(apart, "apart"), docs, shingle, FAR_BITS, percent), "across")
             if across.limit(1).count():
                 found = connected_components(inside.union(across))
         named = put(nodes.join(found, "node", "left").select("node", "doc_id", "h", F.coalesce("component", "node").alias("component")), "named")

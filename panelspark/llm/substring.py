@@ -12,8 +12,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import drop_path, exists, materialize, scratch
+from .common import drop_path, exists, materialize, named, scratch
 
 #: A window has WINDOW words; the index holds, for each window, the least hash of its GRAM-word grams.
 WINDOW, GRAM = 13, 6
@@ -270,8 +271,8 @@ class FingerprintIndex:
         return gone
 
 
-def _stored(docs: DataFrame, path: str, groups: int, first: int, files: int, cuts: list[int]) -> DataFrame:
-    """docs by group (_g, from first on) and batch, in files bucketed by the group: later steps work group by group without a shuffle of texts."""
+def _stored(docs: DataFrame, path: str, groups: int, first: int, files: int, cuts: list[int]) -> tuple[DataFrame, str]:
+    """docs by group (_g, from first on) and batch, and the name of their table; in files bucketed by the group: later steps work group by group without a shuffle of texts."""
     g = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)) + F.lit(first).cast("long")
     batch = F.lit(0)
     for c in cuts:
@@ -279,7 +280,7 @@ def _stored(docs: DataFrame, path: str, groups: int, first: int, files: int, cut
     name = f"panelspark_docs_{uuid.uuid4().hex[:12]}"
     dealt = docs.withColumns({"_g": g, "_batch": batch}).repartition(files, "_g")
     dealt.write.partitionBy("_batch").bucketBy(files, "_g").sortBy("_g").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-    return docs.sparkSession.table(name)
+    return docs.sparkSession.table(name), name
 
 
 def _cut(docs: pa.Table, told: pa.Table, extra: list[str], with_text: bool) -> pa.Table:
@@ -333,12 +334,12 @@ def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False,
     """
     spark = docs.sparkSession
     taken = {"doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept", "_g", "_batch"}
-    named: dict[str, str] = {}
+    name_of: dict[str, str] = {}
     for c in keep:  # a column of a result's name comes back as name_
-        named[c] = c
-        while named[c] in taken or [*keep, *named.values()].count(named[c]) > 1 + (named[c] == c):
-            named[c] += "_"
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(n) for c, n in named.items()])
+        name_of[c] = c
+        while name_of[c] in taken or [*keep, *name_of.values()].count(name_of[c]) > 1 + (name_of[c] == c):
+            name_of[c] += "_"
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[named(c).alias(f"_k{k}") for k, c in enumerate(name_of)])
     size, cuts = docs.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [1.0])).first()
     size, cuts = size or 0, sorted(set(cuts or []))[: batches - 1]
     if buckets is None:
@@ -348,7 +349,7 @@ def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False,
     state = tree.state
     files = max(1, min(size // FILE_BYTES + 1, MOST_FILES))
     path = f"{tree.root}/docs-{uuid.uuid4().hex[:12]}"
-    held = _stored(docs, path, size // GROUP_BYTES + 1, tree.first_group, files, cuts)
+    held, held_name = _stored(docs, path, size // GROUP_BYTES + 1, tree.first_group, files, cuts)
     number, old = state.buckets, list(state.docs)
     found, gone = None, []
     for k in range(len(cuts) + 1):
@@ -391,8 +392,15 @@ def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False,
     for p in gone:
         drop_path(spark, p)
 
-    extra = list(named.values())
-    kinds = {"n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept": "string", "doc_id": "long", "text": "string"}
+    extra = [f"_k{k}" for k in range(len(name_of))]  # plain names, for any that docs have
+    kinds = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType(), "kept": T.StringType()}
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *extra, *["text"] * with_text]
-    schema = ", ".join(f"`{c}` {kinds.get(c) or docs.schema[c].dataType.simpleString()}" for c in names)
-    return held.drop("_batch").groupBy("_g").cogroup(verified.groupBy("_g")).applyInArrow(lambda t, told: _cut(t, told, extra, with_text), schema)
+    schema = T.StructType([T.StructField(c, kinds.get(c) or docs.schema[c].dataType) for c in names])
+    out = held.drop("_batch").groupBy("_g").cogroup(verified.groupBy("_g")).applyInArrow(lambda t, told: _cut(t, told, extra, with_text), schema)
+    out = out.toDF(*[dict(zip(extra, name_of.values(), strict=True)).get(c, c) for c in names])
+    if index:
+        return out
+    out = materialize(out, "cut")  # then nothing of this call's own index is needed any more
+    spark.sql(f"drop table {held_name}")
+    drop_path(spark, tree.root)
+    return out

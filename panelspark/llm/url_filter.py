@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, materialize
+from .common import ascii_lower, broadcast_if_small, columns, materialize
 
 #: Odd multipliers of the eight words of a block (any odd numbers would do).
 SALTS = tuple(2 * 0x1E3779B9 * k + 0x2545F491 | 1 for k in range(1, 9))
@@ -76,4 +76,4 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", max_b
     found = F.struct(F.length("rule").alias("n"), "host_len", "rule", "verdict")
     best = materialize(exact.groupBy("host", "path").agg(F.max(found).alias("best")).select("host", "path", "best.rule", "best.verdict"), "judged")
     judged = page.join(broadcast_if_small(best, max_broadcast_rules), ["host", "path"], "left")
-    return judged.select(*pages.columns, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return judged.select(*columns(pages), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

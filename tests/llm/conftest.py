@@ -1,6 +1,6 @@
 import pytest
 
-EXTRA = "score double, n_words int, fp string, component_id string, words string, kept string, _row int, formatted int"
+EXTRA = "score double, n_words int, fp string, component_id string, words string, kept string, _row int, formatted int, `a.b` int, `two words` int, `kept.n` struct<`x y`:int>"
 
 
 @pytest.fixture(scope="session")
@@ -12,5 +12,5 @@ def awkward(spark):
         (6, "word", "en", "s"), (7, "Größe ÉTÉ naïve 日本語 テキスト <|endoftext|> 'll  two  spaces", "de", "s"), (8, " ".join(f"w{i % 997}x{i}" for i in range(30_000)), "en", "s"),
         (9, base + " extra words at the end of it", "en", "s"), (10, "prefix " + base, "en", "s"), (11, "x " * 400, "en", "s"),
     ]
-    wide = [(*r, None if r[3] is None else len(r[1] or ""), 0.5, 1, "f", "c", "w", "k", 1, 2) for r in rows]
+    wide = [(*r, None if r[3] is None else len(r[1] or ""), 0.5, 1, "f", "c", "w", "k", 1, 2, 3, 4, (5,)) for r in rows]
     return spark.createDataFrame(wide, f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}").repartition(3).persist()

@@ -107,7 +107,7 @@ def test_url_rules(spark):
     assert by[3][2:] == ("example.org/en/1", "block") and by[4][2:] == ("org/", "allow") and by[5][3] == "block" and by[6][:2] == ("", "") and by[7] == ("", "", None, "allow") and by[10][2] == "com/fr/"
     assert {r.verdict for r in url_filter.judge_urls(pages.select("page_id", "url"), rules.limit(0), default="block").collect()} == {"block"}
     assert url_filter.judge_urls(pages.drop("rule", "key").limit(0), rules).count() == 0
-    inner = ["block", "w0", "w7", "key", "len", "b", "best", "host_len", "_b", "_row", "_rule", "c"]
+    inner = ["block", "w0", "w7", "key", "len", "b", "best", "host_len", "_b", "_row", "_rule", "c", "a.b", "two words"]
     clash = pages.drop("key", "rule").select("*", *[F.lit("mine").alias(c) for c in inner])
     kept = url_filter.judge_urls(clash, rules)
     assert set(kept.columns) == {*clash.columns, "host", "path", "rule", "verdict"} and all(r[c] == "mine" for r in kept.collect() for c in inner)
@@ -172,7 +172,7 @@ def test_pipeline_stages(spark, awkward):
 def test_queries_and_sql_names():
     q, s = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(s) <= set(q) and "pipeline" in q
-    assert all(any(n.startswith(f"op{k}_") for n in q) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in q) for k in range(1, 14))
 
 
 def test_pipeline_keeps_rows_of_one_id(spark):

@@ -218,6 +218,12 @@ def test_packing(spark, awkward):
     assert zlib.crc32(np.array(with_ids["ids"], "<u4").tobytes()) == with_ids.ids_crc32
 
 
+def test_runs_that_the_fast_coder_refuses():
+    enc = packing.Encoder(tokenizer_path())
+    for text in ("x" + " " * 1_100_000 + "y", "\n" * 1_000_000, "a" * 1_000_000):
+        assert enc.encode(text) == np.array(enc.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_configurations_cover():
     rng = np.random.default_rng(1)
     natural = np.unique(np.clip(np.exp(rng.normal(5.8, 1.1, 20_000)), 1, 2048).astype(int), return_counts=True)
@@ -249,3 +255,19 @@ def test_winnowing_keeps_a_minimum_once(spark):
     df = spark.createDataFrame([([5, 5, 3, 3, 3, 9],), ([],), ([7],)], "_min array<bigint>")
     got = [[tuple(x) for x in r._won] for r in decontaminate.with_winnowed(df).collect()]
     assert got == [[(0, 1, 5), (2, 4, 3), (5, 5, 9)], [], [(0, 0, 7)]]
+
+
+def test_quality_learns_from_the_labels_that_have_documents(spark):
+    good, bad = "a calm and well formed sentence about rivers and trees in the north. ", "BUY!!! $$$ click click win 777 now now now "
+    docs = spark.createDataFrame([(k, (good if k % 2 else bad) * (3 + k % 5)) for k in range(60)], "doc_id long, text string")
+    many = spark.createDataFrame([(k, k % 2) for k in [*range(60), *range(10**6, 10**6 + 4000)]], "doc_id long, quality int")
+    model = quality.fit(docs, many, rows_per_class=20)
+    known = many.where(~quality.held_out(F.col("doc_id"))).select("doc_id", "quality")
+    ids = {r["doc_id"] for r in known.collect()}
+    for q, rows in quality._chosen(docs, known, 20).items():  # those of least hash that have a document
+        order = [r["doc_id"] for r in docs.where(F.col("doc_id") % 2 == q).orderBy(F.xxhash64("doc_id")).collect() if r["doc_id"] in ids]
+        assert [i for i, _ in rows] == order[:20]
+    sizer, w = quality.Sizer(model.good, model.bad), np.array(model.weights)
+    for r in quality.score(docs, model).collect():
+        z = np.array(sizer.features(r["text"].encode())) @ w
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-12 and (r["score"] > 0.5) == (r["doc_id"] % 2 == 1)
