@@ -273,7 +273,9 @@ def rolling(panel: DataFrame, families: tuple[str, ...] = tuple(FAMILIES), width
     wide = wide.withColumns(windows) if windows else wide
     for first in (True, False):  # sorted frames and places are read by other features
         named = {k: v for k, v in steps.items() if k.startswith(("_sorted", "imax", "imin")) == first}
-        wide = wide.withColumns({k: v if k.startswith("_") else finite(v) for k, v in named.items()}) if named else wide
+        wide = wide.withColumns(named) if named else wide
+    # of names, for each use of an expression would be code of its own
+    wide = wide.withColumns({k: finite(F.col(k)) for k in steps if not k.startswith("_")})
     return wide.select(*panel.columns, *[k for k in steps if not k.startswith("_")])
 
 

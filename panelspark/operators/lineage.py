@@ -23,15 +23,22 @@ def nodes(runs: DataFrame) -> DataFrame:
 
 
 def all_upstream(e: DataFrame, depth: int = 64) -> DataFrame:
-    """(run_id, ancestor) pairs, cycle-safe: reach doubles each round until nothing is new. A run in a cycle reaches itself."""
+    """(run_id, ancestor) pairs, cycle-safe. A run in a cycle reaches itself.
+
+    Each round joins the pairs found so far with those exactly 2^k edges apart, which are few where the graph is narrow, so
+    rounds grow with the logarithm of the depth and a chain's work with the number of its pairs.
+    """
     reach = stored(e.select("run_id", F.col("upstream_id").alias("ancestor")).distinct(), "reach")
-    before = reach.count()
+    power, before = reach, reach.count()
+
+    def after(near: DataFrame, far: DataFrame) -> DataFrame:
+        return near.join(far.select(F.col("run_id").alias("ancestor"), F.col("ancestor").alias("further")), "ancestor").select("run_id", F.col("further").alias("ancestor"))
+
     for _ in range(depth):
-        step = reach.join(reach.select(F.col("run_id").alias("ancestor"), F.col("ancestor").alias("further")), "ancestor").select("run_id", F.col("further").alias("ancestor"))
-        reach = stored(reach.union(step).distinct(), "reach")
+        reach = stored(reach.union(after(power, reach)).distinct(), "reach")
         if (now := reach.count()) == before:
             return reach
-        before = now
+        power, before = stored(after(power, power).distinct(), "power"), now
     raise RuntimeError("the graph is deeper than 2 ** depth")
 
 
@@ -41,24 +48,38 @@ def direct_downstream(e: DataFrame) -> DataFrame:
 
 
 def components(e: DataFrame, ids: DataFrame, rounds: int = 64) -> DataFrame:
-    """(run_id, component): the least id that edges in either direction lead to; labels jump to their label's label."""
-    both = stored(e.select(F.col("run_id").alias("u"), F.col("upstream_id").alias("v")).union(e.select("upstream_id", "run_id")).distinct(), "edges")
-    labels = stored(ids.select("run_id").union(both.select("u")).distinct().select("run_id", F.col("run_id").alias("component")), "labels")
-    for _ in range(rounds):
-        seen = both.join(labels, both.u == labels.run_id).select(F.col("v").alias("run_id"), "component")
-        least = stored(labels.union(seen).groupBy("run_id").agg(F.min("component").alias("component")), "labels")
-        up = least.select(F.col("run_id").alias("component"), F.col("component").alias("root"))
-        jumped = stored(least.join(up, "component").select("run_id", F.col("root").alias("component")), "labels")
-        if not jumped.join(labels.withColumnRenamed("component", "was"), "run_id").where("component <> was").limit(1).count():
-            return jumped
-        labels = jumped
-    raise RuntimeError("components did not settle")
+    """(run_id, component): the least id that edges in either direction lead to; a run without edges is its own.
+
+    A round hooks every run to its least neighbour, if that is less, and shortens the trees so made by pointer jumping until
+    all hang from their roots; then roots take their runs' place and edges within a tree go. What is no root's least has a
+    lesser neighbour in the next round, so two rounds at least halve the runs left, whatever the order of ids along a path.
+    """
+    links = stored(e.select(F.col("run_id").alias("u"), F.col("upstream_id").alias("v")).union(e.select("upstream_id", "run_id")).distinct(), "links")
+    forests: list[DataFrame] = []
+    while links.limit(1).count():
+        if len(forests) == rounds:
+            raise RuntimeError("components did not settle")
+        tree = stored(links.groupBy(F.col("u").alias("run_id")).agg(F.least("run_id", F.min("v")).alias("root")), "tree")
+        flat = False
+        while not flat:
+            up = tree.select(F.col("run_id").alias("root"), F.col("root").alias("next"))
+            jumped = stored(tree.join(up, "root").select("run_id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "tree")
+            flat = not jumped.where("moved").limit(1).count()
+            tree = jumped.drop("moved")
+        forests.append(tree)
+        a, b = (tree.select(F.col("run_id").alias(end), F.col("root").alias(f"{end}_root")) for end in "uv")
+        links = stored(links.join(a, "u").join(b, "v").where("u_root <> v_root").select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).distinct(), "links")
+    labels = ids.select("run_id").union(e.select("upstream_id")).union(e.select("run_id")).distinct().withColumn("component", F.col("run_id"))
+    for tree in forests:
+        labels = labels.join(tree.withColumnsRenamed({"run_id": "component", "root": "lower"}), "component", "left").select("run_id", F.coalesce("lower", "component").alias("component"))
+    return stored(labels, "components")
 
 
 def component_roots(labels: DataFrame, runs: DataFrame, e: DataFrame) -> DataFrame:
-    """(component, root): its earliest run without upstream."""
+    """(component, root): its earliest run that names no other as upstream (ties: the least id); null in a component of cycles alone."""
     first = runs.join(e.select("run_id").distinct(), "run_id", "left_anti").select("run_id", "created_at")
-    return labels.join(first, "run_id").groupBy("component").agg(F.min_by("run_id", F.struct("created_at", "run_id")).alias("root"))
+    found = labels.join(first, "run_id").groupBy("component").agg(F.min_by("run_id", F.struct("created_at", "run_id")).alias("root"))
+    return labels.select("component").distinct().join(found, "component", "left")
 
 
 def relations(runs: DataFrame) -> DataFrame:

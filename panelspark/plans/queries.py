@@ -698,10 +698,13 @@ def lineage_nodes(t: Tables) -> DataFrame:
     return lineage.nodes(runs(t))
 
 
-@query("lineage_component", sql("select run_id, run_id // 1000 * 1000 as component from runs", **RUNS))
+@query("lineage_component", sql("""select run_id, run_id // 1000 * 1000 as component, root from runs join (
+  select run_id // 1000 as c, first(run_id order by created_at, run_id) as root from runs where up is null group by 1) on c = run_id // 1000""", **RUNS))
 def lineage_component(t: Tables) -> DataFrame:
     r = runs(t)
-    return lineage.components(lineage.edges(r), r).join(r.select("run_id"), "run_id")
+    e = lineage.edges(r)
+    c = lineage.components(e, r)
+    return c.join(r.select("run_id"), "run_id").join(lineage.component_roots(c, r, e), "component").select("run_id", "component", "root")
 
 
 @query("lineage_downstream", sql("select upstream_id as run_id, count(distinct run_id)::bigint as n from ed group by 1", **RUNS))
