@@ -91,12 +91,13 @@ def period_summary(daily: DataFrame, risk_free: float = 0.012, year: int = 252,
     return p.groupBy(*keys).agg(*cols)
 
 
-def online_slice(daily: DataFrame, day: str, top_n: int, key: str) -> DataFrame:
-    """One day's columns of one size without their topN_ prefix, tagged; nested columns are left out."""
+def online_slice(daily: DataFrame, day: str | None, top_n: int, key: str) -> DataFrame:
+    """One day's (or with None every day's) columns of one size without their topN_ prefix, tagged; nested columns are left out."""
     flat = [c for c, t in daily.dtypes if not t.startswith(("array", "struct", "map"))]
     prefix = f"top{top_n}_"
     keep = [F.col(c).alias(c.removeprefix(prefix)) for c in flat if c.startswith(prefix) or not c.startswith("top")]
-    return daily.where(F.col("trade_date") == day).select(F.lit(key).alias("portfolio_key"), *keep)
+    rows = daily if day is None else daily.where(F.col("trade_date") == day)
+    return rows.select(F.lit(key).alias("portfolio_key"), *keep)
 
 
 def widened(long: DataFrame, sizes: tuple[int, ...], values: tuple[str, ...]) -> DataFrame:

@@ -11,6 +11,8 @@ from ..functions import dates, identity
 from ..functions.stats import rounded
 from ..operators import analysis, checks, compare, context, features, labels, lineage, panel, portfolio, report, signals, status
 from ..sources import bars, files
+from ..functions.storage import new_path, stored
+from ..streaming import journal, online, progress
 from ..streaming import runs as runs_stream
 from .oracle import W, fin, rolling, sql
 from .tables import Tables
@@ -642,7 +644,7 @@ def latest_days(t: Tables) -> DataFrame:
 
 @query("landed_partitions", sql("select 'bars' as dataset, trade_date as day, count(*)::bigint as rows from bars group by trade_date union all select 'factors', trade_date, count(*)::bigint from bars group by trade_date", False), False)
 def landed_partitions(t: Tables) -> DataFrame:
-    from ..functions.storage import new_path
+    from ..functions.storage import new_path, stored
 
     out = {}
     for name, d in (("bars", t.bars), ("factors", bars.factors(t.bars, t.days))):
@@ -762,11 +764,13 @@ def _run_events(t: Tables) -> DataFrame:
     return e.select("event_id", F.col("user_id").alias("run_id"), F.col("event_type").alias("step"), F.col("ts").cast("timestamp").alias("ts"), F.least("value", F.lit(100.0)).alias("percentage"), state.alias("state"))
 
 
-def _as_stream(t: Tables, df: DataFrame, parts: int = 4) -> DataFrame:
-    from ..functions.storage import new_path
-
-    path = new_path(t.spark, "arrivals")
-    df.repartitionByRange(parts, "ts").write.parquet(path)
+def _as_stream(t: Tables, df: DataFrame, parts: int = 4, at: str = "ts") -> DataFrame:
+    """A stream of df in files that arrive by the time in column at."""
+    path, df = new_path(t.spark, "arrivals"), stored(df, "arriving")
+    cuts = df.select(F.col(at).cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.01)
+    part = sum(((F.col(at).cast("double") > c).cast("int") for c in cuts), F.lit(0))
+    for k in range(parts):  # one after the other, for a source takes files by their age
+        df.where(part == k).coalesce(1).write.mode("append").parquet(path)
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -790,7 +794,8 @@ def stream_terminal_records(t: Tables) -> DataFrame:
     return runs_stream.drain(runs_stream.terminal_records(_as_stream(t, _run_events(t)), "60 days"), "append").select("run_id", "state")
 
 
-@query("stream_window_counts", None, False)
+@query("stream_window_counts", """select date_trunc('day', ts) as start, case when event_id % 10 = 0 then 'succeeded' else 'running' end as state, count(*)::bigint as events from events
+  where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 2 day group by 1, 2""", False)
 def stream_window_counts(t: Tables) -> DataFrame:
     return runs_stream.drain(runs_stream.window_counts(_as_stream(t, _run_events(t))), "append")
 
@@ -814,11 +819,90 @@ def unique_commits(t: Tables) -> DataFrame:
   l as (select w.d, last(x.s order by x.ts, x.s, x.e) as s, last(x.e order by x.ts, x.s, x.e) as e from w join x on x.d = w.d and x.ts between w.a and w.z group by 1)
   select w.d as window_id, case when l.d is null then 'skipped' when l.s = 'failed' then 'failed' when l.e > w.z then 'incomplete' else 'done' end as outcome from w left join l on l.d = w.d""", False)
 def window_outcomes(t: Tables) -> DataFrame:
-    e = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").withColumn("window_id", F.date_format("ts", "yyyyMMdd"))
+    return runs_stream.window_outcomes(*_windows(t))
+
+
+def _windows(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A window a day, and the events as attempts."""
+    e = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("window_id", F.date_format("ts", "yyyyMMdd"))
     day = F.date_trunc("day", "ts")
     w = e.select("window_id", (day + F.expr("interval 9 hours")).alias("start"), (day + F.expr("interval 15 hours")).alias("stop")).distinct()
     a = e.select("window_id", F.col("ts").alias("started_at"), (F.col("ts") + F.make_dt_interval(secs=F.round(F.col("value") * 60).cast("decimal(18,6)"))).alias("ended_at"), F.when(F.col("event_id") % 4 == 0, "failed").otherwise("done").alias("state"))
-    return runs_stream.window_outcomes(w, a)
+    return w, a
+
+
+@query("stream_window_outcomes", SQL["window_outcomes"], False)
+def stream_window_outcomes(t: Tables) -> DataFrame:
+    """The windows and attempts of window_outcomes as two streams, which a last row of each, far ahead, brings to their end."""
+    w, a = _windows(t)
+    ahead = F.expr("timestamp '2200-01-01 00:00:00'")
+    end = t.spark.range(1).select(F.lit("end").alias("window_id"), ahead.alias("start"), ahead.alias("stop"))
+    last = t.spark.range(1).select(F.lit("end").alias("window_id"), ahead.alias("started_at"), F.lit(None).cast("timestamp").alias("ended_at"), F.lit("done").alias("state"), F.lit(None).cast("timestamp").alias("committed_at"))
+    a = a.withColumn("committed_at", F.lit(None).cast("timestamp"))
+    out = online.stream_outcomes(_as_stream(t, w.unionByName(end), at="start"), _as_stream(t, a.unionByName(last), at="started_at"), "1 day")
+    return runs_stream.drain(out, "append").where("window_id <> 'end'").select("window_id", "outcome")
+
+
+@query("stream_journal", _STATE, False)
+def stream_journal(t: Tables) -> DataFrame:
+    """The events as a journal of JSON lines, followed by byte offsets."""
+    folder = new_path(t.spark, "journal")
+    _run_events(t).select(F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value")).repartition(3).write.text(folder)
+    lines = journal.follow(t.spark, folder, "event_id long, run_id long, step string, ts timestamp, percentage double, state string", 1 << 16)
+    out = runs_stream.drain(runs_stream.latest_state(lines.where("not malformed").select("event.*")), "update", ["run_id", "step"])
+    return out.select("run_id", "step", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("last"), "percentage", "state", "events")
+
+
+_GO = "e.st <> f.st or e.st = 'succeeded' or epoch_us(e.ts) - epoch_us(f.pub) >= 21600000000"
+
+
+@query("stream_progress", f"""with recursive e as (select user_id, event_type, ts, least(value, 100) as pct, case when event_id % 10 = 0 then 'succeeded' else 'running' end as st, row_number() over (partition by user_id, event_type order by ts, event_id) as i from events),
+  f as (select user_id, event_type, i, ts as pub, st, true as told from e where i = 1 union all
+    select e.user_id, e.event_type, e.i, case when {_GO} then e.ts else f.pub end, e.st, {_GO} from f join e on e.user_id = f.user_id and e.event_type = f.event_type and e.i = f.i + 1)
+  select user_id as run_id, event_type as step, strftime(ts, '%Y-%m-%d %H:%M:%S') as at, {fin('pct', 'percentage')}, e.st as state from e join f using (user_id, event_type, i) where told""", False)
+def stream_progress(t: Tables) -> DataFrame:
+    """One update of a step in six hours, unless its state changes or it ends."""
+    rocks = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(rocks)
+    t.spark.conf.set(rocks, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = runs_stream.drain(progress.throttled(_as_stream(t, _run_events(t)), 6 * 3600, "2 days"), "append")
+    finally:
+        t.spark.conf.set(rocks, before)
+    return out.select("run_id", "step", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "percentage", "state")
+
+
+@query("stream_commits", "select strftime(ts, '%Y%m%d') as trade_date, strftime(ts, '%H') || '00' as trade_time, first(event_id order by ts, event_id) as commit_id from events group by 1, 2", False)
+def stream_commits(t: Tables) -> DataFrame:
+    """The first commit of each day and hour through the sink, each batch of which is run twice."""
+    e = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").select(F.date_format("ts", "yyyyMMdd").alias("trade_date"), F.date_format("ts", "HH00").alias("trade_time"), F.col("event_id").alias("commit_id"), F.lit("s").alias("strategy"), F.col("ts").cast("timestamp").alias("ts"))
+    first = e.groupBy("trade_date", "trade_time").agg(F.min_by(F.struct("commit_id", "strategy", "ts"), F.struct("ts", "commit_id")).alias("c")).select("trade_date", "trade_time", "c.*")
+    path = new_path(t.spark, "commits")
+    sink = online.commit_sink(path)
+
+    def twice(batch: DataFrame, epoch: int) -> None:
+        sink(batch, epoch)
+        sink(batch, epoch)
+
+    stream = _as_stream(t, first)
+    stream.writeStream.option("checkpointLocation", new_path(t.spark, "progress")).trigger(availableNow=True).foreachBatch(twice).start().awaitTermination()
+    return t.spark.read.schema(first.schema).parquet(path).select("trade_date", "trade_time", "commit_id")
+
+
+@query("stream_slices", sql(" union all ".join(f"select 'p{n}' as portfolio_key, trade_date, {fin('net_return')} from daily{n}" for n in (3, 5))))
+def stream_slices(t: Tables) -> DataFrame:
+    """Daily slices of two portfolios, published day by day from the wide results; each batch is run twice."""
+    wide = wide_daily(t).withColumn("ts", F.to_timestamp("trade_date", "yyyyMMdd"))
+    path = new_path(t.spark, "slices")
+    sink = online.slice_sink(path, {"p3": 3, "p5": 5})
+
+    def twice(batch: DataFrame, epoch: int) -> None:
+        sink(batch.drop("ts"), epoch)
+        sink(batch.drop("ts"), epoch)
+
+    stream = _as_stream(t, wide, 3)
+    stream.writeStream.option("checkpointLocation", new_path(t.spark, "progress")).trigger(availableNow=True).foreachBatch(twice).start().awaitTermination()
+    return t.spark.read.schema("net_return double, trade_date string, portfolio_key string").parquet(path).select("portfolio_key", "trade_date", "net_return")
 
 
 # Models, without SQL
