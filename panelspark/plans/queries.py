@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, identity
 from ..functions.stats import rounded
-from ..operators import analysis, checks, compare, context, features, labels, lineage, panel, portfolio, report, signals, status
+from ..operators import analysis, checks, compare, context, features, labels, lineage, ml, panel, portfolio, report, signals, status
 from ..sources import bars, files
 from ..functions.storage import new_path, stored
 from ..streaming import journal, online, progress
@@ -755,6 +755,16 @@ SQL["daily_rank_ic"] = sql(
 )
 
 
+@query("ordered_output", sql("select count(*)::bigint as rows, 0::bigint as faults, min(trade_date) as first, max(trade_date) as last from bars"))
+def ordered_output(t: Tables) -> DataFrame:
+    """The bars written in order and read again: rows, and files that are out of it."""
+    path = new_path(t.spark, "ordered")
+    files.write_ordered(t.bars, path, "trade_date", "ts_code")
+    whole = t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.min("trade_date").alias("first"), F.max("trade_date").alias("last"))
+    faults = files.order_faults(t.spark, path, "trade_date", "ts_code").agg(F.count(F.lit(1)).alias("faults"))
+    return whole.crossJoin(F.broadcast(faults)).select("rows", "faults", "first", "last")  # one row each
+
+
 # Streams: the stream is run to its end over a copy of the table; the SQL is of the batch it equals
 
 
@@ -909,32 +919,33 @@ def stream_slices(t: Tables) -> DataFrame:
 
 
 def _model_rows(t: Tables) -> tuple[DataFrame, list[str]]:
-    names = ["roc5", "ma5", "std5", "rsv5", "max5", "min5"]
-    f = features.rolling(t.flagged, ("price",), (5,)).where("_has_market_data and roc5 is not null")
+    """Rows with valid labels, and the names of all bar and rolling features."""
+    f = features.rolling(features.bar_features(features.lag_inputs(t.flagged)))
+    names = [c for c in f.columns if not c.startswith("_") and c not in t.flagged.columns]
+    f = f.where("_has_market_data and roc5 is not null")
     s = f.select("trade_date", "ts_code", *names, F.lit("1500").alias("trade_time"), "buyable", F.lit(True).alias("is_model_candidate"), F.col("buyable").alias("is_buyable_at_signal"), F.col("close").alias("signal_price"), F.col("adj_factor").alias("signal_adjustment_factor"))
     y = labels.next_day_labels(s, t.market, t.days).where("label_valid")
     return s.join(y, ["trade_date", "ts_code"]), names
 
 
-@query("gbt_scores")
-def gbt_scores(t: Tables) -> DataFrame:
-    from ..functions.storage import stored
-    from ..operators import ml
-
+def _trained(t: Tables) -> tuple[DataFrame, ml.Trained, DataFrame]:
+    """Later rows, and a model of the earlier ones with its curve: the operator's defaults, all features."""
     rows, names = _model_rows(t)
     rows = stored(rows, "training")
-    model, _ = ml.train(rows.where("trade_date < '19980101'"), names, rounds=5, depth=3)
-    return ml.score(rows.where("trade_date >= '19980101'"), model).select("trade_date", "ts_code", "pred", "rank", "buyable_rank")
+    model, curve = ml.train(rows.where("trade_date < '19980101'"), names)
+    return rows.where("trade_date >= '19980101'"), model, curve
+
+
+@query("gbt_scores")
+def gbt_scores(t: Tables) -> DataFrame:
+    late, model, _ = _trained(t)
+    return ml.score(late, model).select("trade_date", "ts_code", "pred", "rank", "buyable_rank")
 
 
 @query("gbt_validation")
 def gbt_validation(t: Tables) -> DataFrame:
-    from ..functions.storage import stored
-    from ..operators import ml
-
-    rows, names = _model_rows(t)
-    rows = stored(labels.label_transforms(rows), "training")
-    model, curve = ml.train(rows.where("trade_date < '19980101'").drop("label_return_rank", "label_return_csz"), names, rounds=5, depth=3)
-    late = ml.score(rows.where("trade_date >= '19980101'"), model)
-    best = ml.importance(t.spark, model).limit(1).select(F.col("feature").alias("first_feature"))
-    return ml.validation_metrics(late, "label_return_rank").crossJoin(F.broadcast(curve.agg(F.count(F.lit(1)).alias("rounds")))).crossJoin(F.broadcast(best))  # one row each
+    late, model, curve = _trained(t)
+    scored = ml.score(labels.label_transforms(late), model)
+    told = curve.agg(F.count(F.lit(1)).alias("rounds"), F.min_by("round", "valid_l2").alias("best_round"), F.min("valid_l2").alias("least_valid_l2"), F.min("valid_l1").alias("least_valid_l1"))
+    first = ml.importance(t.spark, model).where("place = 1").select(F.col("feature").alias("first_feature"), F.col("splits").alias("first_splits"))
+    return ml.validation_metrics(scored, "label_return_rank").crossJoin(F.broadcast(told)).crossJoin(F.broadcast(first))  # one row each

@@ -2,24 +2,59 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+def _leaves(spark: SparkSession, path: str, glob: str) -> dict[str, list[str]]:
+    """The folders below path that hold files of the pattern, and those files; listed by Hadoop, nothing is opened."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, match = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.GlobFilter(glob)
+    files = fs.listFiles(jvm_path, True)
+    out: dict[str, list[str]] = {}
+    while files.hasNext():
+        f = files.next().getPath()
+        if match.accept(f) and not f.getName().startswith(("_", ".")):
+            out.setdefault(f.getParent().toString(), []).append(f.toString())
+    return out
+
+
+def _by_schema(spark: SparkSession, path: str, glob: str) -> list[DataFrame]:
+    """The files below path, those of one schema together. Footers are read file by file, so this is for tables whose files differ."""
+    groups: dict[str, list[str]] = {}
+    for files in _leaves(spark, path, glob).values():
+        for f in sorted(files):
+            groups.setdefault(spark.read.parquet(f).schema.json(), []).append(f)
+    return [spark.read.option("basePath", path).parquet(*files) for files in groups.values()]
+
+
 def scan(spark: SparkSession, path: str, schema: str | T.StructType, glob: str = "*.parquet", since: str | None = None, partition: str = "day") -> DataFrame:
-    """Parquet below path cast to the schema; since: only partitions from that value on, which Spark prunes. Nothing there: an empty table."""
+    """Parquet below path cast to the schema; since: only partitions from that value on, which Spark prunes. Nothing there: an empty table.
+
+    Files may lack columns (null) or hold others (left out). Where their types can't be merged, files of one schema are read
+    together, cast, and united; a value that the wished type can't hold is null.
+    """
     want = spark.createDataFrame([], schema).schema
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path) or not _leaves(spark, path, glob):
         return spark.createDataFrame([], want)
-    df = spark.read.option("pathGlobFilter", glob).option("mergeSchema", "true").option("recursiveFileLookup", "false").parquet(path)
+    try:
+        parts = [spark.read.option("pathGlobFilter", glob).option("mergeSchema", "true").option("recursiveFileLookup", "false").parquet(path)]
+    except (PySparkException, Py4JJavaError) as e:
+        if "CANNOT_MERGE" not in str(e):
+            raise
+        parts = _by_schema(spark, path, glob)
     if since is not None:
-        df = df.where(F.col(partition) >= since)
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
+        parts = [p.where(F.col(partition) >= since) for p in parts]
+    cast = lambda p, f: F.col(f.name).try_cast(f.dataType) if f.name in p.columns else F.lit(None).cast(f.dataType)
+    return reduce(DataFrame.unionByName, [p.select(*[cast(p, f).alias(f.name) for f in want]) for p in parts])
 
 
 def index_weight_source(raw: DataFrame, index_code: str) -> tuple[DataFrame, DataFrame]:
@@ -73,8 +108,41 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
-    """Zstd Parquet; the commit protocol shows readers all of it or nothing."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """Zstd Parquet in place of what path holds: written beside it whole, then exchanged by renames. A write that fails leaves
+    the old table; between the two renames, on a store that has them, path is missing and its old files stand beside it."""
+    spark = df.sparkSession
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    staged, old, final = (jvm_path(f"{path.rstrip('/')}{mark}") for mark in (f".new-{uuid.uuid4().hex[:12]}", f".old-{uuid.uuid4().hex[:12]}", ""))
+    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.option("compression", "zstd").parquet(staged.toString())
+    except BaseException:
+        fs.delete(staged, True)
+        raise
+    had = fs.exists(final)
+    if had and not fs.rename(final, old):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(staged, final):
+        if had:
+            fs.rename(old, final)
+        raise OSError(f"{path} can't be replaced")
+    fs.delete(old, True)
+
+
+def write_ordered(df: DataFrame, path: str, *keys: str, ranges: int | None = None) -> None:
+    """Parquet sorted by keys: each file is a range, and the files' names are in the order of the ranges (so many, or as Spark deals them)."""
+    dealt = df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)
+    dealt.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def order_faults(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """(file, first, last, rows) of files below path, in the order of their names, that begin before an earlier one ended, or
+    whose own rows are not in the order of keys. Ranges of files are compared, a row for each; rows only within their file."""
+    d = spark.read.parquet(path).select(F.struct(*keys).alias("k"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    ahead = Window.partitionBy("file").orderBy("start", "id")  # a scan numbers the rows of a file's block as they stand
+    falls = d.withColumn("falls", F.lag("k").over(ahead) > F.col("k")).groupBy("file").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count(F.lit(1)).alias("rows"), F.count_if("falls").alias("falls"))
+    before = F.max("last").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
+    return falls.withColumn("before", before).where((F.col("before") > F.col("first")) | (F.col("falls") > 0)).select("file", "first", "last", "rows")
 
 
 def schema_report(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,9 +126,32 @@ def test_model(spark):
     rows = [(f"202401{d:02d}", f"s{k}", float(k), None if k == 3 else float(-k), "1500", True, True, f"202401{d + 1:02d}", 0.01 * k) for d in range(1, 25) for k in range(12)]
     df = spark.createDataFrame(rows, "trade_date string, ts_code string, x double, z double, trade_time string, is_model_candidate boolean, is_buyable_at_signal boolean, label_target_date string, label_return double")
     t, curve = ml.train(df, ["x", "z"], rounds=4, depth=3, ratio=0.2)
+    assert [f for f, _ in curve.dtypes] == ["round", "train_l2", "train_l1", "valid_l2", "valid_l1"] and curve.where("train_l2 > 0 and valid_l1 > 0").count() == 4
     assert curve.count() == 4 and 1 <= t.rounds <= 4
     assert math.isclose(sum(r.gain for r in ml.importance(spark, t).collect()), 1.0)
     scored = ml.score(df, t)
     assert scored.count() == len(rows) and scored.where("pred is null or rank is null").count() == 0
     m = ml.validation_metrics(scored.withColumn("y", F.col("label_return")), "y").first()
     assert m.rank_ic > 0.9 and m.ic > 0.9
+
+
+def test_boosting_stops_and_tells_its_splits(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"202401{d:02d}", f"s{k}", float(x[0]), float(x[1]), float(x[0] > 0) + float(rng.normal()) * 0.2) for d in range(1, 29) for k, x in enumerate(rng.normal(size=(12, 2)))]
+    df = spark.createDataFrame(rows, "trade_date string, ts_code string, x double, z double, label_return double").withColumn("label_target_date", F.col("trade_date"))
+    df = df.withColumn("is_buyable_at_signal", F.lit(True)).withColumn("trade_time", F.lit("1500")).withColumn("is_model_candidate", F.lit(True))
+    t, curve = ml.train(df, ["x", "z"], rounds=40, depth=2, rate=0.5, ratio=0.2, patience=3)
+    c = {r["round"]: r for r in curve.collect()}
+    best = min(c, key=lambda k: c[k].valid_l2)
+    assert t.rounds == best == t.model.getNumTrees and len(c) == best + 3 < 40  # noise: it stops before the limit
+    text = t.model.toDebugString
+    got = ml.importance(spark, t).collect()
+    assert {r.feature: r.splits for r in got} == {f: text.count(f"If (feature {k} ") for k, f in enumerate(["x", "z"])}
+    assert [r.place for r in got] == [1, 2] and got[0].feature == "x" and got[0].gain >= got[1].gain
+    nodes = ml.tree_nodes(spark, t)
+    assert nodes.where("is_leaf").count() == nodes.where("not is_leaf").count() + t.rounds
+    by_hand = sum((1.0 if k == 0 else 0.5) * tree.predict(ml.assembled(df.limit(1), ["x", "z"], t.imputer)[0].first()["vector"]) for k, tree in enumerate(t.model.trees))
+    assert math.isclose(ml.score(df, t).where("true").join(df.limit(1).select("trade_date", "ts_code"), ["trade_date", "ts_code"]).first()["pred"], by_hand)
+    broken = ml.Trained(type("Endless", (), {"transform": lambda self, v: v.withColumn("prediction", F.lit(float("nan")))})(), t.imputer, t.features, 1, t.label)
+    with pytest.raises(Exception, match="not finite"):
+        ml.score(df, broken).collect()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import analysis, features, lineage
+from panelspark.sources import files
 
 
 def _runs(spark, rows):
@@ -92,3 +93,34 @@ def test_frames_against_numpy(spark):
                 if np.ptp(u) == 0:
                     assert mine[f"_one_xx{n}"][k] == 0
     assert features.framed(d.limit(0), {"one": (F.col("x"),)}, {}, (5,)).count() == 0
+
+
+def test_files_of_differing_types_are_cast(spark, tmp_path):
+    for day, schema, rows in (("1", "code string, x int", [("a", 1)]), ("2", "code string, x double, extra int", [("b", 2.5, 1)]), ("3", "code string", [("c",)]), ("4", "x string, code string", [("7", "d"), ("many", "e")])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/t/day={day}")
+    got = files.scan(spark, f"{tmp_path}/t", "day int, code string, x double, gone date")
+    assert sorted((r.day, r.code, r.x, r.gone) for r in got.collect()) == [(1, "a", 1.0, None), (2, "b", 2.5, None), (3, "c", None, None), (4, "d", 7.0, None), (4, "e", None, None)]
+    assert [r.code for r in files.scan(spark, f"{tmp_path}/t", "code string, x int", since="4").orderBy("code").collect()] == ["d", "e"]
+    (tmp_path / "none").mkdir()
+    assert files.scan(spark, f"{tmp_path}/none", "x int").count() == 0
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    files.write_parquet(spark.range(5), path)
+    with pytest.raises(Exception, match="no good"):
+        files.write_parquet(spark.range(9).select(F.when(F.col("id") > 7, F.raise_error(F.lit("no good")).cast("long")).otherwise(F.col("id")).alias("id")), path)
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["table"]
+    files.write_parquet(spark.read.parquet(path).where("id > 2"), path)  # of itself
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [3, 4] and [p.name for p in tmp_path.iterdir()] == ["table"]
+
+
+def test_ordered_files(spark, tmp_path):
+    d = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("v")).repartition(6)
+    path = f"{tmp_path}/sorted"
+    files.write_ordered(d, path, "k", ranges=5)
+    assert files.order_faults(spark, path, "k").count() == 0
+    rows = [r.k for f in sorted((tmp_path / "sorted").glob("part*")) for r in spark.read.parquet(str(f)).collect()]
+    assert rows == list(range(1000)) and len(list((tmp_path / "sorted").glob("part*"))) > 1
+    d.write.parquet(f"{tmp_path}/mixed")
+    assert files.order_faults(spark, f"{tmp_path}/mixed", "k").count() > 0
