@@ -929,10 +929,10 @@ def _model_rows(t: Tables) -> tuple[DataFrame, list[str]]:
 
 
 def _trained(t: Tables) -> tuple[DataFrame, ml.Trained, DataFrame]:
-    """Later rows, and a model of the earlier ones with its curve: the operator's defaults, all features."""
+    """Later rows, and a model of the earlier ones with its curve: all features, fewer rounds than the operator's default."""
     rows, names = _model_rows(t)
     rows = stored(rows, "training")
-    model, curve = ml.train(rows.where("trade_date < '19980101'"), names)
+    model, curve = ml.train(rows.where("trade_date < '19980101'"), names, rounds=40, patience=5)
     return rows.where("trade_date >= '19980101'"), model, curve
 
 
