@@ -109,7 +109,7 @@ def spread_and_monotonicity(buckets: DataFrame, quantiles: int = 10) -> DataFram
 
 def factor_table(df: DataFrame, factors: list[str], label: str, quantiles: int = 10, min_samples: int = 20) -> DataFrame:
     """The factor report: coverage, IC summary, spread, monotonicity, direction and rank by mean of the orders of strength."""
-    pairs = factor_pairs(df, factors, label).persist()
+    pairs = stored(factor_pairs(df, factors, label), "pairs")  # two reports read them
     total = long_factors(df, factors).groupBy("factor").agg(F.count(F.lit(1)).alias("total"), F.count(finite(F.col("value"))).alias("valid"))
     s = ic_summary(daily_ic(pairs, min_samples)).join(spread_and_monotonicity(quantile_returns(pairs, quantiles, min_samples), quantiles), "factor").join(total, "factor")
     s = s.withColumns({"coverage": F.try_divide("valid", "total"), "direction": F.when(F.col("rankic_mean") > 0, "positive").when(F.col("rankic_mean") < 0, "negative").otherwise("unknown")})

@@ -63,8 +63,13 @@ def adjusted(p: DataFrame) -> DataFrame:
 def asof(left: DataFrame, right: DataFrame, value: str, left_order: str, right_order: str, key: str | None = None, strict: bool = False, tie: str | None = None) -> DataFrame:
     """left with the right's last value on or before (strict: before) each row's date, by key; null where there is none.
 
-    Both sides are ordered in one window. Of right rows of one date the last by tie counts; a null value is skipped.
+    Both sides are ordered in one window. Of right rows of one date the last by tie counts; a null value is skipped. Without
+    a key only dates meet, each once with the last value of its right rows, and left takes them by an equi join.
     """
+    if key is None and left.columns != [left_order]:
+        last = right.where(F.col(value).isNotNull()).groupBy(F.col(right_order).alias("_o")).agg(F.max_by(value, tie or value).alias(value))
+        days = asof(left.select(left_order).distinct(), last, value, left_order, "_o", strict=strict).withColumnRenamed(left_order, "_day")
+        return left.join(days, left[left_order].eqNullSafe(days["_day"]), "left").select(*[left[c] for c in left.columns], value)
     cols = left.columns
     none = F.lit(None)
     mine = left.select(F.struct(*cols).alias("_l"), *([F.col(key).alias("_k")] if key else []), F.col(left_order).alias("_o"), F.lit(0 if strict else 1).alias("_s"), none.cast(right.schema[value].dataType).alias("_v"), none.cast("string").alias("_t"))

@@ -155,3 +155,15 @@ def test_boosting_stops_and_tells_its_splits(spark):
     broken = ml.Trained(type("Endless", (), {"transform": lambda self, v: v.withColumn("prediction", F.lit(float("nan")))})(), t.imputer, t.features, 1, t.label)
     with pytest.raises(Exception, match="not finite"):
         ml.score(df, broken).collect()
+
+
+def test_run_progress(spark):
+    """Seconds run, and the first step that isn't done; null while a run has no end, no step, or only done ones."""
+    rows = [
+        (1, "2024-01-01 00:00:00", "2024-01-01 00:01:30", [("a", "succeeded", 100.0), ("b", "running", 40.0), ("c", "pending", None)]),
+        (2, "2024-01-01 00:00:00", None, [("a", "succeeded", 100.0)]), (3, None, None, []), (4, "2024-01-01 00:00:00", "2024-01-01 00:00:00", None), (5, "2024-01-01 00:00:00", None, [("a", "failed", 7.0)]),
+    ]
+    runs_ = spark.createDataFrame(rows, "run_id int, started_at string, ended_at string, steps array<struct<name:string,state:string,percentage:double>>").withColumns({c: F.to_timestamp(c) for c in ("started_at", "ended_at")})
+    got = {r.run_id: (r.seconds, r.current_step, r.percentage) for r in lineage.progress(runs_).collect()}
+    assert got == {1: (90, "b", 40.0), 2: (None, None, None), 3: (None, None, None), 4: (0, None, None), 5: (None, "a", 7.0)}
+    assert lineage.progress(runs_.limit(0)).count() == 0
