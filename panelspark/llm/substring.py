@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,10 @@ SMALL_BUCKET, LARGE_BUCKET, MANY_BUCKETS = 64 << 10, 64 << 20, 1024
 FILE_BYTES, MOST_FILES = 16 << 20, 50_000
 #: What stands before every doc_id: documents of earlier calls.
 EARLIER = -(1 << 63)
+#: ASCII white space among bytes; the lowest n bytes of a number; the longest word that is hashed by eights.
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG = 256
 BLOBS = "bucket int, g long, keys binary, checks binary, least binary, spread binary, gs binary"
 FOUND = "kind int, g long, bucket int, keys binary, checks binary, least binary, gs binary"
 
@@ -52,19 +57,6 @@ def _roll(h: np.ndarray, n: int, salt: int) -> np.ndarray:
     return _mixed(out, salt + 7)
 
 
-class _Words(dict):
-    """Hashes of words seen; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_KNOWN = _Words()
-
-
 class _Group:
     """The words of some documents, one after the other, and the windows that lie in one document each."""
 
@@ -72,14 +64,45 @@ class _Group:
         ids = docs.column("doc_id")
         self.valid = ids.is_valid().to_numpy()
         self.ids = ids.fill_null(EARLIER).to_numpy()
-        self.words = [t.encode().split() if t else [] for t in docs.column("text").to_pylist()]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.text = docs.column("text").combine_chunks()
+
+    def words(self) -> list[list[bytes]]:
+        return [t.encode().split() if t else [] for t in self.text.to_pylist()]
 
     def hash(self) -> None:
-        self.hashes = h = np.fromiter((_KNOWN[x] for w in self.words for x in w), np.uint64, int(self.sizes.sum()))
-        doc = np.repeat(np.arange(len(self.words)), self.sizes)
-        self.starts = np.flatnonzero(doc[: max(0, len(h) - WINDOW + 1)] == doc[WINDOW - 1 :])
-        self.doc = doc[self.starts]
+        """128 bits of each word, in two halves, eight bytes of all words at a time; words over LONG bytes by XXH3."""
+        text = pc.fill_null(self.text, "").cast(pa.large_binary())
+        at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        size = int(at[-1] - at[0])
+        raw = np.zeros(size + 8, np.uint8)
+        if size:
+            raw[:size] = np.frombuffer(text.buffers()[2], np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        full = ~BLANK[raw[:size]]
+        cut = np.zeros(size + 1, bool)  # before a document's first byte
+        cut[at] = True
+        first, last = full.copy(), full.copy()
+        first[1:] &= ~full[:-1] | cut[1:-1]
+        last[:-1] &= ~full[1:] | cut[1:-1]
+        start = np.flatnonzero(first)
+        length = np.flatnonzero(last) + 1 - start
+        row = np.repeat(np.arange(len(text)), np.diff(np.searchsorted(start, at)))
+        eight = np.ndarray((size + 1,), "<u8", raw.data, strides=(1,))
+        halves = [_mixed(length.astype(np.uint64), salt) for salt in (11, 12)]
+        live, k = np.flatnonzero(length <= LONG), 0
+        while len(live):
+            left = length[live] - k
+            part = eight[start[live] + k] & MASKS[np.minimum(left, 8)]
+            for salt, h in enumerate(halves):
+                h[live] = _mixed(_mixed(h[live] ^ part, 13 + salt), 15 + salt)
+            live, k = live[left > 8], k + 8
+        for i in np.flatnonzero(length > LONG):
+            both = xxhash.xxh3_128_intdigest(raw[start[i] : start[i] + length[i]])
+            halves[0][i], halves[1][i] = both & (1 << 64) - 1, both >> 64
+        self.hashes, self.others = halves
+        n = len(row)
+        self.starts = np.flatnonzero(row[: max(0, n - WINDOW + 1)] == row[WINDOW - 1 :])
+        self.doc = row[self.starts]
 
     def low(self) -> np.ndarray:
         """The fingerprint of every window: the least hash of its grams, mixed, for least hashes are not spread evenly."""
@@ -89,9 +112,9 @@ class _Group:
         return _mixed(low[self.starts], 5) if len(self.starts) else np.zeros(0, np.uint64)
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of the chosen windows' words: the key, and a check by another hash."""
+        """128 bits of the chosen windows' words: the key from one half of the words' bits, a check from the other."""
         starts = self.starts[at]
-        return _roll(self.hashes, WINDOW, 2)[starts], _roll(self.hashes, WINDOW, 3)[starts]
+        return _roll(self.hashes, WINDOW, 2)[starts], _roll(self.others, WINDOW, 3)[starts]
 
 
 def _pack(a: np.ndarray, step: bool = False) -> bytes:
@@ -286,7 +309,9 @@ def _stored(docs: DataFrame, path: str, groups: int, first: int, files: int, cut
 def _cut(docs: pa.Table, told: pa.Table, extra: list[str], with_text: bool) -> pa.Table:
     """A group's documents without the windows that it was told of, where those have a smaller doc_id."""
     c = _Group(docs)
-    n = int(c.sizes.sum())
+    words = c.words()
+    sizes = np.array([len(w) for w in words], np.int64)
+    n = int(sizes.sum())
     covered = np.zeros(n, bool)
     if len(told) and n:
         c.hash()
@@ -304,14 +329,14 @@ def _cut(docs: pa.Table, told: pa.Table, extra: list[str], with_text: bool) -> p
         np.add.at(edge, c.starts[gone] + WINDOW, -1)
         covered = np.cumsum(edge)[:n] > 0
     removed, digests, texts = [], [], []
-    for w, z in zip(c.words, np.cumsum(c.sizes), strict=True):
+    for w, z in zip(words, np.cumsum(sizes), strict=True):
         mask = covered[z - len(w) : z]
         m = int(mask.sum())
         kept = b" ".join(w if not m else [x for x, r in zip(w, mask.tolist(), strict=True) if not r])
         removed.append(m)
         digests.append(hashlib.sha256(kept).hexdigest())
         texts.append(kept.decode() if with_text and m else None)
-    out = {"doc_id": docs.column("doc_id"), "n_words": pa.array(c.sizes), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(texts, pa.string())}
+    out = {"doc_id": docs.column("doc_id"), "n_words": pa.array(sizes), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(texts, pa.string())}
     return pa.table(out | {name: docs.column(name) for name in [*extra, *["text"] * with_text]})
 
 

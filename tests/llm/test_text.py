@@ -1,10 +1,12 @@
 """SimHash, decontamination, substring dedup, quality and packing against brute force, edges included."""
 
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -141,6 +143,20 @@ def _cut_rows(df):
     return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()), key=repr)
 
 
+def test_substring_word_hashes():
+    """Equal words hash alike, different ones apart in both halves, whatever their length and place; words as by split()."""
+    rnd = random.Random(5)
+    texts = [" ".join("".join(rnd.choice("abé\t ") for _ in range(rnd.choice([1, 7, 8, 9, 16, 17, 256, 257, 600]))) for _ in range(40)) for _ in range(60)]
+    texts += ["".join(f"a{chr(i)}b" for i in range(300)), None, "", "a", "b", " ", "c"]
+    for skip in (0, 3, len(texts)):
+        group = substring._Group(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}).slice(skip))
+        group.hash()
+        words = [w for d in group.words() for w in d]
+        for half in (group.hashes, group.others):
+            of = dict(zip(words, half.tolist(), strict=True))
+            assert [of[w] for w in words] == half.tolist() and len(set(of.values())) == len(of)
+
+
 def test_substring_hot_and_extra(spark, awkward, monkeypatch):
     rows = [(i, f"own{i} " * 3 + " ".join(f"common{k}" for k in range(30)) + f" tail{i}") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
