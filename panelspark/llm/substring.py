@@ -32,6 +32,7 @@ BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 LONG = 256
 BLOBS = "bucket int, g long, keys binary, checks binary, least binary, spread binary, gs binary"
+BLOB_COLUMNS = [f.split()[0] for f in BLOBS.split(", ")]
 FOUND = "kind int, g long, bucket int, keys binary, checks binary, least binary, gs binary"
 
 
@@ -178,7 +179,13 @@ def _merged(table: pa.Table, first_group: int) -> tuple[np.ndarray, ...]:
         for p, v in zip(parts, (k, _unpack(checks) if checks is not None else np.zeros(n, np.uint64), np.full(n, g, np.int64) if gs is None else _unpack(gs).view(np.int64), low, most, np.full(n, gs is None)), strict=True):
             p.append(v)
     columns = [np.concatenate(p) for p in parts]
-    order = np.lexsort((columns[3], columns[1], columns[0]))
+    keys, checks, least = columns[0], columns[1], columns[3]
+    order = np.argsort(keys, kind="stable")  # every part is sorted by key: their runs are merged
+    same = keys[order][1:] == keys[order][:-1]
+    tied = np.flatnonzero(np.append(False, same) | np.append(same, False))
+    if len(tied):
+        at = order[tied]
+        order[tied] = at[np.lexsort((least[at], checks[at], keys[at]))]
     return tuple(c[order] for c in columns)
 
 
@@ -220,9 +227,11 @@ def _compacted(table: pa.Table) -> pa.Table:
 
 @dataclass
 class Manifest:
-    """A version of an index: runs as (level, path), the documents that they were made of, calls so far."""
+    """A version of an index: runs as (level, path), each in so many files by bucket, the documents that they were made of,
+    calls so far."""
 
     buckets: int
+    files: int
     calls: int = 0
     runs: list[tuple[int, str]] = field(default_factory=list)
     docs: list[str] = field(default_factory=list)
@@ -235,13 +244,17 @@ class FingerprintIndex:
     one whole; files that no manifest lists are never read. add() merge-joins a batch with all runs and writes what is new
     as another run; when fanout runs have one level they are merged into one of the next, so each fingerprint is rewritten
     once a level. Documents of earlier calls stay beside the runs, for windows are verified against theirs.
+
+    Each run's files are bucketed by bucket, all alike, and the runs are partitions of one table that the session knows
+    while the index is open: a batch is dealt to the history's files, the history itself is never shuffled, nor is it to be
+    compacted. The numbers of buckets and files are those of the first call.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int, fanout: int = 2) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int, files: int = 1, fanout: int = 2) -> None:
         self.spark, self.root, self.fanout = spark, root.rstrip("/"), fanout
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.version, self.state = 0, Manifest(buckets)
+        self.version, self.state = 0, Manifest(buckets, files)
         folder = f"{self.root}/manifest"
         if exists(spark, folder):
             names = [s.getPath().getName() for s in self._fs.listStatus(self._path(folder))]
@@ -251,6 +264,14 @@ class FingerprintIndex:
             self.state = Manifest(**json.loads(line))
             self.state.runs = [tuple(r) for r in self.state.runs]
         self.first_group = self.state.calls << 32
+        self.table = f"panelspark_runs_{uuid.uuid4().hex[:12]}"
+        spark.sql(f"create table {self.table} ({FOUND.removeprefix('kind int, ')}, run string) using parquet partitioned by (run) clustered by (bucket) sorted by (bucket) into {self.state.files} buckets location '{self.root}/runs'")
+        for _, path in self.state.runs:
+            self._known(path)
+
+    def close(self) -> None:
+        """The session forgets the runs' table; the files stay."""
+        self.spark.sql(f"drop table if exists {self.table}")
 
     def commit(self) -> None:
         """Makes the state the next version; fails if another writer made it first."""
@@ -262,34 +283,52 @@ class FingerprintIndex:
             raise RuntimeError(f"version {self.version + 1} of {self.root} exists")
         self.version += 1
 
-    def _rows(self, path: str) -> DataFrame:
+    def _known(self, path: str) -> None:
+        self.spark.sql(f"alter table {self.table} add partition (run = '{path.split('/')[-2]}') location '{path}'")
+
+    def _history(self, runs: list[tuple[int, str]]) -> DataFrame:
         none = F.lit(None).cast("binary")
-        return self.spark.read.schema(FOUND).parquet(path).select("bucket", "g", "keys", none.alias("checks"), "least", none.alias("spread"), "gs")
+        rows = self.spark.table(self.table).where(F.col("run").isin([p.split("/")[-2] for _, p in runs]))
+        return rows.select("bucket", "g", "keys", none.alias("checks"), "least", none.alias("spread"), "gs")
+
+    def _written(self, rows: DataFrame, name: str, level: int) -> str:
+        """Writes rows (FOUND) by kind and bucket; those of kind 2, if any, are a run. Returns the path."""
+        path, made = f"{self.root}/{name}-{uuid.uuid4().hex[:12]}", f"panelspark_run_{uuid.uuid4().hex[:12]}"
+        out = rows.write.option("compression", "zstd").option("path", path).format("parquet")
+        try:
+            out.partitionBy("kind").bucketBy(self.state.files, "bucket").sortBy("bucket").saveAsTable(made)
+        finally:
+            self.spark.sql(f"drop table if exists {made}")
+        if exists(self.spark, f"{path}/kind=2"):  # no document of the batch has a window: no run
+            self.state.runs.append((level, f"{path}/kind=2"))
+            self._known(f"{path}/kind=2")
+        return path
+
+    def probed(self, batch: DataFrame) -> DataFrame:
+        """batch (BLOBS) merge-joined with all runs, bucket by bucket (FOUND)."""
+        first = self.first_group
+        if not self.state.runs:
+            return batch.repartition(self.state.files, "bucket").groupBy("bucket").applyInArrow(lambda t: _probe(t, first), FOUND)
+
+        def both(old: pa.Table, new: pa.Table) -> pa.Table:
+            parts = [t.select(BLOB_COLUMNS) for t in (old, new) if len(t)]
+            return _probe(pa.concat_tables(parts), first)
+
+        return self._history(self.state.runs).groupBy("bucket").cogroup(batch.groupBy("bucket")).applyInArrow(both, FOUND)
 
     def add(self, batch: DataFrame) -> DataFrame:
         """(g, keys) rows of groups and the fingerprints that they share with another document; batch: BLOBS, of larger doc_ids
         than those added before in this call."""
-        rows = batch
-        for _, path in self.state.runs:
-            rows = rows.unionByName(self._rows(path))
-        path = f"{self.root}/run-{uuid.uuid4().hex[:12]}"
-        first = self.first_group
-        rows.groupBy("bucket").applyInArrow(lambda t: _probe(t, first), FOUND).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-        if exists(self.spark, f"{path}/kind=2"):  # no document of the batch has a window: no run
-            self.state.runs.append((0, f"{path}/kind=2"))
+        path = self._written(self.probed(batch), "run", 0)
         return self.spark.read.schema(FOUND).parquet(path).where("kind = 0").select("g", "keys")
 
     def compact(self) -> list[str]:
         """Merges runs of one level; returns the paths that the next version no longer needs."""
         level, gone = self.state.runs[-1][0] if self.state.runs else 0, []
         while len(same := [r for r in self.state.runs if r[0] == level]) >= self.fanout:
-            rows = self._rows(same[0][1])
-            for _, path in same[1:]:
-                rows = rows.unionByName(self._rows(path))
-            path = f"{self.root}/merged-{uuid.uuid4().hex[:12]}"
-            rows.groupBy("bucket").applyInArrow(_compacted, FOUND).write.option("compression", "zstd").parquet(path)
+            self.state.runs = [r for r in self.state.runs if r not in same]
+            self._written(self._history(same).groupBy("bucket").applyInArrow(_compacted, FOUND), "merged", level + 1)
             gone += [p for _, p in same]
-            self.state.runs = [r for r in self.state.runs if r not in same] + [(level + 1, path)]
             level += 1
         return gone
 
@@ -370,9 +409,9 @@ def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False,
     if buckets is None:
         buckets = 1 << min(MANY_BUCKETS.bit_length() - 1, (size // SMALL_BUCKET).bit_length())
         buckets = max(buckets, 1 << (size // LARGE_BUCKET).bit_length())
-    tree = FingerprintIndex(spark, index or scratch(spark, "index"), buckets)
-    state = tree.state
     files = max(1, min(size // FILE_BYTES + 1, MOST_FILES))
+    tree = FingerprintIndex(spark, index or scratch(spark, "index"), buckets, files)
+    state = tree.state
     path = f"{tree.root}/docs-{uuid.uuid4().hex[:12]}"
     held, held_name = _stored(docs, path, size // GROUP_BYTES + 1, tree.first_group, files, cuts)
     number, old = state.buckets, list(state.docs)
@@ -389,6 +428,7 @@ def dedup_substrings(docs: DataFrame, batches: int = 3, with_text: bool = False,
         found = more if found is None else found.unionByName(more)
         if k < len(cuts):
             gone += tree.compact()
+    tree.close()
 
     def windows(t: pa.Table, told: pa.Table) -> pa.Table:
         if not len(t) or not len(told):

@@ -184,7 +184,13 @@ def test_substring_index_is_kept(spark, awkward):
     again = spark.createDataFrame([(r[0], r[1]) for r in rows[:3]], "doc_id long, text string")  # the same ids once more
     left = [(r.doc_id, r.n_words, r.n_removed) for r in substring.dedup_substrings(again, index=index).collect() if r.n_words > 12 and r.n_removed < r.n_words]
     assert not left
-    assert substring.FingerprintIndex(spark, index, 1).state.calls == 4
+    tree = substring.FingerprintIndex(spark, index, 1)
+    assert tree.state.calls == 4
+    plan = tree.probed(spark.createDataFrame([], substring.BLOBS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange" not in plan.split(":- ")[1].split("+- Sort")[0] and "Bucketed: true" in plan  # the batch alone is dealt
+    assert "Exchange" not in tree._history(tree.state.runs).groupBy("bucket").applyInArrow(substring._compacted, substring.FOUND)._jdf.queryExecution().executedPlan().toString()
+    tree.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("panelspark_run")]
 
 
 def test_quality(spark, awkward):
