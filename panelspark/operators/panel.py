@@ -102,3 +102,18 @@ def last_open_days(days: DataFrame, n: int, before: Column | None = None) -> Dat
     """The last n days, of those before a day if given."""
     d = days if before is None else days.where(F.col("trade_date") < before)
     return d.orderBy(F.desc("trade_date")).limit(n)
+
+
+def finalize(frame: DataFrame, public: dict[str, str], state: list[str], more: list[str] = [], start: str | None = None, end: str | None = None) -> DataFrame:  # noqa: B006
+    """The published table: rows with a quote from start to end (both included, each optional), its columns in this order:
+    trade_date, ts_code, state, the features under their public names, more. Other columns go. Rows are told apart by their
+    keys, so the writer sorts them (files.write_ordered); no row in the range is an error, found by a read of one row."""
+    d = frame.where("_has_market_data")
+    if start is not None:
+        d = d.where(F.col("trade_date") >= start)
+    if end is not None:
+        d = d.where(F.col("trade_date") <= end)
+    out = d.select("trade_date", "ts_code", *state, *[F.col(raw).alias(name) for raw, name in public.items()], *more)
+    if out.isEmpty():
+        raise ValueError("no row with a quote in the range of dates")
+    return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, identity
 from ..functions.stats import rounded
 from ..operators import analysis, checks, compare, context, features, labels, lineage, ml, panel, portfolio, report, signals, status
-from ..sources import bars, files
+from ..sources import bars, files, masters
 from ..functions.storage import new_path, stored
 from ..streaming import journal, online, progress
 from ..streaming import runs as runs_stream
@@ -90,6 +90,41 @@ def signal_violations(t: Tables) -> DataFrame:
     return checks.signal_violations(t.ranked)
 
 
+#: Faults planted by the sum of symbol and day: column, divisor, value.
+MARKET_FAULTS = (("open", 11, "null"), ("high", 13, "double('nan')"), ("low", 17, "-1.0"), ("close", 19, "0.0"), ("adj_factor", 23, "double('inf')"), ("vol", 29, "-1.0"), ("amount", 31, "null"))
+_KEY_SUM = "(cast(ts_code as bigint) + cast(trade_date as bigint))"
+
+
+def _market_faults_sql() -> str:
+    put = ", ".join(f"case when {_KEY_SUM} % {m} = 0 then {v.replace('double(', '(')}::double else {c} end as {c}" for c, m, v in MARKET_FAULTS)
+    bad = lambda c: f"{c} is null or not isfinite({c}) or {c} {'<' if c in ('vol', 'amount') else '<='} 0"
+    counts = " union all ".join(f"select 'bad_{c}' as rule, count(*) filter ({bad(c)})::bigint as violations from twice" for c, _, _ in MARKET_FAULTS)
+    return sql(counts + " union all select 'repeated_key', (count(*) - count(distinct (ts_code, trade_date)))::bigint from twice", faulty=f"select ts_code, trade_date, {put} from quotes", twice=f"select * from faulty union all select * from faulty where {_KEY_SUM} % 7 = 0")
+
+
+@query("market_violations_found", _market_faults_sql())
+def market_violations_found(t: Tables) -> DataFrame:
+    faulty = t.quotes.select("ts_code", "trade_date", *[F.expr(f"case when {_KEY_SUM} % {m} = 0 then {v} else {c} end as {c}") for c, m, v in MARKET_FAULTS])
+    return checks.market_violations(faulty.unionByName(faulty.where(f"{_KEY_SUM} % 7 = 0")))
+
+
+@query("signal_violations_found", sql("""select 'score_not_finite' as rule, count(*) filter (pred is null)::bigint as violations from seen
+  union all select 'flag_null', count(*) filter (buyable is null)::bigint from seen
+  union all select 'several_times', count(*) filter (times > 1)::bigint from seen
+  union all select 'rank_without_candidate', count(*) filter (target_rank is not null and not coalesce(buyable, false))::bigint from seen
+  union all select 'rank_gap', count(*) filter (target_rank is not null and target_rank <> place)::bigint from seen""",
+  seen="select f.*, n.times, case when target_rank is not null then row_number() over (partition by trade_date, target_rank is null order by target_rank, ts_code) end as place from faults f join times_of n using (trade_date)",
+  times_of="select trade_date, count(distinct trade_time) as times from faults group by 1",
+  faults=f"""select trade_date, ts_code, case when {_KEY_SUM} % 11 <> 0 then pred end as pred, case when {_KEY_SUM} % 13 <> 0 then is_buyable_at_signal end as buyable,
+    case when {_KEY_SUM} % 97 = 0 then '1400' else '1500' end as trade_time, target_rank + (trade_date::bigint % 9 = 0)::int as target_rank from ranked"""))
+def signal_violations_found(t: Tables) -> DataFrame:
+    put = {
+        "pred": f"case when {_KEY_SUM} % 11 = 0 then double('nan') else pred end", "is_buyable_at_signal": f"case when {_KEY_SUM} % 13 <> 0 then is_buyable_at_signal end",
+        "trade_time": f"case when {_KEY_SUM} % 97 = 0 then '1400' else '1500' end", "target_rank": "target_rank + case when cast(trade_date as bigint) % 9 = 0 then 1 else 0 end",
+    }
+    return checks.signal_violations(t.ranked.withColumns({c: F.expr(e) for c, e in put.items()}))
+
+
 @query("anti_semi_keys", sql("select ts_code, (ts_code in (select ts_code from mst)) as in_master from (select distinct ts_code from bars)"))
 def anti_semi_keys(t: Tables) -> DataFrame:
     all_ = t.bars.select("ts_code").distinct()
@@ -97,6 +132,24 @@ def anti_semi_keys(t: Tables) -> DataFrame:
     return known.unionByName(checks.missing_keys(all_, t.master, ["ts_code"]).withColumn("in_master", F.lit(False)))
 
 
+@query("loaded_masters", sql("""select 'calendar' as kind, null::varchar as ts_code, trade_date as day, null::varchar as name from days where _trade_index % 7 <> 0
+  union all select 'symbols', ts_code, case when ts_code::bigint % 2 = 1 then list_date end, name from mst
+  union all select 'names', ts_code, known, known_name from nm"""))
+def loaded_masters(t: Tables) -> DataFrame:
+    """Each seventh day closed, days listed twice, even symbols with an empty last day, odd ones with their first: written, then loaded."""
+    cal = t.days.select(F.col("trade_date").cast("int").alias("cal_date"), F.when(F.col("_trade_index") % 7 == 0, 0).otherwise(1).alias("is_open"))
+    listed = t.master.withColumn("delist_date", F.when(F.col("ts_code").cast("long") % 2 == 0, "").otherwise(F.col("list_date")))
+    raw = {"calendar": cal.unionByName(cal), "listed": listed, "names": bars.names(t.bars, t.days)}
+    paths = {name: new_path(t.spark, name) for name in raw}
+    for name, df in raw.items():
+        files.write_parquet(df, paths[name])
+    days, stocks, names = masters.load_masters(t.spark, **paths)
+    none = F.lit(None).cast("string")
+    out = days.select(F.lit("calendar").alias("kind"), none.alias("ts_code"), F.col("trade_date").alias("day"), none.alias("name"))
+    out = out.unionByName(stocks.select(F.lit("symbols").alias("kind"), "ts_code", F.col("delist_date").alias("day"), "name"))
+    return out.unionByName(names.select(F.lit("names").alias("kind"), "ts_code", F.col("_known_date").alias("day"), "name"))
+
+
 # Bar and rolling features
 
 BAR = {
@@ -112,6 +165,14 @@ def kbar_features(t: Tables) -> DataFrame:
     return features.bar_features(t.panel).where("_has_market_data").select("ts_code", "trade_date", *BAR)
 
 
+@query("final_dataset", sql(f"""select trade_date, ts_code, buyable, {fin('close', 'signal_price')}, {fin('adj_factor', 'signal_adjustment_factor')}, {', '.join(fin(e, n.upper()) for n, e in BAR.items())}
+  from flagged where _has_market_data and trade_date between '19950101' and '19971231'"""))
+def final_dataset(t: Tables) -> DataFrame:
+    f = features.bar_features(t.flagged).withColumns({"signal_price": F.col("close"), "signal_adjustment_factor": F.col("adj_factor")})
+    return panel.finalize(f, {n: n.upper() for n in BAR}, ["buyable"], ["signal_price", "signal_adjustment_factor"], "19950101", "19971231")
+
+
+
 LAGS = {"prev_close": "_pc", "prev_volume": "_pv", "close_change": "_dp", "volume_change": "_dv", "close_ratio": "_cr", "log_volume_ratio": "_lvr"}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import dates, identity
 from panelspark.operators import analysis, checks, compare, features, lineage, ml, panel, portfolio, report, signals
-from panelspark.sources import files
+from panelspark.sources import files, masters
 from panelspark.streaming import runs
 
 
@@ -167,3 +167,30 @@ def test_run_progress(spark):
     got = {r.run_id: (r.seconds, r.current_step, r.percentage) for r in lineage.progress(runs_).collect()}
     assert got == {1: (90, "b", 40.0), 2: (None, None, None), 3: (None, None, None), 4: (0, None, None), 5: (None, "a", 7.0)}
     assert lineage.progress(runs_.limit(0)).count() == 0
+
+
+def test_masters(spark, tmp_path):
+    """Closed and repeated days, numbers for text, empty last days, ties of names; what is no list of symbols is refused."""
+    cal, listed, names = (str(tmp_path / n) for n in ("cal", "listed", "names"))
+    spark.createDataFrame([(20200102, "1", "x"), (20200102, "1", "y"), (20200103, "0", "x"), (20200106, None, "x"), (20200107, "shut", "x"), (20200108, "1", None)], "cal_date int, is_open string, exchange string").write.parquet(cal)
+    spark.createDataFrame([("1", "a", "20200101", ""), ("2", None, None, None), ("3", "c", "20200101", "20200601")], "ts_code string, name string, list_date string, delist_date string").write.parquet(listed)
+    history = [("1", "old", "20200101", "20191201"), ("1", "new", "20191215", "20200101"), ("1", "tie", "20200101", "20200101"), ("1", "open", None, None), ("2", "told", None, "20200301"), ("2", "kept", "20200302", None)]
+    spark.createDataFrame(history, "ts_code string, name string, start_date string, ann_date string").write.parquet(names)
+    days, stocks, known = masters.load_masters(spark, cal, listed, names)
+    assert sorted(r[0] for r in days.collect()) == ["20200102", "20200108"]
+    assert {r.ts_code: r.delist_date for r in stocks.collect()} == {"1": None, "2": None, "3": "20200601"}
+    assert {(r.ts_code, r._known_date): r.name for r in known.collect()} == {("1", "20200101"): "tie", ("1", None): "open", ("2", "20200301"): "told", ("2", "20200302"): "kept"}
+    for k, bad in enumerate(([("1", "a", "x", ""), ("1", "b", "x", "")], [(None, "a", "x", "")], [])):
+        spark.createDataFrame(bad, "ts_code string, name string, list_date string, delist_date string").write.parquet(str(tmp_path / f"bad{k}"))
+        with pytest.raises(ValueError):
+            masters.load_masters(spark, cal, str(tmp_path / f"bad{k}"), names)
+
+
+def test_final_dataset(spark):
+    rows = [("20200102", "1", True, 1.0, 9), ("20200103", "1", False, 2.0, 9), ("20200106", "1", True, None, 9), ("20200107", None, True, 4.0, 9), (None, "1", True, 5.0, 9), ("20200108", "2", None, 6.0, 9)]
+    frame = spark.createDataFrame(rows, "trade_date string, ts_code string, _has_market_data boolean, raw double, buyable int")
+    out = panel.finalize(frame, {"raw": "RAW"}, ["buyable"], start="20200103", end="20200107")
+    assert out.columns == ["trade_date", "ts_code", "buyable", "RAW"] and sorted(out.collect(), key=str) == [("20200106", "1", 9, None), ("20200107", None, 9, 4.0)]
+    assert panel.finalize(frame, {}, []).count() == 4
+    with pytest.raises(ValueError):
+        panel.finalize(frame, {"raw": "RAW"}, [], start="20210101")
