@@ -119,3 +119,17 @@ def test_streams(spark):
     before = spark.createDataFrame([("a", 1), ("b", 1)], "run_id string, version int")
     after = spark.createDataFrame([("b", 2), ("c", 1)], "run_id string, version int")
     assert {(x.run_id, x.change) for x in streams.change_feed(before, after).collect()} == {("a", "remove"), ("b", "change"), ("c", "add")}
+
+
+def test_benchmark_coverage_hangs_on_no_order(spark):
+    """Six members of a thirtieth each, dealt over one task or several, reach a fifth or don't, but always the same."""
+    w = 100.0 / 30 / 100
+    rows = [(DAYS[0], DAYS[1], str(i), 0.1 * i, True, w if i % 7 == 0 else 0.0) for i in range(42)]
+    schema = "trade_date string, label_target_date string, ts_code string, label_return double, label_valid boolean, index_weight double"
+    got = set()
+    for parts in (1, 2, 3, 6):
+        d = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), schema).persist()
+        weights = F.broadcast(d.select("trade_date", "ts_code", "index_weight"))
+        got.add(report.benchmarks(d.drop("index_weight"), weights, 0.2).first()["index_return"])
+        d.unpersist()
+    assert got == {None}
