@@ -139,3 +139,15 @@ def test_dates(spark):
     assert [r[0] for r in t.select(dates.valid_time(F.col("t"))).collect()] == [True, False, False, False]
     one = spark.range(1).select(identity.fingerprint(b=F.lit(1), a=F.lit("x")).alias("f")).first()[0]
     assert one == spark.range(1).select(identity.fingerprint(a=F.lit("x"), b=F.lit(1)).alias("f")).first()[0]
+
+
+def test_lineitem_is_read_once(spark):
+    """What follows from bars reads them as they were written, not the items again for each use; an as-of join deals only wanted columns."""
+    from panelspark.plans.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    for d in (t.panel, t.market, t.labels):
+        assert "l_suppkey" not in plan(d)
+    last = t.quotes.select("ts_code", "trade_date", F.col("close").alias("c"))
+    assert " AS _l" not in plan(panel.asof(t.quotes, last, "c", "trade_date", "trade_date", "ts_code").select("ts_code", "c"))
