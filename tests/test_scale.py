@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import pytest
+import math
+
 from pyspark.sql import functions as F
 
 from panelspark.operators import analysis, features, lineage
@@ -124,3 +126,11 @@ def test_ordered_files(spark, tmp_path):
     assert rows == list(range(1000)) and len(list((tmp_path / "sorted").glob("part*"))) > 1
     d.write.parquet(f"{tmp_path}/mixed")
     assert files.order_faults(spark, f"{tmp_path}/mixed", "k").count() > 0
+
+
+def test_frames_lose_no_digits_to_rows_outside(spark):
+    """Two values that hardly differ, alone in their frame, after values far from them: their correlation is whole."""
+    rows = [("A", i, 40.0 * (i % 3), 9.0 - i % 7) for i in range(30)] + [("A", 30 + i, None, None) for i in range(6)] + [("A", 36, 1.0, 2.0), ("A", 37, 1.0001, 1.5)]
+    d = spark.createDataFrame(rows, "ts_code string, _trade_index long, x double, y double")
+    r = features.framed(d, {"two": (F.col("x"), F.col("y"))}, {}, (5, 60)).where("_trade_index = 37").first()
+    assert abs(r["_two_xy5"] / math.sqrt(r["_two_xx5"] * r["_two_yy5"]) + 1) < 1e-9
