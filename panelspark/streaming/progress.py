@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,14 +25,12 @@ def worth_publishing(rows: list[tuple], published: int | None, state: str | None
     return out, published, state
 
 
-def _rows(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-    """Rows of PUBLISHED; words as objects, for Arrow takes no chunked columns here."""
-    word = lambda x: pd.Series([x] * len(t), dtype=object)
-    return pd.DataFrame({"run_id": word(key[0]), "step": word(key[1]), "ts": t["ts"].reset_index(drop=True), "percentage": t["percentage"].reset_index(drop=True), "state": pd.Series(t["state"].tolist(), dtype=object)})
-
-
 class Throttle(StatefulProcessor):
-    """Keeps of each step when it was last published and its state; forgets a step some days after its last update."""
+    """Keeps of each step when it was last published and its state; forgets a step some days after its last update.
+
+    Steps are many and have few updates each, so a call asks the store only for what it needs: a step has one timer, which is
+    set again when it fires if the step was updated since.
+    """
 
     def __init__(self, seconds: float, keep_days: float) -> None:
         self.seconds, self.keep = seconds, int(keep_days * 86_400_000)
@@ -41,21 +39,25 @@ class Throttle(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("published", T.LongType()), T.StructField("state", T.StringType()), T.StructField("seen", T.LongType())]))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        t = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        at = t["ts"].astype("datetime64[us]").astype("int64").tolist()
-        published, state, seen = self.last.get() if self.last.exists() else (None, None, None)
-        chosen, published, state = worth_publishing(list(zip(at, t["state"], strict=True)), published, state, self.seconds)
-        newest = max(at[-1] // 1000, seen or 0)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(newest + self.keep)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        t = sorted(rows, key=lambda r: (r["at"], r["event_id"] is None, r["event_id"]))
+        before = self.last.get()
+        published, state, seen = before if before is not None else (None, None, None)
+        chosen, published, state = worth_publishing([(r["at"], r["state"]) for r in t], published, state, self.seconds)
+        newest = max(t[-1]["at"] // 1000, seen or 0)
+        if before is None:
+            self.handle.registerTimer(newest + self.keep)
         self.last.update((published, state, newest))
-        yield _rows(key, t.iloc[chosen])
+        for k in chosen:
+            yield Row(run_id=key[0], step=key[1], ts=t[k]["ts"], percentage=t[k]["percentage"], state=t[k]["state"])
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.last.clear()
-        yield _rows(key, pd.DataFrame({"ts": pd.Series([], dtype="datetime64[us]"), "percentage": pd.Series([], dtype="float64"), "state": pd.Series([], dtype=object)}))
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
+        end = self.last.get()[2] + self.keep
+        if end > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(end)
+        else:
+            self.last.clear()
+        return iter(())
 
     def close(self) -> None:
         """Nothing to close."""
@@ -70,5 +72,5 @@ def throttled(events: DataFrame, seconds: float = 1.0, delay: str = "1 hour", ke
     in the last keep_days, however many updates it has.
     """
     kind = events.schema["run_id"].dataType.simpleString()
-    rows = events.withWatermark("ts", delay).select("run_id", "step", "ts", "event_id", "percentage", "state")
-    return rows.groupBy("run_id", "step").transformWithStateInPandas(Throttle(seconds, keep_days), PUBLISHED.format(id=kind), "append", "eventTime")
+    rows = events.withWatermark("ts", delay).select("run_id", "step", "ts", "event_id", "percentage", "state", F.unix_micros("ts").alias("at"))
+    return rows.groupBy("run_id", "step").transformWithState(Throttle(seconds, keep_days), PUBLISHED.format(id=kind), "append", "eventTime")

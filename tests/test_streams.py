@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from panelspark.functions.storage import new_path
@@ -153,3 +154,33 @@ def test_a_stream_that_fails_says_why(spark):
     stream = spark.readStream.schema(schema).parquet(path)
     with pytest.raises(PySparkException, match="duplicate daily signal"):
         stream.writeStream.option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).foreachBatch(online.commit_sink(new_path(spark, "commits"))).start().awaitTermination()
+
+
+def test_a_step_costs_few_calls():
+    """A known step asks for its state once and writes it once; its timer stands, is set again if it was updated, and else forgets."""
+    calls, kept = [], {}
+
+    class State:
+        get = lambda self: calls.append("get") or kept.get("v")
+        update = lambda self, v: calls.append("update") or kept.update(v=v)
+        clear = lambda self: calls.append("clear") or kept.clear()
+
+    class Handle:
+        getValueState = lambda self, name, schema: State()  # noqa: E731, N815
+        registerTimer = lambda self, at: calls.append(("timer", at))  # noqa: E731, N815
+
+    class Now:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = lambda: at
+
+    p = progress.Throttle(1.0, 1)
+    p.init(Handle())
+    day, row = 86_400_000, lambda ms, state: Row(ts=None, event_id=ms, percentage=1.0, state=state, at=ms * 1000)
+    assert len(list(p.handleInputRows((1, "s"), iter([row(1500, "a"), row(1000, "a"), row(2100, "a")]), Now(0)))) == 2
+    assert calls == ["get", ("timer", 2100 + day), "update"]
+    calls.clear()
+    assert len(list(p.handleInputRows((1, "s"), iter([row(5000, "b")]), Now(0)))) == 1
+    assert calls == ["get", "update"]
+    calls.clear()
+    assert not list(p.handleExpiredTimer((1, "s"), Now(2100 + day), None)) and calls == ["get", ("timer", 5000 + day)]
+    assert not list(p.handleExpiredTimer((1, "s"), Now(5000 + day), None)) and calls[-1] == "clear"
