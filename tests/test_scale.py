@@ -134,3 +134,52 @@ def test_frames_lose_no_digits_to_rows_outside(spark):
     d = spark.createDataFrame(rows, "ts_code string, _trade_index long, x double, y double")
     r = features.framed(d, {"two": (F.col("x"), F.col("y"))}, {}, (5, 60)).where("_trade_index = 37").first()
     assert abs(r["_two_xy5"] / math.sqrt(r["_two_xx5"] * r["_two_yy5"]) + 1) < 1e-9
+
+
+def test_tables_by_symbol_are_joined_without_a_shuffle(spark):
+    """What can be traded, its market, labels and returns follow from bars as they are dealt; ranks of a day are one exchange."""
+    from panelspark.operators import context, labels
+    from panelspark.plans import queries
+    from panelspark.plans.tables import TRADED, Tables
+
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        t = Tables(spark, "/root/testdata/sf0.001")
+        plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+        deals = lambda d: plan(d).count("Exchange hashpartitioning(")
+        symbol = "Exchange hashpartitioning(ts_code"
+        assert symbol not in plan(t.flagged.select(*TRADED)) and symbol not in plan(t.market_of(t.traded)) and symbol not in plan(context.horizon_returns(t.panel))
+        assert symbol not in plan(t.labels) and deals(t.ranked) == 1
+        rows = spark.createDataFrame([("20240101", "A", 1.0, 0.5)], "trade_date string, ts_code string, pred double, label_return double")
+        assert deals(labels.label_transforms(labels.tail_trim(rows, "label_return", 0.1))) == 1 and deals(context.market_moments(t.returns)) == 1
+        assert symbol not in plan(queries._pairs(t)) and plan(queries._pairs(t)).count("Exchange hashpartitioning(factor") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
+def test_quantiles_within_days_against_numpy(spark):
+    from panelspark.functions.stats import with_quantiles
+
+    rng = np.random.default_rng(3)
+    days = {"a": rng.normal(size=101), "b": np.repeat([1.0, 2.0], 30), "c": np.array([5.0]), "d": np.array([]), "e": np.array([float("inf"), 1.0, 2.0])}
+    rows = [(k, float(x)) for k, v in days.items() for x in v] + [("a", None), ("d", None)]
+    d = with_quantiles(spark.createDataFrame(rows, "day string, x double").repartition(3), "x", {"low": 0.025, "mid": 0.5, "top": 1.0}, "day")
+    got = {r.day: r for r in d.collect()}
+    assert d.count() == len(rows) and got["d"].low is None and got["e"].mid == 2.0 and got["e"].top == float("inf")
+    for k in "abc":
+        assert [got[k].low, got[k].mid, got[k].top] == pytest.approx(list(np.quantile(days[k], [0.025, 0.5, 1.0])), rel=1e-12)
+    assert "percentile" not in d._jdf.queryExecution().toString()
+
+
+def test_average_ranks_and_targets_in_one_order(spark):
+    from panelspark.functions.stats import avg_rank
+    from panelspark.operators import signals
+
+    d = spark.createDataFrame([("d", x) for x in (3.0, 1.0, 3.0, None, 0.0, -0.0, float("nan"))], "day string, x double")
+    assert sorted((str(r.x), r.k) for r in d.select("x", avg_rank("x", "day").alias("k")).collect()) == [("-0.0", 2.5), ("0.0", 2.5), ("1.0", 4.0), ("3.0", 5.5), ("3.0", 5.5), ("None", 1.0), ("nan", 7.0)]
+    s = spark.createDataFrame([("d", "t", c, p, m, b) for c, p, m, b in (("A", 1.0, True, True), ("B", 2.0, True, True), ("C", 3.0, False, True), ("D", 3.0, None, True), ("E", 2.0, True, None), ("F", 2.0, True, True))], "trade_date string, trade_time string, ts_code string, pred double, is_model_candidate boolean, is_buyable_at_signal boolean")
+    ranks = lambda d: {r.ts_code: r.target_rank for r in d.collect() if r.target_rank}
+    assert ranks(signals.target_ranks(s)) == {"B": 1, "F": 2, "A": 3}
+    assert ranks(signals.target_ranks(s, s.where("ts_code <> 'B'").union(s.where("ts_code = 'A'")))) == {"F": 1, "A": 2}
+    assert signals.target_ranks(signals.rank_signals(s))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
