@@ -183,3 +183,12 @@ def test_average_ranks_and_targets_in_one_order(spark):
     assert ranks(signals.target_ranks(s)) == {"B": 1, "F": 2, "A": 3}
     assert ranks(signals.target_ranks(s, s.where("ts_code <> 'B'").union(s.where("ts_code = 'A'")))) == {"F": 1, "A": 2}
     assert signals.target_ranks(signals.rank_signals(s))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
+
+
+def test_statistics_of_predictions_hold_no_column_in_a_task(spark):
+    from panelspark.operators import signals
+
+    p = spark.createDataFrame([("d1", "A", 3.0, True), ("d1", "B", None, False), ("d2", "A", 1.0, True), ("d2", "C", 2.5, None), ("d2", "D", 9.0, True)], "trade_date string, ts_code string, pred double, is_buyable_at_signal boolean").withColumn("is_model_candidate", F.lit(True))
+    d = signals.prediction_statistics(p)
+    assert tuple(d.first()) == (2, 4, 1.0, 15.5 / 4, 2.75, 9.0, 3, 5) and "median" not in d._jdf.queryExecution().analyzed().toString().replace("pred_median", "")
+    assert tuple(signals.prediction_statistics(p.limit(0)).first()) == (0, 0, None, None, None, None, 0, 0)
