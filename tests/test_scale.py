@@ -192,3 +192,21 @@ def test_statistics_of_predictions_hold_no_column_in_a_task(spark):
     d = signals.prediction_statistics(p)
     assert tuple(d.first()) == (2, 4, 1.0, 15.5 / 4, 2.75, 9.0, 3, 5) and "median" not in d._jdf.queryExecution().analyzed().toString().replace("pred_median", "")
     assert tuple(signals.prediction_statistics(p.limit(0)).first()) == (0, 0, None, None, None, None, 0, 0)
+
+
+def test_boosting_keeps_no_copies_of_its_vectors(spark):
+    """One table of predictions at a time, none after, and nothing cached."""
+    import glob
+
+    from pyspark.ml.feature import VectorAssembler
+
+    from panelspark.functions.storage import shared_folder
+    from panelspark.operators import ml
+
+    d = spark.range(400).selectExpr("cast(id % 37 as double) as a", "cast(id % 37 % 5 as double) + id / 4000 as label", "id % 10 = 0 as valid")
+    v = VectorAssembler(inputCols=["a"], outputCol="vector").transform(d).select("vector", "label", "valid")
+    tables = lambda: set(glob.glob(shared_folder(spark).removeprefix("file:") + "/panelspark/boosted-*"))
+    before, cached = tables(), len(spark.sparkContext._jsc.getPersistentRDDs())
+    trees, curve = ml.boost(v, 2 * ml.CUT + 1, 0.3, 2, None, 7)
+    assert len(trees) == 2 * ml.CUT + 1 and curve[-1][1] < curve[0][1]
+    assert tables() == before and len(spark.sparkContext._jsc.getPersistentRDDs()) == cached
