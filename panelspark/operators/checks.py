@@ -51,12 +51,13 @@ def market_violations(df: DataFrame) -> DataFrame:
 def signal_violations(signals: DataFrame) -> DataFrame:
     """Finite scores, flags that aren't null, one trade time, ranks that agree with the flag and run from 1 each day."""
     day = Window.partitionBy("trade_date")
-    s = signals.withColumn("_row", F.when(F.col("target_rank").isNotNull(), F.row_number().over(Window.partitionBy("trade_date", F.col("target_rank").isNotNull()).orderBy("target_rank", "ts_code"))))
-    s = s.withColumn("_times", F.size(F.collect_set("trade_time").over(day)))
+    # days first, as ranks of a day then need no further exchange; times differ where the least and the greatest do
+    s = signals.withColumn("_once", F.min("trade_time").over(day).eqNullSafe(F.max("trade_time").over(day)))
+    s = s.withColumn("_row", F.when(F.col("target_rank").isNotNull(), F.row_number().over(Window.partitionBy("trade_date", F.col("target_rank").isNotNull()).orderBy("target_rank", "ts_code"))))
     candidate = F.col("is_model_candidate") & F.col("is_buyable_at_signal")
     return _report(s, {
         "score_not_finite": is_finite(F.col("pred")), "flag_null": F.col("is_model_candidate").isNotNull() & F.col("is_buyable_at_signal").isNotNull(),
-        "several_times": F.col("_times") <= 1, "rank_without_candidate": F.col("target_rank").isNull() | candidate,
+        "several_times": F.col("_once"), "rank_without_candidate": F.col("target_rank").isNull() | candidate,
         "rank_gap": F.col("target_rank").isNull() | (F.col("target_rank") == F.col("_row")),
     })
 
