@@ -14,8 +14,13 @@ PERIODS = ("overall", "year", "quarter", "month")
 
 def matured(candidates: DataFrame, labels: DataFrame, as_of: str) -> DataFrame:
     """Ranked candidates with labels that were valid and known on the day as_of."""
-    y = labels.where(F.col("label_valid") & (F.col("label_target_date") <= as_of)).select("trade_date", "ts_code", "label_target_date", "label_return")
-    return candidates.where("target_rank is not null").join(y, ["trade_date", "ts_code"])
+    y = labels.select("trade_date", "ts_code", "label_target_date", "label_return", "label_valid")
+    return known(candidates.join(y, ["trade_date", "ts_code"]), as_of)
+
+
+def known(labelled: DataFrame, as_of: str) -> DataFrame:
+    """The same of candidates that carry their labels."""
+    return labelled.where(F.col("target_rank").isNotNull() & F.col("label_valid") & (F.col("label_target_date") <= as_of)).drop("label_valid")
 
 
 def daily_diagnostics(m: DataFrame) -> DataFrame:
@@ -37,15 +42,21 @@ def ndcg(m: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
 
 
 def benchmarks(labels: DataFrame, weights: DataFrame, coverage: float = 0.98) -> DataFrame:
+    """weighted_returns of labels whose weights stand in another table."""
+    return weighted_returns(labels.join(weights.select("trade_date", "ts_code", "index_weight"), ["trade_date", "ts_code"], "left"), coverage)
+
+
+def weighted_returns(labels: DataFrame, coverage: float = 0.98) -> DataFrame:
     """(trade_date, universe_return, index_return) by label_target_date; the weighted mean only where the weights reach the coverage.
 
-    Whether they do is told by one sum in order of size, so that it hangs on no order of rows: six thirtieths are a last digit
+    Returns are summed by day and weight first, as all that are no members share one. Whether they do is told by one sum in order of size, so that it hangs on no order of rows: six thirtieths are a last digit
     above or below a fifth, as they happen to be added. Listed are a day's members, not the rows that weigh nothing.
     """
-    j = labels.where("label_valid").join(weights.select("trade_date", "ts_code", "index_weight"), ["trade_date", "ts_code"], "left")
-    members = F.sort_array(F.collect_list(F.when(F.col("index_weight") != 0, F.col("index_weight"))))
-    w = F.when(F.count("index_weight") > 0, F.aggregate(members, F.lit(0.0), lambda total, x: total + x))
-    return j.groupBy(F.col("label_target_date").alias("trade_date")).agg(F.avg("label_return").alias("universe_return"), F.when(w >= coverage, F.sum(F.col("index_weight") * F.col("label_return")) / w).alias("index_return"))
+    weight = F.col("index_weight")
+    alike = labels.where("label_valid").groupBy(F.col("label_target_date").alias("trade_date"), weight).agg(F.sum("label_return").alias("_r"), F.count("label_return").alias("_k"), F.count(F.lit(1)).alias("_n"))
+    members = F.sort_array(F.flatten(F.collect_list(F.when(weight != 0, F.array_repeat(weight, F.col("_n").cast("int"))))))
+    w = F.when(F.count(weight) > 0, F.aggregate(members, F.lit(0.0), lambda total, x: total + x))
+    return alike.groupBy("trade_date").agg(F.try_divide(F.sum("_r"), F.sum("_k")).alias("universe_return"), F.when(w >= coverage, F.sum(weight * F.col("_r")) / w).alias("index_return"))
 
 
 def top_detail(ranked: DataFrame, labels: DataFrame, n: int = 30) -> DataFrame:
