@@ -210,3 +210,92 @@ def test_boosting_keeps_no_copies_of_its_vectors(spark):
     trees, curve = ml.boost(v, 2 * ml.CUT + 1, 0.3, 2, None, 7)
     assert len(trees) == 2 * ml.CUT + 1 and curve[-1][1] < curve[0][1]
     assert tables() == before and len(spark.sparkContext._jsc.getPersistentRDDs()) == cached
+
+
+def _signals(spark):
+    rows = [(day, "1500", f"{c:03d}", None if c == 7 else float(c * 37 % 11), c % 5 != 0, None if c == 9 else True) for day in ("20240101", "20240102", "20240103") for c in range(1, 40)]
+    return spark.createDataFrame(rows, "trade_date string, trade_time string, ts_code string, pred double, is_model_candidate boolean, is_buyable_at_signal boolean").repartition(4)
+
+
+def test_best_of_a_day_is_cut_before_it_is_dealt(spark):
+    from panelspark.operators import signals
+
+    s = _signals(spark)
+    best = signals.best(s, 5)
+    assert best._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2  # of each task, then of a day
+    assert sorted(best.collect()) == sorted(signals.target_ranks(s).where("target_rank <= 5").select(best.columns).collect())
+    assert [r.ts_code for r in signals.best(s, 0).collect()] == []
+
+
+def test_accounting_reads_the_market_of_targets_alone(spark):
+    from panelspark.operators import portfolio
+    from panelspark.plans.tables import Tables
+
+    market = spark.createDataFrame([(c, d, 2.0, 1.0, True, True, "quoted") for c in ("A", "B", "C") for d in ("1", "2", "3")], "ts_code string, trade_date string, price double, adjustment_factor double, can_buy boolean, can_sell boolean, market_status string")
+    targets = spark.createDataFrame([("1", "A", 1), ("3", "A", 1), ("2", "D", 1)], "trade_date string, ts_code string, target_rank int")
+    assert sorted((r.ts_code, r.trade_date) for r in portfolio.market_of(targets, market).collect()) == [("A", "1"), ("A", "2"), ("A", "3")]
+    t = Tables(spark, "/root/testdata/sf0.001")
+    whole = portfolio.cohort_results(t.ranked.where("target_rank <= 3").selectExpr("*", "1 / 3d as weight"), t.market, t.days, 1)
+    from panelspark.plans.queries import _daily
+
+    digits = lambda d: [[round(x, 9) if isinstance(x, float) else x for x in r] for r in d.orderBy("trade_date").collect()]  # noqa: E731  sums in any order
+    assert digits(whole) == digits(_daily(t, 3, 1))
+    plan = _daily(t, 3, 1)._jdf.queryExecution().analyzed().toString()
+    assert "panelspark_market" not in plan and "panelspark_signals" not in plan
+
+
+def test_labels_take_one_join_and_no_sort(spark):
+    from panelspark.operators import labels
+    from panelspark.plans import queries
+    from panelspark.plans.tables import Tables
+
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = Tables(spark, "/root/testdata/sf0.001")
+        plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+        assert plan(queries._training(t)).count("SortMergeJoin") == 1 and "Sort [ts_code" not in plan(t.labels)
+        assert plan(queries._factor_rows(t)).count("SortMergeJoin") == 2  # scores with the market, then with features
+        rows = spark.createDataFrame([("20240101", "A", 1.0, 0.5)], "trade_date string, ts_code string, pred double, label_return double")
+        assert plan(labels.label_transforms(rows)).count("Sort [") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    days = spark.createDataFrame([("1", 0), ("2", 1), ("3", 2)], "trade_date string, _trade_index long")
+    market = spark.createDataFrame([("A", "1", 2.0, 1.0, "quoted"), ("A", "3", 4.0, 1.0, "quoted")], "ts_code string, trade_date string, price double, adjustment_factor double, market_status string")
+    s = spark.createDataFrame([("1", "A", 2.0, 1.0, 7.0), ("2", "A", 2.0, 1.0, 8.0), ("3", "A", 2.0, 1.0, 9.0)], "trade_date string, ts_code string, signal_price double, signal_adjustment_factor double, pred double")
+    got = {r.trade_date: (r.label_target_date, r.label_return, r.label_status, r.pred) for r in labels.next_day_labels(s, market, days, "pred").collect()}
+    # the symbol's next row is of the day after next, which is no target
+    assert got == {"1": ("2", None, "missing_data", 7.0), "2": ("3", None, "missing_data", 8.0), "3": (None, None, "pending", 9.0)}
+
+
+def test_benchmarks_list_no_row_of_a_day(spark):
+    from panelspark.operators import panel, report
+
+    rows = [("2", f"{d}", w, r) for d, (w, r) in enumerate([(0.25, 0.1), (0.25, 0.3), (0.0, 0.5), (None, 0.7), (0.1, -0.2)])] + [("3", "9", None, 0.4)]
+    d = spark.createDataFrame([(t, "1", c, w, r, True) for t, c, w, r in rows], "label_target_date string, trade_date string, ts_code string, index_weight double, label_return double, label_valid boolean")
+    got = {r.trade_date: (r.universe_return, r.index_return) for r in report.weighted_returns(d, 0.5).collect()}
+    assert got["2"] == pytest.approx((1.4 / 5, (0.25 * 0.4 - 0.02) / 0.6)) and got["3"] == (0.4, None)
+    p = spark.createDataFrame([("A", "1"), ("A", "3"), ("B", "3")], "ts_code string, trade_date string")
+    w = spark.createDataFrame([("A", "2", 40.0)], "con_code string, trade_date string, weight double")
+    calendar = spark.createDataFrame([("1",), ("2",), ("3",)], "trade_date string")
+    weighed = [{(r.ts_code, r.trade_date): r.index_weight for r in panel.index_weights(p, w, calendar=c).collect()} for c in (None, calendar)]
+    assert weighed[0] == weighed[1] == {("A", "1"): None, ("A", "3"): 0.4, ("B", "3"): 0.0}
+
+
+def test_violations_of_ranks_take_one_exchange(spark):
+    from panelspark.operators import checks, signals
+
+    s = signals.target_ranks(_signals(spark))
+    d = checks.signal_violations(spark.createDataFrame(s.collect(), s.schema).withColumn("trade_time", F.when(F.col("ts_code") == "003", None).when((F.col("ts_code") == "004") & (F.col("trade_date") == "20240102"), "1400").otherwise("1500")))
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(trade_date") == 1
+    assert {r.rule: r.violations for r in d.collect()}["several_times"] == 39
+
+
+def test_marked_names_in_any_case(spark):
+    from panelspark.operators import status
+
+    names = ["ST1", "st1", "*St2", "s*sT3", "NST", "ſt4", "ﬆ5", "ß6", "s6", "*7", "", None, "sst"]
+    d = spark.createDataFrame([(n, "A", i, True, 1.0, 2.0, 0.5) for i, n in enumerate(names)], "name string, ts_code string, _trade_index int, _has_market_data boolean, close double, up_limit_ double, down_limit_ double")
+    got = {r.name for r in status.market_flags(d).where("is_st").collect()}
+    want = {r.name for r in d.where(F.coalesce(F.upper("name").rlike(status.MARKED_NAME), F.lit(False))).collect()}
+    assert got == want and {"ST1", "st1", "*St2", "s*sT3", "ſt4", "ﬆ5"} <= got
