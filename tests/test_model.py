@@ -1,11 +1,15 @@
 """The model queries: their rounds, and passes and shuffles that must not grow."""
 
+import re
+
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
-from panelspark.operators import ml
+from panelspark.operators import features, ml
+from panelspark.plans import queries
+from panelspark.plans.tables import Tables
 
 
 def _vectors(spark, n=600):
@@ -43,3 +47,16 @@ def test_trees_fit_what_those_before_left_of_the_label(spark):
         gap = np.array([y for _, y in fit]) - pred
         assert np.allclose(curve[k][1:3], [(gap**2).mean(), np.abs(gap).mean()])
     assert len(trees) == len(curve) == 4
+
+
+def test_features_stay_where_their_symbol_is(spark):
+    """No shuffle of features: neither for windows, nor for labels, nor of what goes through numpy."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    rows, names = queries._model_rows(t)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert len(names) == 158 and plan.count("FlatMapGroupsInArrow") == 1 and not re.search(r"Exchange (hash|range)partitioning", plan)
+    lists = [f for f in plan.splitlines() if "FlatMapGroupsInArrow" in f and "_closes" in f]
+    assert not lists
+    whole = features.rolling(t.lagged)
+    parts = {f: features.rolling(t.lagged, (f,)) for f in features.FAMILIES}
+    assert whole.columns == [*t.lagged.columns, *[c for p in parts.values() for c in p.columns[len(t.lagged.columns) :]]]
