@@ -17,6 +17,25 @@ def _vectors(spark, n=600):
     return VectorAssembler(inputCols=["a", "b"], outputCol="vector").transform(d).select("vector", "label", "valid")
 
 
+def test_model_queries_train_with_the_rounds_and_patience_of_the_operator(spark, monkeypatch):
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def boost(v, rounds, rate, depth, patience, seed):
+        asked.append((rounds, patience, depth))
+        raise Asked
+
+    monkeypatch.setattr(ml, "boost", boost)
+    for name in ("gbt_scores", "gbt_validation"):
+        try:
+            queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        except Asked:
+            pass
+    assert asked == [(100, 10, 5)] * 2
+
+
 def test_boosting_reads_its_vectors_as_often_for_many_rounds_as_for_few(spark):
     read = spark.sparkContext.accumulator(0)
 
