@@ -68,6 +68,18 @@ def test_trees_fit_what_those_before_left_of_the_label(spark):
     assert len(trees) == len(curve) == 4
 
 
+def test_half_of_the_rounds_end_as_all_of_them_do(spark, monkeypatch):
+    grown, asked = ml.grown, []
+    monkeypatch.setattr(ml, "grown", lambda v, n, *rest: asked.append(n) or grown(v, n, *rest))
+    v = _vectors(spark)
+    _, whole = ml.boost(v, 12, 0.3, 3, None, 7)
+    _, late = ml.boost(v, 12, 0.3, 3, 5, 7)
+    noise = v.withColumn("label", F.when(F.col("valid"), -F.col("label")).otherwise(F.col("label")))  # the better learned, the worse
+    trees, early = ml.boost(noise, 12, 0.3, 3, 2, 7)
+    assert asked == [12, 6, 12, 6] and np.allclose(late, whole[: len(late)]) and len(late) > 6
+    assert len(trees) == len(early) == min(early, key=lambda c: c[3])[0] + 2 <= 6
+
+
 def test_features_stay_where_their_symbol_is(spark):
     """No shuffle of features: neither for windows, nor for labels, nor of what goes through numpy."""
     t = Tables(spark, "/root/testdata/sf0.001")
